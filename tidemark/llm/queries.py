@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash, suffix_dedup, token_counts, token_files
+from . import byte_bpe, edit_prints, langid, simhash, suffix_dedup, token_counts, token_files
 from .common import shared_folder
 
 
@@ -23,6 +23,13 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, digest_only=True)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = langid.fit(documents.where(~langid.held_out()))
+    found = langid.identify(documents, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, _tokenizers().path("word_bpe_49k.json"), end_id=1)
@@ -39,10 +46,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, ranks, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_prints.fingerprint_and_compare(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_token_files, op7_token_counts, op8_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op6_token_files, op7_token_counts, op8_byte_bpe, op9_edit_prints, op10_simhash)}
 #: Queries that SQL can state.
 ORACLE_SQL: dict[str, str] = {}
