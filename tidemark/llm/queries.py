@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cover_tree, edit_prints, langid, simhash, suffix_dedup, token_counts, token_files
+from . import byte_bpe, cover_tree, edit_prints, langid, mincut_html, simhash, suffix_dedup, token_counts, token_files
 from .common import shared_folder
 
 
@@ -34,6 +34,11 @@ def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return mincut_html.extract(pages, mincut_html.fit(pages))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, _tokenizers().path("word_bpe_49k.json"), end_id=1)
@@ -58,6 +63,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_embedding_links, op6_token_files, op7_token_counts, op8_byte_bpe, op9_edit_prints, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_embedding_links, op4_html_text, op6_token_files, op7_token_counts, op8_byte_bpe, op9_edit_prints, op10_simhash)}
 #: Queries that SQL can state.
 ORACLE_SQL: dict[str, str] = {}
