@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cover_tree, edit_prints, langid, mincut_html, simhash, suffix_dedup, token_counts, token_files
+from . import byte_bpe, cover_tree, edit_prints, langid, mincut_html, mixing, simhash, suffix_dedup, token_counts, token_files
 from .common import shared_folder
 
 
@@ -19,6 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_ranks() -> tuple[str, str]:
+    """Rank file and pattern of the byte-level vocabulary."""
+    return _tokenizers().path("byte_bpe_50k.tiktoken"), _tokenizers().PATTERN
+
+
+def quality_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents: toxic, else of high or low quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100, digest_only=True)
 
@@ -39,6 +50,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut_html.extract(pages, mincut_html.fit(pages))
 
 
+def op5_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_rates(_table(spark, sf_dir, "documents"), quality_domains(spark, sf_dir), {"high": 0.85, "low": 0.1, "toxic": 0.05})
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, _tokenizers().path("word_bpe_49k.json"), end_id=1)
@@ -50,7 +65,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, pattern = _tokenizers().path("byte_bpe_50k.tiktoken"), _tokenizers().PATTERN
+    ranks, pattern = byte_ranks()
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern)
     return byte_bpe.decode(encoded, ranks, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -63,6 +78,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_embedding_links, op4_html_text, op6_token_files, op7_token_counts, op8_byte_bpe, op9_edit_prints, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_embedding_links, op4_html_text, op5_mixture_rates, op6_token_files, op7_token_counts, op8_byte_bpe, op9_edit_prints, op10_simhash)}
 #: Queries that SQL can state.
 ORACLE_SQL: dict[str, str] = {}

@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import id_text, outer_id, partitions, raw_bytes, slices, spread
+from .common import NULL_ID, id_text, outer_id, partitions, raw_bytes, slices, spread
 
 SEED = 0x9E3779B97F4A7C15
 STEP_BYTES = 2 << 20  # text hashed at once
@@ -214,7 +215,9 @@ def _of_id(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _mark(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) - 2**63
+    """Spark's xxhash64 of the text."""
+    x = xxhash.xxh64_intdigest(text, 42)
+    return x - 2**64 if x >= 2**63 else x
 
 
 def _spans(found: dict[str, np.ndarray], n: int) -> list[tuple[int, int, bytes]]:
@@ -377,7 +380,7 @@ def _digest(docs: pa.Table, table: pa.Table, texts: bool = True) -> pa.Table:
     rows = []
     for i, _, text, spans in _cut(docs, table):
         kept = kept_bytes(text, spans)
-        rows.append((i, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if spans and texts else None))
+        rows.append((i, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans and texts else None))
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     types = [pa.int64()] * 4 + [pa.string()] * 2
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types, strict=True)], names=names)
@@ -387,6 +390,15 @@ def _digest_only(docs: pa.Table, table: pa.Table) -> pa.Table:
     return _digest(docs, table, texts=False)
 
 
+def _changed(docs: pa.Table, table: pa.Table) -> pa.Table:
+    """(id, mark, kept_text) of each different document that loses bytes."""
+    marks, rows = docs.column("mark").to_pylist(), {}
+    for i, r, text, spans in _cut(docs, table):
+        if spans and (i, marks[r]) not in rows:
+            rows[i, marks[r]] = kept_bytes(text, spans).decode("utf-8", "ignore")
+    return pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "mark": pa.array([m for _, m in rows], pa.int64()), "kept_text": pa.array(list(rows.values()), pa.string())})
+
+
 def _packed(batches):
     for batch in batches:
         flat, at = raw_bytes(batch.column("text"))
@@ -396,29 +408,40 @@ def _packed(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], pa.array([_mark(t) for t in texts], pa.int64()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["id", "mark", "packed"])
 
 
+def _cut_by(documents: DataFrame, length: int, id_col: str, text_col: str, last, schema: str) -> DataFrame:
+    """All rounds; then last(documents of a block, their spans), whose rows have the schema."""
+    n = 4 * partitions(documents.sparkSession)
+    x = id_text(documents, id_col, text_col)
+    ranked = x.mapInArrow(anchor_rows(length, n), SCHEMA).groupBy("bucket").applyInArrow(rank_anchors(length, n), SCHEMA)
+    packed = x.mapInArrow(_blocked(n), "id long, mark long, packed binary, block long")  # shuffled once, read twice
+    strings = packed.groupBy("block").cogroup(ranked.groupBy("bucket")).applyInArrow(name_strings(length, n), SCHEMA)
+    spans = strings.groupBy("bucket").applyInArrow(rank_strings(length, n), SCHEMA)
+    return packed.groupBy("block").cogroup(spans.groupBy("bucket")).applyInArrow(last, schema)
+
+
 def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
-    """Every row with what is left of its text.
+    """What is left of every row's text.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (unless digest_only),
-    which is null where nothing was removed, so that unchanged texts are not written twice; bytes
-    left over of a character that was cut are replaced by U+FFFD there, as text can't hold them.
+    which is null where nothing was removed, so that unchanged texts are not written twice; what is
+    left over of a character that was cut through is dropped there, as text can't hold it.
     A null text counts as empty; a null id sorts first. Rows that repeat an id are judged by (id,
     start) alone: a string at the same start under the same id is not earlier, so equal rows get
     equal results. An empty table gives an empty result; other columns are not read.
     """
-    spark = documents.sparkSession
-    n = 4 * partitions(spark)
-    x = id_text(documents, id_col, text_col)
-    anchors_ = x.mapInArrow(anchor_rows(length, n), SCHEMA)
-    ranked = anchors_.groupBy("bucket").applyInArrow(rank_anchors(length, n), SCHEMA)
-    packed = x.mapInArrow(_blocked(n), "id long, mark long, packed binary, block long")
-    by_block = packed.groupBy("block")
-    strings = by_block.cogroup(ranked.groupBy("bucket")).applyInArrow(name_strings(length, n), SCHEMA)
-    spans = strings.groupBy("bucket").applyInArrow(rank_strings(length, n), SCHEMA)
-    out = packed.groupBy("block").cogroup(spans.groupBy("bucket")).applyInArrow(_digest_only if digest_only else _digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    out = _cut_by(documents, length, id_col, text_col, _digest_only if digest_only else _digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out.select(outer_id().alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *([] if digest_only else ["kept_text"]))
 
 
+def without_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, their texts cut as remove_repeats says. A null text stays null."""
+    changed = _cut_by(documents, length, id_col, text_col, _changed, "id long, mark long, kept_text string")
+    changed = changed.select(F.col("id").alias("_cut_id"), F.col("mark").alias("_cut_mark"), F.col("kept_text").alias("_cut_text"))
+    keyed = documents.withColumn("_cut_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_cut_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = keyed.join(changed, ["_cut_id", "_cut_mark"], "left")
+    return joined.select(*[(F.coalesce("_cut_text", f"`{c}`") if c == text_col else F.col(f"`{c}`")).alias(c) for c in documents.columns])
+
+
 def _blocked(n: int):
     def run(batches):
         for b in _packed(batches):
