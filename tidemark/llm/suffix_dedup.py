@@ -282,7 +282,7 @@ def rank_anchors(length: int, n: int):
 
     def run(table: pa.Table) -> pa.Table:
         kind, packs = table.column("kind").to_numpy(), table.column("pack").to_pylist()
-        out = [(int(b), 1, p) for b, k, p in zip(table.column("bucket").to_pylist(), kind, packs, strict=True) if k == 1]
+        out = _spans(_unpack([p for p, k in zip(packs, kind, strict=True) if k == 1], SPAN), n)
         x = _unpack([p for p, k in zip(packs, kind, strict=True) if k == 0], ANCHOR)
         if len(x["doc"]):
             x = {k: v.astype(np.int64) if k in ("pos", "near", "far") else v for k, v in x.items()}
@@ -310,8 +310,9 @@ def name_strings(length: int, n: int):
     """Round 3, map side: names of the strings that are still in question, from their documents."""
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        out = [(int(b), 1, p) for b, k, p in zip(table.column("bucket").to_pylist(), table.column("kind").to_pylist(), table.column("pack").to_pylist(), strict=True) if k == 1]
-        x = _unpack([p for p, k in zip(table.column("pack").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == 0], WANT)
+        kind, packs = table.column("kind").to_pylist(), table.column("pack").to_pylist()
+        out = _spans(_unpack([p for p, k in zip(packs, kind, strict=True) if k == 1], SPAN), n)  # one row for all that is sure by now
+        x = _unpack([p for p, k in zip(packs, kind, strict=True) if k == 0], WANT)
         if len(x["doc"]):
             ids, marks = docs.column("id").to_numpy(), docs.column("mark").to_numpy()
             texts = {(int(i), int(m)): r for r, (i, m) in enumerate(zip(ids, marks, strict=True))}
@@ -344,7 +345,7 @@ def rank_strings(length: int, n: int):
 
     def run(table: pa.Table) -> pa.Table:
         kind, packs = table.column("kind").to_pylist(), table.column("pack").to_pylist()
-        out = [(int(b), 1, p) for b, k, p in zip(table.column("bucket").to_pylist(), kind, packs, strict=True) if k == 1]
+        out = _spans(_unpack([p for p, k in zip(packs, kind, strict=True) if k == 1], SPAN), n)
         x = _unpack([p for p, k in zip(packs, kind, strict=True) if k == 0], STRING)
         if len(x["doc"]):
             first, _ = _first((x["name"],), x["id"], x["start"])
