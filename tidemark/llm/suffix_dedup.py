@@ -411,7 +411,7 @@ def _packed(batches):
 
 def _cut_by(documents: DataFrame, length: int, id_col: str, text_col: str, last, schema: str) -> DataFrame:
     """All rounds; then last(documents of a block, their spans), whose rows have the schema."""
-    n = 2 * partitions(documents.sparkSession)  # a block sends a row to each bucket at most: n * n rows
+    n = partitions(documents.sparkSession)  # a block sends a row to each bucket at most: n * n rows
     x = id_text(documents, id_col, text_col)
     ranked = x.mapInArrow(anchor_rows(length, n), SCHEMA).groupBy("bucket").applyInArrow(rank_anchors(length, n), SCHEMA)
     packed = x.mapInArrow(_blocked(n), "id long, mark long, packed binary, block long")  # shuffled once, read twice
