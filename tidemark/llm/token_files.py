@@ -60,14 +60,14 @@ class TokenCodes:
     def build(doc_ids: np.ndarray, starts: np.ndarray, tokens: np.ndarray, bits: int = 8) -> bytes:
         if not 1 <= bits <= 8:
             raise ValueError("a chunk has 1 to 8 bits")
-        levels, rest = [], tokens.astype(np.uint64)
+        levels, rest = [], tokens.astype(np.uint32)
         while True:
-            more = rest >> np.uint64(bits)
+            more = rest >> np.uint32(bits)
             on = more > 0
             padded = np.zeros(-(-len(rest) // BLOCK) * BLOCK, bool)
             padded[: len(on)] = on
             counts = padded.reshape(-1, BLOCK).sum(axis=1)
-            levels.append(b"".join([np.array([len(rest)], "<i8").tobytes(), (rest & np.uint64((1 << bits) - 1)).astype(np.uint8).tobytes(), np.packbits(padded, bitorder="little").tobytes(), (np.cumsum(counts) - counts).astype("<u4").tobytes()]))
+            levels.append(b"".join([np.array([len(rest)], "<i8").tobytes(), (rest & np.uint32((1 << bits) - 1)).astype(np.uint8).tobytes(), np.packbits(padded, bitorder="little").tobytes(), (np.cumsum(counts) - counts).astype("<u4").tobytes()]))
             rest = more[on]
             if not len(rest):
                 break
@@ -183,7 +183,9 @@ def _documents(before: dict[int, int]):
                 codes = TokenCodes(payload.as_py())
                 for i in range(0, codes.n_docs, 500):
                     ks = range(i, min(i + 500, codes.n_docs))
-                    ids = [codes.document(k).astype("<u4").tobytes() for k in ks]
+                    first = int(codes.starts[i])
+                    part = codes.tokens(first, int(codes.starts[ks.stop])).astype("<u4")
+                    ids = [part[codes.starts[k] - first : codes.starts[k + 1] - first].tobytes() for k in ks]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(codes.doc_ids[i : ks.stop]), pa.array(codes.starts[i : ks.stop] + base + before[shard]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                         names=["id", "start", "n_tokens", "token_ids", "ids_crc32"],

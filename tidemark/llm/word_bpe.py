@@ -13,10 +13,11 @@ be cut here as the library cuts it. A file that fails is encoded by the library
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -32,7 +33,7 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMBERS}]+|[{_NUMBERS}]|(?
 class WordBpe:
     """One tokenizer file. ids(texts) and counts(texts) equal the library's, without special tokens."""
 
-    def __init__(self, path: str, most_cached: int = 1_000_000):
+    def __init__(self, path: str, most_cached: int = 800_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -42,7 +43,7 @@ class WordBpe:
         self.library.no_padding()
         spec = json.loads(text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.most, self.cache, self.excess = most_cached, {}, {}
+        self.most, self.cache, self.excess, self.pieces = most_cached, {}, {}, {}
         self.provable = self._known(spec) and self._same_cuts()
         self.whole = self._whole(spec["model"]) if self.provable else {}
 
@@ -88,16 +89,26 @@ class WordBpe:
     def plain(self, text: str) -> bool:
         return self.provable and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
-    def _encode_new(self, chunks: list[str]):
-        """(chunk ids end to end, ids of each chunk), many chunks in one call of the library."""
-        for at in range(0, len(chunks), 4000):
-            part = chunks[at : at + 4000]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter((len(_WORDS.findall(c)) for c in part), np.int64, len(part)))
-            owner = np.array(e.word_ids, np.int64)
-            if len(owner) and owner[-1] != ends[-1] - 1:
-                raise ValueError("the library cuts these words otherwise")
-            yield part, np.array(e.ids, np.uint32), np.diff(np.r_[0, np.searchsorted(owner, ends)])
+    def _merged(self, word: str) -> list[int]:
+        """Ids of one pre-token, by the library's own merges."""
+        found = self.pieces.get(word)
+        if found is None:
+            letters = word if word.isascii() else "".join(map(_byte_letters().__getitem__, word.encode()))
+            found = self.pieces[word] = [t.id for t in self.library.model.tokenize(letters)]
+        return found
+
+    def _learn(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of texts without white space that are met for the first time."""
+        if len(self.pieces) > self.most // 2:
+            self.pieces = {}
+        merged, cut = self._merged, _WORDS.findall
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small lists without a cycle among them
+        try:
+            return [merged(w[0]) if len(w) == 1 else list(chain.from_iterable(map(merged, w))) for w in map(cut, chunks)]
+        finally:
+            if collecting:
+                gc.enable()
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. A text is cut at white space, which no pre-token holds; what stands
@@ -110,19 +121,25 @@ class WordBpe:
         cache, out = self.cache, [None] * len(texts)
         easy = [i for i, t in enumerate(texts) if self.plain(t)]
         words = [texts[i].lower().split() for i in easy]
-        for part, ids, sizes in self._encode_new(list(set(chain.from_iterable(words)).difference(cache))):
-            at, n = len(cache), len(part)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chunks = list(chain.from_iterable(words))
+        numbers = np.fromiter(map(cache.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(missing := np.flatnonzero(numbers < 0)):
+            new = list(dict.fromkeys(map(chunks.__getitem__, missing.tolist())))
+            found = self._learn(new)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+            at, n = len(cache), len(new)
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
             while at + n > len(self.start):
                 self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.length[at : at + n] = sizes
-            self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
+            self.length[at : at + n] = lengths
+            self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
             self.used += len(ids)
-            cache.update(zip(part, range(at, at + n), strict=True))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+            cache.update(zip(new, range(at, at + n), strict=True))
+            numbers[missing] = np.fromiter(map(cache.__getitem__, map(chunks.__getitem__, missing.tolist())), np.int64, len(missing))
         count = self.length[numbers]
         ends = np.cumsum(count)
         at = np.arange(int(count.sum())) + np.repeat(self.start[numbers] - (ends - count), count)
@@ -142,14 +159,14 @@ class WordBpe:
         plain = [self.plain(t) for t in texts]
         words = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
         new = list(set(chain.from_iterable(words)).difference(self.whole).difference(rest))
-        for part, _, sizes in self._encode_new(new):
-            rest.update(zip(part, (sizes - 1).tolist(), strict=True))
+        rest.update(zip(new, [len(x) - 1 for x in self._learn(new)], strict=True))
         more = rest.get
         for i, (p, w) in enumerate(zip(plain, words, strict=True)):
             out[i] = len(w) + sum(filter(None, map(more, w))) if p else len(self.library.encode(texts[i], add_special_tokens=False).ids)
         return out
 
 
+@lru_cache(1)
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
