@@ -1,0 +1 @@
+"""Entity-attention analytics on Spark DataFrames."""

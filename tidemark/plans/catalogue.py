@@ -1,6 +1,451 @@
-"""Every query of the engine's own operators, with the SQL that states the same rows."""
+"""Every query of the engine's own operators, with the SQL that states the same rows.
+
+The queries run the operators on the common tables: events stand for posts and mentions (entity: the
+user), documents for posts (entity: the source), labels for a classifier's output, embeddings for
+embedded posts (entity: the label). Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import text as T
+from ..operators import curation, mentions, relational, scoring, temporal, vectors
+from ..sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+DIM = 64
+
+
+def query(sql: str | None = None):
+    """Register a function of a table reader under its name."""
+
+    def keep(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _posts(t):
+    return t("events").select(F.col("event_id").alias("post_id"), F.col("user_id").alias("entity_id"), F.col("ts").alias("timestamp_utc"), "event_type", "value")
+
+
+def _clicks(t):
+    return _posts(t).where("event_type = 'click'").select("entity_id", "post_id")
+
+
+def _cases(t):
+    return t("events").groupBy(F.col("user_id").alias("entity_id")).agg(F.min(F.col("ts").cast("date")).alias("event_date"))
+
+
+_DAILY = """WITH p AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS d FROM events),
+t AS (SELECT d, count(*) AS total_posts FROM p GROUP BY d),
+daily AS (SELECT user_id AS entity_id, p.d AS date, count(*) AS mention_count, any_value(t.total_posts) AS total_posts FROM p JOIN t USING (d) WHERE event_type = 'click' GROUP BY 1, 2),
+cases AS (SELECT user_id AS entity_id, min(d) AS event_date FROM p GROUP BY 1),
+inten AS (SELECT c.entity_id, coalesce(sum(mention_count), 0)::BIGINT AS mentions_immediate, coalesce(sum(total_posts), 0)::BIGINT AS total_posts_immediate FROM cases c LEFT JOIN daily x ON x.entity_id = c.entity_id AND x.date BETWEEN c.event_date AND c.event_date + 7 GROUP BY 1)
+"""
+
+
+@query(_DAILY + "SELECT entity_id, date, mention_count, total_posts FROM daily")
+def daily_counts(t, spark):
+    return temporal.daily_counts(_clicks(t), _posts(t))
+
+
+@query(_DAILY + "SELECT entity_id, round(CASE WHEN total_posts_immediate > 0 THEN mentions_immediate / total_posts_immediate ELSE 0 END, 6) AS intensity, mentions_immediate, total_posts_immediate FROM inten")
+def intensity(t, spark):
+    found = temporal.intensity(temporal.daily_counts(_clicks(t), _posts(t)), _cases(t))
+    return found.withColumn("intensity", r6("intensity"))
+
+
+@query()
+def decay_fit(t, spark):
+    return temporal.fit_decay(temporal.daily_counts(_clicks(t), _posts(t)), _cases(t))
+
+
+@query()
+def temporal_metrics(t, spark):
+    return temporal.temporal_metrics(_clicks(t), _posts(t), _cases(t))
+
+
+@query("SELECT year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, count(*) AS n_posts, count(DISTINCT source) AS n_threads, round(avg(strlen(text)), 1) AS mean_bytes FROM documents JOIN events ON event_id = doc_id GROUP BY 1, 2")
+def corpus_manifest(t, spark):
+    posts = t("documents").join(t("events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    return tables.corpus_manifest(posts, "ts", "source", "text")
+
+
+_LABEL = "CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END"
+_AFFECT = f"""aff AS (SELECT source, count(*) FILTER (lab = 'positive') AS n_positive, count(*) FILTER (lab = 'negative') AS n_negative, count(*) AS n_total FROM documents JOIN (SELECT doc_id, {_LABEL} AS lab FROM labels) USING (doc_id) GROUP BY source)"""
+
+
+def _affect(t):
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return scoring.affect_ratios(t("documents").select(F.col("source").alias("entity_id"), F.col("doc_id").alias("post_id")), t("labels").select(F.col("doc_id").alias("post_id"), label.alias("label")))
+
+
+@query(f"WITH {_AFFECT} SELECT source AS entity_id, n_positive, n_negative, n_total, round(n_positive / n_total, 6) AS positive_ratio, round(n_negative / n_total, 6) AS negative_ratio FROM aff")
+def affect_ratio(t, spark):
+    return _affect(t).withColumns({c: r6(c) for c in ("positive_ratio", "negative_ratio")})
+
+
+def _number(t):
+    return _affect(t).withColumn("entity_id", F.substring("entity_id", 4, 20).cast("long"))
+
+
+def _temporal(t):
+    shares = temporal.intensity(temporal.daily_counts(_clicks(t), _posts(t)), _cases(t))
+    return shares.join(t("events").groupBy(F.col("user_id").alias("entity_id")).agg(F.avg("value").alias("longevity")), "entity_id")
+
+
+def _semantic(t):
+    return t("embeddings").groupBy(F.col("label").cast("long").alias("entity_id")).agg(F.median(F.col("embedding")[0].cast("double")).alias("similarity_median"))
+
+
+_FEATURES = (
+    _DAILY
+    + f""", {_AFFECT},
+a AS (SELECT substr(source, 4)::BIGINT AS entity_id, n_positive / n_total AS positive_ratio, n_negative / n_total AS negative_ratio, n_positive, n_negative, n_total FROM aff),
+m AS (SELECT i.entity_id, CASE WHEN total_posts_immediate > 0 THEN mentions_immediate / total_posts_immediate ELSE 0 END AS intensity, v.longevity FROM inten i JOIN (SELECT user_id AS entity_id, avg(value) AS longevity FROM events GROUP BY 1) v USING (entity_id)),
+s AS (SELECT label::BIGINT AS entity_id, median(embedding[1]::DOUBLE) AS similarity_median FROM embeddings GROUP BY 1),
+"""
+)
+
+
+@query(
+    _FEATURES
+    + """x AS (SELECT entity_id, coalesce(positive_ratio, 0.5) AS p, coalesce(negative_ratio, 0.5) AS n, coalesce(intensity, 0) AS i, coalesce(longevity, 0) AS l, coalesce(similarity_median, 0) AS s FROM a FULL JOIN m USING (entity_id) FULL JOIN s USING (entity_id)),
+y AS (SELECT *, ln(p + 1e-6) - ln(n + 1e-6) AS r FROM x),
+g AS (SELECT avg(r) AS mr, stddev_samp(r) AS sr, min(i) AS i0, max(i) AS i1, min(l) AS l0, max(l) AS l1, min(s) AS s0, max(s) AS s1 FROM y)
+SELECT entity_id, round(r, 6) AS log_affect_ratio, round((r - mr) / sr, 6) AS z_affect, round((i - i0) / (i1 - i0), 6) AS intensity_scaled, round((l - l0) / (l1 - l0), 6) AS longevity_scaled, round((s - s0) / (s1 - s0), 6) AS similarity_median_scaled,
+round((r - mr) / sr * ((i - i0) / (i1 - i0) + (l - l0) / (l1 - l0) + (s - s0) / (s1 - s0)), 6) AS score_naive FROM y, g"""
+)
+def naive_score(t, spark):
+    found = scoring.naive_score(_number(t), _temporal(t), _semantic(t))
+    return found.select("entity_id", *[r6(c).alias(c) for c in ("log_affect_ratio", "z_affect", "intensity_scaled", "longevity_scaled", "similarity_median_scaled", "score_naive")])
+
+
+def _factor(t):
+    volume = t("events").groupBy(F.col("user_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("volume"))
+    return scoring.factor_features(_number(t), _temporal(t), _semantic(t), volume)
+
+
+@query(
+    _FEATURES
+    + """v AS (SELECT user_id AS entity_id, count(*) AS volume FROM events GROUP BY 1),
+x AS (SELECT entity_id, coalesce(positive_ratio, 0) AS p, coalesce(intensity, 0) AS i, coalesce(longevity, 0) AS l, coalesce(similarity_median, 0) AS s, ln(1 + coalesce(volume, 0)) AS v FROM a FULL JOIN m USING (entity_id) FULL JOIN s USING (entity_id) FULL JOIN v USING (entity_id)),
+g AS (SELECT avg(p) AS pm, stddev_pop(p) AS ps, avg(i) AS im, stddev_pop(i) AS i_s, avg(l) AS lm, stddev_pop(l) AS ls, avg(s) AS sm, stddev_pop(s) AS ss, avg(v) AS vm, stddev_pop(v) AS vs FROM x)
+SELECT entity_id, round((i - im) / i_s, 6) AS z_intensity, round((l - lm) / ls, 6) AS z_longevity, round((s - sm) / ss, 6) AS z_similarity_median, round((p - pm) / ps, 6) AS z_positive_ratio, round((v - vm) / vs, 6) AS z_log_volume FROM x, g"""
+)
+def factor_features(t, spark):
+    return _factor(t).select("entity_id", *[r6(f"z_{c}").alias(f"z_{c}") for c in scoring.INDICATORS])
+
+
+@query()
+def factor_score(t, spark):
+    return scoring.bayes_score(_factor(t), samples=200, tune=100, chains=2)
+
+
+def _aliases(t, length=40):
+    return t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring("text", 1, length).alias("alias"))
+
+
+def _documents(t):
+    return t("documents").select(F.col("doc_id").alias("post_id"), F.lower("text").alias("body_clean"), "source", "lang")
+
+
+@query("SELECT doc_id AS post_id, item_id AS entity_id, lower(left(b.text, 40)) AS alias_matched, 'exact_substring' AS match_type, 1.0::DOUBLE AS score FROM documents d JOIN (SELECT DISTINCT item_id, text FROM benchmark) b ON contains(lower(d.text), lower(left(b.text, 40)))")
+def exact_mentions(t, spark):
+    return mentions.exact_mentions(_documents(t), _aliases(t))
+
+
+@query()
+def lexical_candidates(t, spark):
+    names = t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring_index("text", " ", 2).alias("alias"))
+    return mentions.lexical_candidates(_documents(t), names, sample_target=1_000_000)
+
+
+@query()
+def fuzzy_tokens(t, spark):
+    names = t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring_index("text", " ", 2).alias("alias"))
+    return mentions.fuzzy_mentions(_documents(t), names)
+
+
+@query("WITH p AS (SELECT doc_id, source || '-' || lang AS thread FROM documents) SELECT doc_id, thread FROM p WHERE thread IN (SELECT thread FROM p WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+def thread_neighbours(t, spark):
+    posts = t("documents").select("doc_id", F.concat("source", F.lit("-"), "lang").alias("thread"))
+    return relational.thread_neighbours(posts, t("labels").where("toxic = 1"), "doc_id", "thread").select("doc_id", "thread")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % greatest(1, (SELECT count(*) FROM documents) // 200) = 0")
+def modular_sample(t, spark):
+    return relational.modular_sample(t("documents"), "doc_id", 200).select("doc_id", "lang")
+
+
+@query("SELECT user_id, event_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5")
+def topk_per_entity(t, spark):
+    return relational.top_per_key(t("events"), "user_id", [F.col("value").desc(), F.col("event_id")], 5, "rank").select("user_id", "event_id", "value", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || event_id), event_id) AS k FROM events) WHERE k <= 20")
+def capped_sample(t, spark):
+    return relational.sample_per_key(t("events"), "user_id", "event_id", 20).select("user_id", "event_id")
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
+def seeded_sample(t, spark):
+    return relational.sample_rows(t("documents"), "doc_id", 100).select("doc_id", "source")
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all('>>' || turn || ' ' || text || '>>' || conv_id || ' >>99999999999999999999', '>>(\\d+)', 1), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL), ',') AS replies FROM conversations")
+def reply_ids(t, spark):
+    body = F.concat(F.lit(">>"), "turn", F.lit(" "), "text", F.lit(">>"), "conv_id", F.lit(" >>99999999999999999999"))
+    return t("conversations").select("conv_id", "turn", F.array_join(T.reply_ids(body), ",").alias("replies"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower('>> ' || text), '^>{1,3}\\s*', '', 'gm'), '\\s+', ' ', 'g')) AS body FROM documents")
+def clean_body(t, spark):
+    return t("documents").select("doc_id", T.clean_body(F.concat(F.lit(">> "), "text"), normalise=False).alias("body"))
+
+
+@query()
+def html_strip(t, spark):
+    return t("pages").select("page_id", T.strip_html(F.col("html")).alias("body"))
+
+
+@query()
+def adversarial_norm(t, spark):
+    return t("documents").select("doc_id", T.adversarial(F.col("text")).alias("norm"))
+
+
+@query("""SELECT doc_id, translate(replace(text, '}{', 'h'), '0134578' || '9@$!|+', 'oieastb' || 'gasilt') AS deleet, translate(text, 'АВСЕНКМОРТХаеорсухΑΒΕΗΙΚΜΝΟΡΤΧαο', 'ABCEHKMOPTXaeopcyxABEHIKMNOPTXao') AS latin, regexp_replace(text, '[\\x{0300}-\\x{036f}\\x{0489}\\x{1dc0}-\\x{1dff}\\x{20d0}-\\x{20ff}\\x{fe20}-\\x{fe2f}]{2,}', '', 'g') AS plain FROM documents""")
+def spelling_repairs(t, spark):
+    c = F.col("text")
+    return t("documents").select("doc_id", T.deleet(c).alias("deleet"), T.latinise(c).alias("latin"), T.strip_combining(c).alias("plain"))
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{3,}')"
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({_TOKENS}) AS token FROM documents), c AS (SELECT token, string_split(regexp_replace(token, '[aeiou]', '', 'g'), '') AS l, string_split(token, '') AS a FROM w) SELECT token, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), '') AS skeleton, array_to_string(list_filter(a, lambda x, i: i < 3 OR x <> a[i - 1] OR x <> a[i - 2]), '') AS shortened FROM c")
+def token_keys(t, spark):
+    words = t("documents").select(F.explode(T.tokens(F.col("text"), 3)).alias("token")).distinct()
+    return words.select("token", T.skeleton(F.col("token")).alias("skeleton"), T.shorten_runs(F.col("token")).alias("shortened"))
+
+
+@query("SELECT user_id, date, event_id, event_type FROM (SELECT user_id, CAST(ts AS DATE) AS date, event_id, event_type, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END, event_id) AS k FROM events) WHERE k = 1")
+def precedence_dedupe(t, spark):
+    rows = t("events").select("user_id", F.col("ts").cast("date").alias("date"), "event_id", "event_type")
+    return relational.first_by_precedence(rows, ["user_id", "date"], "event_type", ["purchase", "click", "view"], ["event_id"])
+
+
+@query(f"""WITH p AS (SELECT source, doc_id, list_distinct({_TOKENS}) AS ws FROM documents), n AS (SELECT source, count(*) AS n FROM p GROUP BY 1), e AS (SELECT source, w, count(*) AS df FROM (SELECT source, unnest(ws) AS w FROM p) GROUP BY 1, 2 HAVING count(*) >= 3),
+b AS (SELECT w, count(*) AS bdf FROM (SELECT unnest(ws) AS w FROM p) GROUP BY 1), s AS (SELECT source, w AS term, round_even(df / n * ln(((SELECT count(*) FROM documents) + 1) / (1 + coalesce(bdf, 0))), 4) AS score FROM e JOIN n USING (source) LEFT JOIN b USING (w))
+SELECT source AS entity_id, term, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, term) AS k FROM s) WHERE k <= 10""")
+def alias_bootstrap(t, spark):
+    posts = t("documents").select(F.col("source").alias("entity_id"), F.col("text").alias("body_clean"))
+    return mentions.bootstrap_aliases(posts, posts, n=10)
+
+
+@query(f"WITH c AS (SELECT source, w, count(*) AS n FROM (SELECT source, unnest({_TOKENS}) AS w FROM documents) GROUP BY 1, 2), g AS (SELECT source, sum(n) AS t FROM c GROUP BY 1) SELECT source AS entity_id, round(-sum(n / t * log2(n / t)), 6) AS entropy FROM c JOIN g USING (source) GROUP BY 1")
+def unigram_entropy(t, spark):
+    found = vectors.unigram_entropy(t("documents").select(F.col("source").alias("entity_id"), "text"), "entity_id", "text")
+    return found.withColumn("entropy", r6("entropy"))
+
+
+_MEAN = "m AS (SELECT label, i, avg(x) AS v FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(v ORDER BY i) AS c0 FROM m GROUP BY 1), u AS (SELECT label, list_transform(c0, lambda x: x / sqrt(list_dot_product(c0, c0))) AS c FROM c)"
+
+
+def _vectors(t):
+    return t("embeddings").select(F.col("vec_id").alias("post_id"), F.col("label").alias("entity_id"), "embedding")
+
+
+@query(f"WITH {_MEAN}, s AS (SELECT u.label AS entity_id, vec_id AS post_id, list_dot_product(embedding::DOUBLE[], c) AS score FROM embeddings, u) SELECT entity_id, post_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, post_id) AS k FROM s) WHERE k <= 20")
+def centroid_topk(t, spark):
+    v = _vectors(t)
+    return mentions.centroid_candidates(v.drop("entity_id"), v, DIM, n=20).select("entity_id", "post_id", r6("score").alias("score"))
+
+
+@query("WITH p AS (SELECT a.label, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label AS entity_id, round(quantile_cont(s, 0.5), 6) AS similarity_median, round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) AS similarity_iqr, round(avg(s), 6) AS similarity_mean, round(stddev_pop(s), 6) AS similarity_std, any_value(n) AS n FROM p JOIN n USING (label) GROUP BY 1")
+def similarity_stats(t, spark):
+    found = vectors.similarity_stats(_vectors(t), "entity_id", "post_id", "embedding")
+    return found.withColumns({c: r6(c) for c in found.columns if c.startswith("similarity")})
+
+
+@query()
+def topic_concentration(t, spark):
+    return vectors.topic_concentration(_vectors(t), "entity_id", "post_id", "embedding")
+
+
+def _drift(t):
+    return vectors.drift_windows(_vectors(t).withColumn("days", F.col("post_id") % 750), DIM)
+
+
+_DRIFT = """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, (vec_id % 750) // 30 AS w FROM embeddings),
+m AS (SELECT label, w, i, avg(x) AS a FROM (SELECT label, w, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e) GROUP BY 1, 2, 3), n AS (SELECT label, w, count(*) AS n_posts FROM e GROUP BY 1, 2 HAVING count(*) >= 2),
+c0 AS (SELECT label, w, list(a ORDER BY i) AS c FROM m GROUP BY 1, 2), c AS (SELECT label, w, n_posts, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c0 JOIN n USING (label, w)),
+d AS (SELECT *, coalesce(1 - list_dot_product(c, lag(c) OVER o) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(lag(c) OVER o, lag(c) OVER o))), 0) AS drift, first_value(c) OVER o AS canon, first_value(w) OVER o AS fw FROM c WINDOW o AS (PARTITION BY label ORDER BY w)),
+d2 AS (SELECT *, sum(drift) OVER (PARTITION BY label ORDER BY w ROWS UNBOUNDED PRECEDING) AS cum FROM d),
+s AS (SELECT d2.label, d2.w, n_posts, drift, cum, fw, 1 - list_dot_product(v, c) AS own, 1 - list_dot_product(v, canon) AS far FROM e JOIN d2 ON e.label = d2.label AND e.w = d2.w),
+usual AS (SELECT label, median(far) AS u FROM s WHERE w = fw GROUP BY 1), here AS (SELECT label, w, median(far) AS h FROM s GROUP BY 1, 2),
+l AS (SELECT label, w, 2 * CASE WHEN u > 1e-6 THEN u ELSE h END AS lim FROM here JOIN usual USING (label)),
+r AS (SELECT label AS entity_id, w::INTEGER AS "window", any_value(n_posts) AS n_posts, any_value(drift) AS centroid_drift, avg(own) AS dispersion, stddev_pop(own) AS dispersion_std, avg(CASE WHEN lim > 0 AND far > lim THEN 1.0::DOUBLE ELSE 0 END) AS evasion_rate, any_value(cum) AS cumulative_drift FROM s JOIN l USING (label, w) GROUP BY 1, 2)
+"""
+
+
+@query(_DRIFT + 'SELECT entity_id, "window", n_posts, round(centroid_drift, 6) AS centroid_drift, round(dispersion, 6) AS dispersion, round(dispersion_std, 6) AS dispersion_std, round(evasion_rate, 6) AS evasion_rate, round(cumulative_drift, 6) AS cumulative_drift FROM r')
+def drift_windows(t, spark):
+    found = _drift(t)
+    return found.withColumns({c: r6(c) for c in found.columns if c not in ("entity_id", "window", "n_posts")})
+
+
+@query(_DRIFT + 'SELECT entity_id, round(avg(centroid_drift), 6) AS mean_drift, round(max(centroid_drift), 6) AS max_drift, round(max_by(cumulative_drift, "window"), 6) AS final_cumulative_drift, round(avg(dispersion), 6) AS mean_dispersion, round(regr_slope(dispersion, k), 6) AS dispersion_trend, round(avg(evasion_rate), 6) AS mean_evasion_rate, count(*) AS n_windows FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY "window") - 1 AS k FROM r) GROUP BY 1 HAVING count(*) >= 2')
+def drift_summary(t, spark):
+    found = vectors.drift_summary(_drift(t))
+    return found.withColumns({c: r6(c) for c in found.columns if c not in ("entity_id", "n_windows")})
+
+
+def _adjudicated(t):
+    kind = F.when(F.col("lang") == "en", "exact_substring").when(F.col("lang") == "fr", "semantic").otherwise("fuzzy")
+    posts = _documents(t)
+    candidates = posts.select("post_id", F.col("source").alias("entity_id"), F.lit("x").alias("alias_matched"), kind.alias("match_type"), F.lit(0.5).alias("score"))
+    names = posts.select(F.col("source").alias("entity_id"), F.upper("source").alias("name")).distinct()
+    cache = t("labels").where("toxic = 1").join(t("documents").select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("post_id"), F.col("source").alias("entity_id"), F.lit("m1").alias("model_name"), F.lit(0.25).alias("confidence"))
+    return mentions.adjudicate(candidates, posts, names, lambda q, x: (F.char_length(x) - F.char_length(q) - 300) / 100, "m1", cache=cache)
+
+
+_JUDGED = "WITH k AS (SELECT doc_id FROM labels WHERE toxic = 1), j AS (SELECT doc_id, source, lang, k.doc_id IS NOT NULL AS known, CASE WHEN lang = 'en' THEN 1.0 WHEN k.doc_id IS NOT NULL THEN 0.25 ELSE 1 / (1 + exp(-((least(length(lower(text)), 512) - length('Does this post reference or mention ' || upper(source) || '?') - 300) / 100))) END::DOUBLE AS c FROM documents LEFT JOIN k USING (doc_id)) "
+
+
+@query(_JUDGED + "SELECT doc_id AS post_id, source AS entity_id, c >= 0.5 AS is_reference, round(c, 6) AS confidence, lang = 'fr' AS is_oblique, CASE lang WHEN 'en' THEN 'exact_substring' WHEN 'fr' THEN 'semantic' ELSE 'fuzzy' END AS source_stage FROM j")
+def adjudicate(t, spark):
+    return _adjudicated(t)[0].select("post_id", "entity_id", "is_reference", r6("confidence").alias("confidence"), "is_oblique", "source_stage")
+
+
+@query(_JUDGED + "SELECT doc_id AS post_id, source AS entity_id, 'm1' AS model_name, round(c, 6) AS confidence FROM j WHERE lang <> 'en' AND NOT known")
+def cache_antijoin(t, spark):
+    return _adjudicated(t)[1].withColumn("confidence", r6("confidence"))
+
+
+@query("WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM conversations) SELECT conv_id * 1000 + turn AS key, (generate_subscripts(l, 1) - 1)::INTEGER AS position, unnest(l) AS value FROM l")
+def list_explode(t, spark):
+    rows = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    return curation.list_rows(rows, "key", "text", by=r"\.")
+
+
+@query("SELECT 'bulk_is_discounted' AS rule, l_orderkey AS key, l_linenumber AS line FROM lineitem WHERE NOT (l_quantity < 45 OR l_discount > 0.01) UNION ALL SELECT 'price_covers_tax', l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_extendedprice * l_tax < 4000) UNION ALL SELECT 'returned_is_closed', l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND NOT l_linestatus = 'F'")
+def consistency_audit(t, spark):
+    rules = {"bulk_is_discounted": (F.col("l_quantity") < 45) | (F.col("l_discount") > 0.01), "price_covers_tax": F.col("l_extendedprice") * F.col("l_tax") < 4000, "returned_is_closed": F.when(F.col("l_returnflag") == "R", F.col("l_linestatus") == "F")}
+    rows = t("lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), "*")
+    return curation.rule_violations(rows, "k", rules).select("rule", F.col("k.l_orderkey").alias("key"), F.col("k.l_linenumber").alias("line"))
+
+
+def _profile_sql(c: str) -> str:
+    return f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS n_null, count(*) FILTER ({c} = '') AS n_empty, count(*) FILTER ({c} <> '') AS n_filled, count(*) FILTER (contains({c}, ';')) AS n_listed, count(DISTINCT {c}) AS n_unique, min(length({c})) AS min_len, max(length({c})) AS max_len, median(length({c})) AS median_len FROM documents"
+
+
+@query(" UNION ALL ".join(_profile_sql(c) for c in ("text", "lang", "source")))
+def column_profile(t, spark):
+    return curation.column_profile(t("documents"), ["text", "lang", "source"])
+
+
+@query("SELECT 'lang' AS \"column\", lang AS value, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'fr') GROUP BY 2")
+def domain_violations(t, spark):
+    domains = spark.createDataFrame([("lang", "en"), ("lang", "fr")], '"column" string, value string'.replace('"', "`"))
+    return curation.domain_violations(t("documents"), domains, "lang")
+
+
+@query("SELECT doc_id, 'quality' AS \"column\" FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL UNION ALL SELECT doc_id, 'toxic' FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NULL")
+def missing_required(t, spark):
+    return curation.missing_required(t("documents").join(t("labels"), "doc_id", "left"), "doc_id", ["quality", "toxic"])
+
+
+@query("SELECT o_orderkey AS edge, 'o_custkey' AS \"end\", o_custkey::VARCHAR AS ref, 'dangling' AS kind FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def dangling_refs(t, spark):
+    return curation.dangling_refs(t("orders"), t("customer").where("c_acctbal > 0"), "o_orderkey", ["o_custkey"], "c_custkey")
+
+
+@query("WITH x AS (SELECT log10(greatest(o_totalprice, 0.5)) AS v, max(log10(greatest(o_totalprice, 0.5))) OVER () AS hi FROM orders) SELECT least(floor((v - log10(0.5)) / (hi - log10(0.5)) * 24)::INTEGER, 23)::INTEGER AS bin, count(*) AS n FROM x GROUP BY 1")
+def log_histogram(t, spark):
+    return relational.log_histogram(t("orders"), "o_totalprice")
+
+
+@query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, n_name LIMIT 12")
+def top_n(t, spark):
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return relational.counts_by(rows, "n_name").orderBy(F.col("n").desc(), "n_name").limit(12)
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def distribution(t, spark):
+    return relational.counts_by(t("customer"), "c_mktsegment")
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(t, spark):
+    return relational.duplicates(t("events"), "user_id", "event_type")
+
+
+@query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n, min(year(o_orderdate)) OVER ()::INTEGER AS first_year, max(year(o_orderdate)) OVER ()::INTEGER AS last_year FROM orders WHERE year(o_orderdate) <= 1996 GROUP BY year(o_orderdate)")
+def yearly_counts(t, spark):
+    rows = t("orders").select(F.year("o_orderdate").alias("year")).where("year <= 1996")
+    ends = rows.agg(F.min("year").alias("a"), F.max("year").alias("b"))
+    return relational.counts_by(rows, "year").select("year", "n", ends.select("a").scalar().alias("first_year"), ends.select("b").scalar().alias("last_year"))
+
+
+_CASES = "c AS (SELECT c_custkey, c_acctbal, c_nationkey, nullif(c_mktsegment, 'BUILDING') AS g, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS age, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)"
+
+
+@query(f"WITH {_CASES}, a AS (SELECT *, coalesce(age, (SELECT median(age) FROM c)) AS b, coalesce(g, 'unknown') AS grp FROM c), s AS (SELECT avg(b) AS m, stddev_pop(b) AS s FROM a) SELECT c_custkey AS entity_id, round(c_acctbal, 6) AS score, round(ln(n + 1), 6) AS log_count, CASE WHEN c_nationkey > 12 THEN 1 ELSE 0 END AS east, round((b - m) / (s + 1e-8), 6) AS age_z, grp AS \"group\", (dense_rank() OVER (ORDER BY grp) - 1)::INTEGER AS group_index FROM a, s")
+def regression_design(t, spark):
+    c = t("customer")
+    count = t("orders").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
+    cases = c.select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_nationkey") > 12, "Y").otherwise("Partial").alias("east"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("age")).join(count, "entity_id", "left")
+    found = scoring.regression_design(c.select(F.col("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("score")), cases, "n", ["east"], "segment", "age")
+    return found.withColumns({k: r6(k) for k in ("score", "log_count", "age_z")})
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def keep_first(t, spark):
+    return curation.keep_first(t("events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id, user_id, value, NULL::VARCHAR AS props FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, user_id, NULL::DOUBLE, props FROM events WHERE event_type = 'view'")
+def union_relaxed(t, spark):
+    e = t("events")
+    return e.where("event_type = 'click'").select("event_id", "user_id", "value").unionByName(e.where("event_type = 'view'").select("event_id", "user_id", "props"), allowMissingColumns=True)
+
+
+@query("SELECT event_id, event_type AS kind, CASE WHEN value > 50 THEN 'high' WHEN value > 20 THEN '+mid' END AS kind_detail FROM events")
+def enforce_domains(t, spark):
+    c = F.col("event_type")
+    rows = t("events").select("event_id", F.when(F.col("value") > 50, F.concat(c, F.lit(" (high)"))).when(F.col("value") > 20, F.concat(c, F.lit("+mid"))).otherwise(c).alias("kind"))
+    return curation.enforce_domains(rows, {"kind": ["click", "view", "error", "purchase", "signup"]})
+
+
+@query("SELECT event_id, try_cast(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k, CAST(ts AS DATE) AS day, strftime(ts, '%Y-%m') || '-01' AS month, strftime(ts, '%Y') || '-01-01' AS year FROM events")
+def lenient_fields(t, spark):
+    ts = F.col("ts")
+    return t("events").select("event_id", S.lenient_int(F.regexp_extract("props", r"(\d+)", 1)).alias("k"), S.lenient_date(F.date_format(ts, "yyyy-MM-dd")).alias("day"), S.complete_date(F.date_format(ts, "yyyy-MM")).alias("month"), S.complete_date(F.date_format(ts, "yyyy")).alias("year"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'NEW' WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING; extra' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def keyed_overrides(t, spark):
+    c = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    changes = c.where("c_nationkey = 3").select("c_custkey", F.lit("c_mktsegment").alias("field"), F.lit("set").alias("mode"), F.lit("NEW").alias("value")).unionByName(c.where("c_nationkey <> 3 and c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("c_mktsegment").alias("field"), F.lit("append").alias("mode"), F.lit("extra").alias("value")))
+    return curation.apply_overrides(c.select("c_custkey", "c_mktsegment"), changes, "c_custkey")
+
+
+@query("WITH s AS (SELECT user_id, list_sort(list(value)) AS x, count(*) AS n, floor(0.89 * count(*))::BIGINT AS k FROM events GROUP BY 1), i AS (SELECT user_id, x, k, n, unnest(range(1, greatest(n - k, 1) + 1)) AS i FROM s), w AS (SELECT user_id, x[i] AS low, x[least(i + k, n)] AS high, row_number() OVER (PARTITION BY user_id ORDER BY x[least(i + k, n)] - x[i], i) AS r FROM i) SELECT user_id, low, high FROM w WHERE r = 1")
+def hdi(t, spark):
+    return scoring.hdi_per_key(t("events"), "user_id", "value")
