@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, outer_id, raw_bytes, slices
+from .common import id_text, lean, outer_id, raw_bytes, slices
 
 PIECE = 20_000
 _SAFE = re.compile(r"\S(?=\s)")
@@ -68,7 +68,7 @@ def encode(documents: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     No special tokens: their strings are ordinary text. Null texts encode as empty. Null and repeated
     ids are kept; other columns are not read; an empty table gives an empty result.
     """
-    found = id_text(documents, id_col, text_col).mapInArrow(_encode(ranks, pattern), "id long, n_tokens long, ids binary")
+    found = id_text(documents, id_col, text_col).mapInArrow(lean(_encode(ranks, pattern)), "id long, n_tokens long, ids binary")
     return found.select(outer_id().alias(id_col), "n_tokens", "ids")
 
 
@@ -89,4 +89,4 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids") -
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     rows = encoded.drop("decoded")
-    return rows.mapInArrow(_decode(ranks, pattern, ids_col), StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))
+    return rows.mapInArrow(lean(_decode(ranks, pattern, ids_col)), StructType([*rows.schema.fields, StructField("decoded", BinaryType())]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import uuid
 
 import numpy as np
@@ -13,6 +16,44 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+def release() -> None:
+    """Give memory that is free again back to the machine: idle workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A worker function that releases memory when it is through with a partition or a group."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def each(batches):
+            try:
+                yield from run(batches)
+            finally:
+                release()
+
+        return each
+
+    def group(*tables):
+        try:
+            return run(*tables)
+        finally:
+            release()
+
+    # Spark looks at the number of parameters
+    return (lambda left, right: group(left, right)) if len(inspect.signature(run).parameters) == 2 else (lambda table: group(table))
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: no more than `rows` of them cross to a worker at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and continue from there.
 
@@ -36,6 +77,7 @@ def partitions(spark: SparkSession) -> int:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (id, text), without nulls: other columns can't clash with an operator's own."""
+    short_batches(df.sparkSession)
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, connected_components, outer_id
+from .common import NULL_ID, checkpointed, connected_components, lean, outer_id
 
 SLACK = 1e-9  # room for rounding in bounds; links themselves are decided by the cosine
 LEAF, FAN = 256, 32
@@ -232,7 +232,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     good = x.withColumn("good", F.coalesce(F.expr(sound), F.lit(False)))
     nodes = good.where("good").groupBy("vector").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("node"), "first", "copies", "vector")
     nodes = checkpointed(nodes)
-    units = nodes.mapInArrow(_units, "node long, first long, copies long, size int, unit binary")
+    units = nodes.mapInArrow(lean(_units), "node long, first long, copies long, size int, unit binary")
     sizes = {r["size"]: r["count"] for r in nodes.groupBy(F.size("vector").alias("size")).count().collect()}
     if len(sizes) > 64:
         raise ValueError("vectors of more than 64 different lengths")
@@ -245,7 +245,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
         if not len(drawn):
             drawn = units.where(F.col("size") == size).limit(1).select("unit").toPandas()
         centres[size] = _top(np.stack([np.frombuffer(u) for u in drawn.unit]), min(most_cells, -(-sizes[size] // cell_rows)))
-    dealt = checkpointed(units.mapInArrow(_cells(centres), "node long, first long, copies long, size int, unit binary, cell int, gap double"))
+    dealt = checkpointed(units.mapInArrow(lean(_cells(centres)), "node long, first long, copies long, size int, unit binary, cell int, gap double"))
     radius = {s: np.zeros(len(c)) for s, c in centres.items()}
     parts = {s: [1] * len(c) for s, c in centres.items()}
     for r in dealt.groupBy("size", "cell").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).collect():  # a row a cell
@@ -256,8 +256,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
         for p in parts[s]:
             number[s].append(at)
             at += p
-    tasks = dealt.mapInArrow(_deal(centres, radius, parts, number, reach), "task long, side int, node long, copies long, unit binary")
-    links = checkpointed(tasks.groupBy("task").applyInArrow(_task(cosine), _LINKS))
+    tasks = dealt.mapInArrow(lean(_deal(centres, radius, parts, number, reach)), "task long, side int, node long, copies long, unit binary")
+    links = checkpointed(tasks.groupBy("task").applyInArrow(lean(_task(cosine)), _LINKS))
     found = connected_components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
     named = nodes.join(found, "node", "left").join(counts, "node", "left").select("vector", "node", "first", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("n", F.lit(0)).alias("n"))

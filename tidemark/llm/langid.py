@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, outer_id, raw_bytes, slices
+from .common import id_text, lean, outer_id, raw_bytes, short_batches, slices
 
 UNDETERMINED = "und"
 
@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     if languages:
         share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / v)))])
         drawn = F.pmod(F.xxhash64(F.coalesce("key", F.lit("")), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-        counts = rows.where(drawn < share[F.col("lang")]).select("text", "lang").mapInArrow(_gram_counts(n), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counts = rows.where(drawn < share[F.col("lang")]).select("text", "lang").mapInArrow(lean(_gram_counts(n)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         per = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]) if totals else None
         if totals:
@@ -146,7 +146,7 @@ def _predictions(model: LanguageModel):
     def run(batches):
         for batch in batches:
             flat, at = raw_bytes(batch.column("text"))
-            for i, j in slices(at, 1 << 20):
+            for i, j in slices(at, 1 << 19):
                 texts = [flat[at[r] : at[r + 1]].tobytes().decode() for r in range(i, j)]
                 found, score = model.predict(texts) if model.languages else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], pa.array(found, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
@@ -162,7 +162,7 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     score is the language's share of all corrected votes. Null and repeated ids are kept; other
     columns are not read.
     """
-    found = id_text(documents, id_col, text_col).mapInArrow(_predictions(model), "id long, lang_pred string, score double")
+    found = id_text(documents, id_col, text_col).mapInArrow(lean(_predictions(model)), "id long, lang_pred string, score double")
     return found.select(outer_id().alias(id_col), "lang_pred", "score")
 
 
@@ -173,6 +173,7 @@ def held_out(id_col: str = "doc_id"):
 
 def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose text has a language, with their columns: those identified as `und` go."""
+    short_batches(documents.sparkSession)
     spark_schema = documents.schema
     at = spark_schema.names.index(text_col)
 
@@ -181,8 +182,8 @@ def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
             texts = [x or "" for x in batch.column(at).to_pylist()]
             sizes = np.cumsum([0, *(len(t) for t in texts)])
             keep: list[bool] = []
-            for i, j in slices(sizes, 1 << 20):
+            for i, j in slices(sizes, 1 << 19):
                 keep += [x != UNDETERMINED for x in model.predict(texts[i:j])[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, spark_schema)
+    return documents.mapInArrow(lean(run), spark_schema)

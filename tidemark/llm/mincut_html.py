@@ -288,7 +288,7 @@ def fit(pages: DataFrame, fit_pages: int = 500, id_col: str = "page_id", html_co
     rows = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(html_col).cast("string").alias("html")).where("html is not null")
     n = rows.count()
     drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < fit_pages / max(1, n)
-    found = rows.where(drawn).select("html").mapInArrow(_examples, "x array<double>, y double").toPandas()
+    found = rows.where(drawn).select("html").mapInArrow(lean(_examples), "x array<double>, y double").toPandas()
     if not len(found):
         return PLAIN
     return train(np.stack(found.x), found.y.to_numpy())
@@ -312,5 +312,5 @@ def extract(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", url_
     other columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = rows.mapInArrow(_extract(weights), "page_id long, url string, text string, n_chars long")
+    found = rows.mapInArrow(lean(_extract(weights)), "page_id long, url string, text string, n_chars long")
     return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

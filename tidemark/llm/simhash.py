@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, id_text, outer_id, raw_bytes, slices
+from .common import checkpointed, connected_components, id_text, lean, outer_id, raw_bytes, slices
 
 SEED = 42
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -128,7 +128,7 @@ def _keys(batches):
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for every row, null texts as empty."""
-    return id_text(documents, id_col, text_col).mapInArrow(_fingerprints, "id long, fp long")
+    return id_text(documents, id_col, text_col).mapInArrow(lean(_fingerprints), "id long, fp long")
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
@@ -136,7 +136,7 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     if not 0 <= most <= 3:
         raise ValueError("the Golay keys cover up to 3 differing bits")
     distinct = prints.select("fp").distinct()
-    keys = checkpointed(distinct.mapInArrow(_keys, "fp long, side int, key long"))
+    keys = checkpointed(distinct.mapInArrow(lean(_keys), "fp long, side int, key long"))
     left = keys.where("side = 0").select("key", F.col("fp").alias("a"))
     right = keys.where("side = 1").select("key", F.col("fp").alias("b"))
     return left.join(right, "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()

@@ -30,11 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_text, outer_id, partitions, raw_bytes, slices, spread
+from .common import NULL_ID, id_text, lean, outer_id, partitions, raw_bytes, slices, spread
 
 SEED = 0x9E3779B97F4A7C15
-STEP_BYTES = 2 << 20  # text hashed at once
-FLUSH = 24 << 20  # text whose anchors are folded before they leave a map task
+STEP_BYTES = 1 << 20  # text hashed at once
+FLUSH = 16 << 20  # text whose anchors are folded before they leave a map task
 ONES = np.uint64(0xFFFFFF)
 
 
@@ -413,11 +413,11 @@ def _cut_by(documents: DataFrame, length: int, id_col: str, text_col: str, last,
     """All rounds; then last(documents of a block, their spans), whose rows have the schema."""
     n = partitions(documents.sparkSession)  # a block sends a row to each bucket at most: n * n rows
     x = id_text(documents, id_col, text_col)
-    ranked = x.mapInArrow(anchor_rows(length, n), SCHEMA).groupBy("bucket").applyInArrow(rank_anchors(length, n), SCHEMA)
-    packed = x.mapInArrow(_blocked(n), "id long, mark long, packed binary, block long")  # shuffled once, read twice
-    strings = packed.groupBy("block").cogroup(ranked.groupBy("bucket")).applyInArrow(name_strings(length, n), SCHEMA)
-    spans = strings.groupBy("bucket").applyInArrow(rank_strings(length, n), SCHEMA)
-    return packed.groupBy("block").cogroup(spans.groupBy("bucket")).applyInArrow(last, schema)
+    ranked = x.mapInArrow(lean(anchor_rows(length, n)), SCHEMA).groupBy("bucket").applyInArrow(lean(rank_anchors(length, n)), SCHEMA)
+    packed = x.mapInArrow(lean(_blocked(n)), "id long, mark long, packed binary, block long")  # shuffled once, read twice
+    strings = packed.groupBy("block").cogroup(ranked.groupBy("bucket")).applyInArrow(lean(name_strings(length, n)), SCHEMA)
+    spans = strings.groupBy("bucket").applyInArrow(lean(rank_strings(length, n)), SCHEMA)
+    return packed.groupBy("block").cogroup(spans.groupBy("bucket")).applyInArrow(lean(last), schema)
 
 
 def remove_repeats(documents: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:

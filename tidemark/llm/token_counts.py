@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import word_bpe
-from .common import id_text, outer_id, raw_bytes, slices
+from .common import id_text, lean, outer_id, raw_bytes, slices
 
 
 @lru_cache(2)
@@ -45,5 +45,5 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 2048, id_col
     No special tokens are added; special strings inside a text are handled as the library does by
     default. Null texts count as empty; null and repeated ids are kept; other columns are not read.
     """
-    found = id_text(documents, id_col, text_col).mapInArrow(_counts(tokenizer, limit), "id long, n_bytes long, n_tokens long, over_limit boolean")
+    found = id_text(documents, id_col, text_col).mapInArrow(lean(_counts(tokenizer, limit)), "id long, n_bytes long, n_tokens long, over_limit boolean")
     return found.select(outer_id().alias(id_col), "n_bytes", "n_tokens", "over_limit")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import id_text, outer_id, partitions, range_bounds, range_shard, raw_bytes, slices
+from .common import id_text, lean, outer_id, partitions, range_bounds, range_shard, raw_bytes, slices
 
 MAGIC, BLOCK = b"DAC1", 512
 SEGMENT_TOKENS = 8 << 20
@@ -172,8 +172,8 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     """
     x = id_text(documents, id_col, text_col)
     bounds = np.array(range_bounds(x, 4 * partitions(documents.sparkSession)), np.int64)
-    encoded = x.mapInArrow(_encoded(tokenizer, end_id, bounds), "shard long, id long, mark long, width int, tokens binary")
-    encoded.groupBy("shard").applyInArrow(_segments(bits), "shard long, segment long, base long, n_docs long, n_tokens long, payload binary").write.mode("overwrite").option("compression", "none").parquet(folder)
+    encoded = x.mapInArrow(lean(_encoded(tokenizer, end_id, bounds)), "shard long, id long, mark long, width int, tokens binary")
+    encoded.groupBy("shard").applyInArrow(lean(_segments(bits)), "shard long, segment long, base long, n_docs long, n_tokens long, payload binary").write.mode("overwrite").option("compression", "none").parquet(folder)
 
 
 def _documents(before: dict[int, int]):
@@ -203,5 +203,5 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
     before, total = {}, 0
     for row in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
         before[row.shard], total = total, total + row.n
-    found = files.select("shard", "base", "payload").mapInArrow(_documents(before), "id long, start long, n_tokens long, token_ids binary, ids_crc32 long")
+    found = files.select("shard", "base", "payload").mapInArrow(lean(_documents(before)), "id long, start long, n_tokens long, token_ids binary, ids_crc32 long")
     return found.select(outer_id().alias(id_col), "start", "n_tokens", "token_ids", "ids_crc32")
