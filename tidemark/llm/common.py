@@ -45,7 +45,8 @@ def lean(run):
             release()
 
     # Spark looks at the number of parameters
-    return (lambda left, right: group(left, right)) if len(inspect.signature(run).parameters) == 2 else (lambda table: group(table))
+    needed = [p for p in inspect.signature(run).parameters.values() if p.default is p.empty]
+    return (lambda left, right: group(left, right)) if len(needed) == 2 else (lambda table: group(table))
 
 
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
