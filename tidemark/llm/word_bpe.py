@@ -16,10 +16,13 @@ from __future__ import annotations
 import gc
 import json
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The normaliser and pre-tokenizer pattern of the file format handled here.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -33,7 +36,7 @@ _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMBERS}]+|[{_NUMBERS}]|(?
 class WordBpe:
     """One tokenizer file. ids(texts) and counts(texts) equal the library's, without special tokens."""
 
-    def __init__(self, path: str, most_cached: int = 800_000):
+    def __init__(self, path: str, most_cached: int = 600_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -110,59 +113,64 @@ class WordBpe:
             if collecting:
                 gc.enable()
 
+    def _distinct(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct parts between white space, number of each part, parts of each text). No pre-token holds white space."""
+        parts = pc.utf8_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        offsets = parts.offsets.to_numpy()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(offsets)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. A text is cut at white space, which no pre-token holds; what stands
-        between is encoded when first met, and looked up after that.
-        """
-        if len(self.cache) > self.most:
-            self.cache = {}
-        if not self.cache:
-            self.flat, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-        cache, out = self.cache, [None] * len(texts)
+        """Ids of each text: its distinct parts are looked up, or encoded when first met, and put together."""
+        out: list = [None] * len(texts)
         easy = [i for i, t in enumerate(texts) if self.plain(t)]
-        words = [texts[i].lower().split() for i in easy]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        chunks = list(chain.from_iterable(words))
-        numbers = np.fromiter(map(cache.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if len(missing := np.flatnonzero(numbers < 0)):
-            new = list(dict.fromkeys(map(chunks.__getitem__, missing.tolist())))
-            found = self._learn(new)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-            at, n = len(cache), len(new)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            while at + n > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.length[at : at + n] = lengths
-            self.start[at : at + n] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(ids)
-            cache.update(zip(new, range(at, at + n), strict=True))
-            numbers[missing] = np.fromiter(map(cache.__getitem__, map(chunks.__getitem__, missing.tolist())), np.int64, len(missing))
-        count = self.length[numbers]
-        ends = np.cumsum(count)
-        at = np.arange(int(count.sum())) + np.repeat(self.start[numbers] - (ends - count), count)
-        tokens = self.flat[at]
-        edges = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-        for k, i in enumerate(easy):
-            out[i] = tokens[edges[k] : edges[k + 1]]
+        if easy:
+            parts, number, sizes = self._distinct([texts[i] for i in easy])
+            rows = self._rows(parts)
+            length = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            flat, start = np.frombuffer(b"".join(rows), np.uint32), np.cumsum(length) - length
+            count = length[number]
+            ends = np.cumsum(count)
+            tokens = flat[np.arange(int(count.sum())) + np.repeat(start[number] - (ends - count), count)]
+            edges = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
+            for k, i in enumerate(easy):
+                out[i] = tokens[edges[k] : edges[k + 1]]
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if x is None else x for t, x in zip(texts, out, strict=True)]
 
+    def _rows(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, as bytes. The parts met first, the frequent ones among them, are remembered."""
+        cache = self.cache
+        found = list(map(cache.get, parts))
+        missing = [k for k, x in enumerate(found) if x is None]
+        new = [parts[k] for k in missing]
+        made = [array("I", x).tobytes() for x in self._learn(new)]
+        for k, x in zip(missing, made, strict=True):
+            found[k] = x
+        if len(cache) < self.most:
+            cache.update(zip(new, made, strict=True))
+        return found
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text: what is one whole token by proof counts one without a look at the
-        merges; the rest is merged once and its excess over one is remembered.
+        merges; the rest is merged once and its count remembered.
         """
-        if len(self.excess) > self.most:
-            self.excess = {}
-        rest, out = self.excess, [0] * len(texts)
-        plain = [self.plain(t) for t in texts]
-        words = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list(set(chain.from_iterable(words)).difference(self.whole).difference(rest))
-        rest.update(zip(new, [len(x) - 1 for x in self._learn(new)], strict=True))
-        more = rest.get
-        for i, (p, w) in enumerate(zip(plain, words, strict=True)):
-            out[i] = len(w) + sum(filter(None, map(more, w))) if p else len(self.library.encode(texts[i], add_special_tokens=False).ids)
+        out = [0] * len(texts)
+        easy = [i for i, t in enumerate(texts) if self.plain(t)]
+        if easy:
+            parts, number, sizes = self._distinct([texts[i] for i in easy])
+            whole, excess = self.whole, self.excess
+            count = np.array([1 if p in whole else excess.get(p, -1) for p in parts], np.int64)
+            missing = np.flatnonzero(count < 0)
+            new = [parts[k] for k in missing.tolist()]
+            count[missing] = made = list(map(len, self._learn(new)))
+            if len(excess) < self.most:
+                excess.update(zip(new, made, strict=True))
+            ends = np.r_[0, np.cumsum(count[number])]
+            edges = np.r_[0, np.cumsum(sizes)]
+            for i, n in zip(easy, (ends[edges[1:]] - ends[edges[:-1]]).tolist(), strict=True):
+                out[i] = n
+        for i in set(range(len(texts))).difference(easy):
+            out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
         return out
 
 
