@@ -262,6 +262,8 @@ def test_byte_bpe(docs, rows, empty):
         t = "".join(rng.choice(["a", "'s", " ", "  ", "\n", "1", "!", "é", "\t x"]) for _ in range(60))
         parts = byte_bpe.pieces(t, 7)
         assert "".join(parts) == t and [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    assert byte_bpe.pieces("a!\x1c!\x1f\x1c b", 1) == ["a!\x1c!\x1f\x1c b"]  # no white space to the library: one match
+    assert byte_bpe.pieces("a!\x1c! b", 1) == ["a!\x1c!", " b"]
 
 
 def test_edit_prints(docs, rows, empty):
