@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 100 bytes that occurred before; a document of which nothing is left goes."""
-    return suffix_dedup.without_repeats(docs).where("text is null or text <> ''")
+    """Texts without strings of 100 bytes that occurred before, and their new lengths; a document of which nothing is left goes."""
+    return suffix_dedup.without_repeats(docs).where("text is null or text <> ''").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,6 +347,19 @@ def test_golay_keys_find_every_link(spark):
         assert (simhash.decode(words_ ^ np.uint32(0)) == code).all() and set(np.unique(row)) == set(range(500)) and e
 
 
+def test_short_texts_share_no_band(spark):
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("abcdefghij") for _ in range(rng.randint(30, 60))) for _ in range(400)} | {"a", "b", "abc"})
+    x = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    banded = edit_prints.bands_of(x, 20, 4)
+    assert banded.groupBy("band").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0] <= 12
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t[:-1] + "Z") for k, t in enumerate(texts) if len(t) > 5]
+    got = {(r.a, r.b) for r in edit_prints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(k, 1000 + k) for k, t in enumerate(texts) if len(t) > 5}
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+    assert edit_prints.near_pairs(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).count() == 0
+
+
 def test_pipeline(spark):
     import os
 
@@ -361,6 +374,8 @@ def test_pipeline(spark):
     single = stage["near_duplicates"](spark, spoken, sf)
     groups = simhash.near_duplicate_groups(spoken)
     assert sorted(r.doc_id for r in single.collect()) == sorted(r.component_id for r in groups.select("component_id").distinct().collect())
+    cut = stage["repeats"](spark, single, sf)
+    assert cut.schema == docs.schema and cut.where("n_chars <> char_length(text)").count() == 0
     out = corpus_pipeline.run(spark, sf)
     assert out.select("doc_id").distinct().count() <= single.count() and out.count() >= out.select("doc_id").distinct().count()
 
