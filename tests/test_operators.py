@@ -196,3 +196,14 @@ def test_settings(monkeypatch, tmp_path):
     monkeypatch.setenv("TIDEMARK_SEED", "7")
     s = Settings.load(tmp_path / "c.toml")
     assert (s.seed, s.window_days, Settings().seed, Settings.load(seed=9).seed) == (7, 10, 42, 9)
+
+
+def test_many_names_and_centres_take_the_same_rows(spark):
+    posts = spark.createDataFrame([(1, "a word alphq here", [1.0, 0.0]), (2, "nothing", [0.0, 1.0]), (3, "alpha", [0.6, 0.8])], "post_id long, body_clean string, embedding array<double>")
+    names = spark.createDataFrame([("x", "Alpha"), ("y", "wordy name")], "entity_id string, alias string")
+    probes = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "entity_id string, embedding array<double>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    few = rows(mentions.fuzzy_mentions(posts, names, threshold=80.0))
+    assert few and few == rows(mentions.fuzzy_mentions(posts, names, threshold=80.0, most_names=0))
+    near = rows(mentions.centroid_candidates(posts, probes, 2, n=2))
+    assert len(near) == 4 and near == rows(mentions.centroid_candidates(posts, probes, 2, n=2, most_centres=0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import udfs
 from ..functions.scalars import dot, first_filled, sigmoid, unit
-from .relational import first_by_precedence, modular_sample, top_per_key
+from .relational import broadcast_if_few, first_by_precedence, modular_sample, top_per_key
 
 PRECEDENCE = ["exact_substring", "adversarial_norm", "phonetic_skeleton", "fuzzy", "semantic"]
 OBLIQUE = ("semantic", "phonetic_skeleton")
@@ -72,11 +72,12 @@ def skeleton_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "e
     return keyed.join(keys, "skel").where("token <> low").select(post, entity, F.col("token").alias("alias_matched"), F.lit("phonetic_skeleton").alias("match_type"), F.lit(0.8).alias("score"))
 
 
-def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", threshold: float = 85.0, least: int = 4, most_words: int = 3) -> DataFrame:
+def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", threshold: float = 85.0, least: int = 4, most_words: int = 3, most_names: int = 50_000) -> DataFrame:
     """For each post and alias of up to most_words words, the first word that is like one of its words: insert-delete ratio >= threshold.
 
     Words that pass share a length band; Levenshtein distance, never above the insert-delete distance,
-    rules out the rest before the ratio is computed. Distinct words are compared once.
+    rules out the rest before the ratio is computed. Distinct words are compared once. Up to
+    most_names words of aliases are broadcast; more are joined on the length by a shuffle.
     """
     low = alias_table.select(entity, F.lower("alias").alias("low")).where(F.length("low") >= least).distinct()
     parts = low.select(entity, "low", F.posexplode(T.tokens(F.col("low"))).alias("alias_pos", "alias_token")).where(F.size(T.tokens(F.col("low"))) <= most_words).where(F.length("alias_token") >= least)
@@ -84,7 +85,7 @@ def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "enti
     share = 2 * threshold / (200 - threshold)  # the longer word's part that the shorter must have: min/max >= t / (200 - t)
     vocabulary, names = words.select("token").distinct(), parts.select("alias_token").distinct()
     lengths = F.explode(F.sequence(F.ceil(F.length("alias_token") * share / 2).cast("int"), F.floor(F.length("alias_token") * 2 / share).cast("int")))
-    close = vocabulary.withColumn("n", F.length("token")).join(F.broadcast(names.withColumn("n", lengths)), "n")
+    close = vocabulary.withColumn("n", F.length("token")).join(broadcast_if_few(names.withColumn("n", lengths), names, most_names), "n")
     most = ((1 - threshold / 100) * (F.length("token") + F.length("alias_token"))).cast("int")
     close = close.where(F.levenshtein("token", "alias_token") <= most).withColumn("ratio", udfs.indel_ratio(F.col("token"), F.col("alias_token"))).where(F.col("ratio") >= threshold).select("token", "alias_token", "ratio")
     hits = words.join(close, "token").join(parts, "alias_token")
@@ -117,10 +118,13 @@ def vector_mean(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFram
     return vectors.groupBy(key).agg(*means, F.count(F.lit(1)).alias("n")).select(key, F.array(*[f"m{i}" for i in range(dim)]).alias("centroid"), "n")
 
 
-def centroid_candidates(posts: DataFrame, probes: DataFrame, dim: int, entity: str = "entity_id", post: str = "post_id", vector: str = "embedding", n: int = 500) -> DataFrame:
-    """The n posts closest to each entity's mean probe vector by dot product; ties by id. The centroids, a row an entity, meet every post."""
+def centroid_candidates(posts: DataFrame, probes: DataFrame, dim: int, entity: str = "entity_id", post: str = "post_id", vector: str = "embedding", n: int = 500, most_centres: int = 10_000) -> DataFrame:
+    """The n posts closest to each entity's mean probe vector by dot product; ties by id.
+
+    The centroids are a query set, a row an entity, that meets every post: broadcast if they are up to most_centres, else in blocks.
+    """
     centres = vector_mean(probes, entity, vector, dim).select(entity, unit(F.col("centroid")).alias("centroid"))
-    scored = posts.select(post, vector).crossJoin(F.broadcast(centres)).select(post, entity, dot(F.col(vector), F.col("centroid")).alias("score"))
+    scored = posts.select(post, vector).crossJoin(broadcast_if_few(centres, probes.select(entity).distinct(), most_centres)).select(post, entity, dot(F.col(vector), F.col("centroid")).alias("score"))
     best = top_per_key(scored, entity, [F.col("score").desc(), F.col(post)], n)
     return best.select(post, entity, F.lit("").alias("alias_matched"), F.lit("semantic").alias("match_type"), "score")
 

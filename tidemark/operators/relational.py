@@ -64,3 +64,8 @@ def log_histogram(df: DataFrame, value: str, bins: int = 24, low: float = 0.5, h
     top = F.log10(F.lit(float(high))) if high is not None else df.select(F.log10(F.greatest(F.max(value).cast("double"), F.lit(low)))).scalar()
     step = (x - F.log10(F.lit(low))) / (top - F.log10(F.lit(low))) * bins
     return df.where(F.col(value).isNotNull()).select(F.least(F.floor(step).cast("int"), F.lit(bins - 1)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def broadcast_if_few(df: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if `rows`, which bounds it, has at most `most` rows; as it is beyond that."""
+    return F.broadcast(df) if rows.limit(most + 1).count() <= most else df
