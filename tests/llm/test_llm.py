@@ -360,6 +360,45 @@ def test_short_texts_share_no_band(spark):
     assert edit_prints.near_pairs(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")).count() == 0
 
 
+def scattered(rng, t, share):
+    """t with `share` of its characters replaced, all over the text."""
+    t = list(t)
+    for k in rng.sample(range(len(t)), int(share * len(t))):
+        t[k] = rng.choice("QXZW")
+    return "".join(t)
+
+
+def test_near_pairs_keeps_scattered_edits(spark):
+    rng = random.Random(21)
+    texts = [words(rng, 40) for _ in range(12)]
+    rows = list(enumerate(texts)) + [(100 + k, scattered(rng, t, 0.2)) for k, t in enumerate(texts)] + [(200 + k, " ".join(w if i % 8 else "qq" for i, w in enumerate(t.split(" ")))) for k, t in enumerate(texts)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    for a, b in [("", ""), ("a", ""), ("ab", "ba"), ("kitten", "sitting"), *((texts[k], texts[k + 1]) for k in range(3))]:
+        assert edit_prints.edit_distance(a, b) == distance(a, b)
+    like = {(i, j): 1 - distance(s, t) / max(len(s), len(t)) for i, s in rows for j, t in rows if i < j}
+    got = {(r.a, r.b): r.edit_similarity for r in edit_prints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {p: e for p, e in like.items() if e >= 0.8}
+    assert {(k, 100 + k) for k in range(12)} <= set(want) and got == pytest.approx(want)
+
+
+def test_op9_query_bands_the_table(spark, docs, rows):
+    rng = random.Random(22)
+    texts = [words(rng, 80) for _ in range(10)]
+    table = spark.createDataFrame([*enumerate(texts), *((100 + k, t[:100] + "QQ" + t[103:]) for k, t in enumerate(texts)), (200, texts[0]), (None, "none")], "doc_id long, text string")
+    got = {r.doc_id: r for r in edit_prints.with_near_first(edit_prints.fingerprint_and_compare(table), table).collect()}
+    assert len(got) == 22 and all(got[100 + k].near_first == k and got[100 + k].near_first_similarity > 0.95 and got[k].near_first is None for k in range(10))
+    assert got[200].near_first == 0 and got[200].near_first_similarity == 1.0
+    assert edit_prints.with_near_first(edit_prints.fingerprint_and_compare(docs), docs).count() == len(rows)
+
+
 def test_pipeline(spark):
     import os
 

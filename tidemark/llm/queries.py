@@ -71,7 +71,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_prints.fingerprint_and_compare(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
+    return edit_prints.with_near_first(edit_prints.fingerprint_and_compare(documents), documents)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
