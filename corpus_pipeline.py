@@ -16,8 +16,9 @@ TARGETS = {"high": 0.76, "low": 0.14, "toxic": 0.1}
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
-    return langid.accepted(docs, langid.fit(docs.where(~langid.held_out())))
+    """Documents in a language that the table's labels teach; those without a letter go, and those whose n-grams no language knows."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    return langid.accepted(docs, model, least=langid.least_support(docs.where(langid.held_out()), model))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

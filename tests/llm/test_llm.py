@@ -87,6 +87,20 @@ def test_langid(spark, docs, empty):
     assert langid.held_out("doc_id") is not None
 
 
+def test_language_stage_rejects_what_no_language_knows(spark):
+    import base64 as b64
+
+    rng = random.Random(31)
+    sounds = {"aa": ["the", "an", "ou", "ing", "re"], "zz": ["sch", "ei", "ung", "keit", "zu"]}
+    clean = [(k, " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60))), lang) for k in range(400) for lang in ["aa" if k % 2 else "zz"]]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)), b64.b64encode(rng.randbytes(200)).decode(), "жжж", "Это другой язык и другое письмо.", " ".join("".join(rng.choice(["ka", "lo", "mi", "vu", "wy"]) for _ in range(3)) for _ in range(30)), "12 ..."]
+    rows = clean + [(1000 + k, t, "aa") for k, t in enumerate(junk)] + [(2000, "A.", "aa"), (2001, None, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(400), 2000]
+
+
 def test_bloom_never_loses_a_gram(spark):
     rng = random.Random(2)
     text = words(rng, 400)

@@ -92,6 +92,21 @@ class LanguageModel:
         return found, np.where(letters > 0, np.clip(score, 0, 1), 0.0)
 
 
+    def support(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(share of each text's n-grams that its best language knows, n-grams, letters)."""
+        votes, letters = self.votes(texts)
+        sizes = _grams(texts, self.n)[1]
+        return votes.max(axis=1, initial=0.0) / np.maximum(1, sizes), sizes, letters
+
+    def supported(self, texts: list[str], least: float = 0.0) -> np.ndarray:
+        """Whether some language knows the text: a vote above the false-positive level, and a share of known
+        n-grams not below `least` by more than two standard deviations of so few n-grams. A text with
+        letters and without a whole n-gram says nothing either way and passes."""
+        share, sizes, letters = self.support(texts)
+        low = least - 2 * np.sqrt(least * (1 - least) / np.maximum(1, sizes))
+        return (letters > 0) & ((sizes == 0) | ((share > 0) & (share >= low)))
+
+
 def _gram_counts(n: int):
     def run(batches):
         for batch in batches:
@@ -171,8 +186,31 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose text has a language, with their columns: those identified as `und` go."""
+def least_support(clean: DataFrame, model: LanguageModel, part: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The bound for `accepted`: `part` of the median share of known n-grams of rows that the model did not learn from.
+
+    Clean rows lie close to the median, so that even a table with much junk sets the same bound.
+    """
+    if not model.languages:
+        return 0.0
+
+    def run(batches):
+        for batch in batches:
+            flat, at = raw_bytes(batch.column("text"))
+            for i, j in slices(at, 1 << 19):
+                share, sizes, _ = model.support([flat[at[r] : at[r + 1]].tobytes().decode() for r in range(i, j)])
+                yield pa.RecordBatch.from_arrays([pa.array(share[sizes > 0])], names=["share"])
+
+    found = id_text(clean, id_col, text_col).mapInArrow(lean(run), "share double").agg(F.percentile_approx("share", 0.5).alias("m")).first()["m"]
+    return part * (found or 0.0)
+
+
+def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The documents whose text is in a language of the model, with their columns.
+
+    Those without a letter go, and those that the corrected counts don't support (LanguageModel.supported):
+    letter junk, encoded strings, unknown languages and scripts. A model without languages accepts nothing.
+    """
     short_batches(documents.sparkSession)
     spark_schema = documents.schema
     at = spark_schema.names.index(text_col)
@@ -183,7 +221,7 @@ def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
             sizes = np.cumsum([0, *(len(t) for t in texts)])
             keep: list[bool] = []
             for i, j in slices(sizes, 1 << 19):
-                keep += [x != UNDETERMINED for x in model.predict(texts[i:j])[0]]
+                keep += model.supported(texts[i:j], least).tolist() if model.languages else [False] * (j - i)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(lean(run), spark_schema)
