@@ -207,3 +207,23 @@ def test_many_names_and_centres_take_the_same_rows(spark):
     assert few and few == rows(mentions.fuzzy_mentions(posts, names, threshold=80.0, most_names=0))
     near = rows(mentions.centroid_candidates(posts, probes, 2, n=2))
     assert len(near) == 4 and near == rows(mentions.centroid_candidates(posts, probes, 2, n=2, most_centres=0))
+
+
+def test_queries_use_all_rows_of_large_groups(spark, monkeypatch):
+    from tidemark.operators import vectors
+    from tidemark.plans import catalogue
+
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(300, 6)), np.round(rng.normal(size=(300, 6))), np.ones((200, 6))):
+        s = (x @ x.T)[np.triu_indices(len(x), 1)]
+        for most in (50_000_000, 100):
+            q, mean, deviation = vectors.pair_stats(x, most=most, bins=8, block=64)
+            assert np.allclose(q, np.percentile(s, [25, 50, 75])) and np.allclose([mean, deviation], [s.mean(), s.std()])
+    dim = 4
+    monkeypatch.setattr(catalogue, "DIM", dim)
+    wide = spark.range(10_300).select((F.col("id") * 750).alias("post_id"), F.lit(1).alias("entity_id"), F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda k: F.sin(k * (F.col("id") + 1)).cast("float")).alias("embedding"))
+    monkeypatch.setattr(catalogue, "_vectors", lambda t: wide)
+    assert catalogue.QUERIES["drift_windows"](spark, "unused").first()["n_posts"] == 10_300
+    assert catalogue.QUERIES["similarity_stats"](spark, "unused").first()["n"] == 10_300
+    few = vectors.similarity_stats(wide, "entity_id", "post_id", "embedding", sample=50).first()
+    assert few["n"] == 50

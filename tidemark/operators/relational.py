@@ -16,8 +16,10 @@ def top_per_key(df: DataFrame, key: str | list[str], order: list[Column], n: int
     return out if rank else out.drop(name)
 
 
-def sample_per_key(df: DataFrame, key: str | list[str], id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows of each key, drawn by a seeded hash of the id."""
+def sample_per_key(df: DataFrame, key: str | list[str], id_col: str, n: int | None, seed: int = 42) -> DataFrame:
+    """n rows of each key, drawn by a seeded hash of the id; all rows if n is None."""
+    if n is None:
+        return df
     return top_per_key(df, key, [sampling_key(F.col(id_col), seed), F.col(id_col)], n)
 
 

@@ -15,8 +15,71 @@ from .relational import sample_per_key
 SIMILARITY = "similarity_median double, similarity_iqr double, similarity_mean double, similarity_std double, n long"
 
 
-def similarity_stats(vectors: DataFrame, entity: str, id_col: str, vector: str, sample: int = 10_000, seed: int = 42) -> DataFrame:
-    """Median, interquartile range, mean and deviation of the pairwise dot products of up to `sample` vectors an entity; zeros for one vector."""
+def pair_stats(x: np.ndarray, most: int = 50_000_000, bins: int = 1 << 16, block: int = 1024) -> tuple[np.ndarray, float, float]:
+    """(quartiles, mean, deviation) of the dot products of all pairs of rows, exactly: in blocks, no more than about `most` values at once.
+
+    Beyond `most` pairs each pass counts the values of finer bins around the wanted ranks, until few are left to sort.
+    """
+    n = len(x)
+    pairs = n * (n - 1) // 2
+
+    def values():
+        for a in range(0, n, block):
+            for b in range(a, n, block):
+                s = x[a : a + block] @ x[b : b + block].T
+                yield s[np.triu_indices(len(s), 1)] if a == b else s.ravel()
+
+    if pairs <= most:
+        s = np.concatenate(list(values()))
+        return np.percentile(s, [25, 50, 75]), float(s.mean()), float(s.std())
+    low, high, total = np.inf, -np.inf, 0.0
+    for s in values():
+        if len(s):
+            low, high, total = min(low, s.min()), max(high, s.max()), total + s.sum()
+    mean = total / pairs
+    square = sum(float(((s - mean) ** 2).sum()) for s in values())
+    places = [q * (pairs - 1) for q in (0.25, 0.5, 0.75)]
+    found: dict[int, float] = {}
+
+    def search(lo: float, hi: float, before: int, ranks: list[int]) -> None:
+        """Finds the values of these ranks, which lie from lo to hi; `before` values are smaller than lo."""
+        if lo == hi:
+            found.update(dict.fromkeys(ranks, float(lo)))
+            return
+
+        def bin_of(s):  # ascends with the value
+            return np.minimum((s - lo) / (hi - lo) * bins, bins - 1).astype(np.int64)
+
+        counts = np.zeros(bins, np.int64)
+        for s in values():
+            counts += np.bincount(bin_of(s[(s >= lo) & (s <= hi)]), minlength=bins)
+        ends = before + np.cumsum(counts)
+        wanted = np.searchsorted(ends, ranks, "right")
+        for k in np.unique(wanted).tolist():
+            own, start = [r for r, w in zip(ranks, wanted, strict=True) if w == k], int(ends[k] - counts[k])
+            if counts[k] <= most:
+                inside = (s[(s >= lo) & (s <= hi)] for s in values())
+                few = np.sort(np.concatenate([s[bin_of(s) == k] for s in inside]))
+                found.update({r: float(few[r - start]) for r in own})
+                continue
+            least, greatest = np.inf, -np.inf
+            for s in values():
+                s = s[(s >= lo) & (s <= hi)]
+                s = s[bin_of(s) == k]
+                if len(s):
+                    least, greatest = min(least, s.min()), max(greatest, s.max())
+            search(least, greatest, start, own)
+
+    search(low, high, 0, sorted({r for x in places for r in (int(x), min(int(x) + 1, pairs - 1))}))
+    quartiles = [found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, pairs - 1)] - found[int(x)]) for x in places]
+    return np.array(quartiles), mean, float(np.sqrt(square / pairs))
+
+
+def similarity_stats(vectors: DataFrame, entity: str, id_col: str, vector: str, sample: int | None = 10_000, seed: int = 42) -> DataFrame:
+    """Median, interquartile range, mean and deviation of the pairwise dot products of up to `sample` vectors an entity, all if None; zeros for one vector.
+
+    An entity's pairs are one task's work.
+    """
     kind = vectors.schema[entity].dataType.simpleString()
 
     def stats(key, rows):
@@ -24,9 +87,8 @@ def similarity_stats(vectors: DataFrame, entity: str, id_col: str, vector: str,
         n = len(x)
         values = np.zeros(4)
         if n > 1:
-            s = np.concatenate([x[i + 1 :] @ x[i] for i in range(n - 1)])
-            q = np.percentile(s, [25, 50, 75])
-            values = np.array([q[1], q[2] - q[0], s.mean(), s.std()])
+            q, mean, deviation = pair_stats(x)
+            values = np.array([q[1], q[2] - q[0], mean, deviation])
         return pd.DataFrame([[key[0], *values, n]], columns=[entity, "similarity_median", "similarity_iqr", "similarity_mean", "similarity_std", "n"])
 
     some = sample_per_key(vectors.where(F.col(vector).isNotNull()), entity, id_col, sample, seed)
@@ -151,11 +213,12 @@ def semantic_metrics(posts: DataFrame, entity: str, id_col: str, vector: str, te
     return similarity_stats(enough, entity, id_col, vector, **options).join(topic_concentration(enough, entity, id_col, vector), entity).join(unigram_entropy(enough, entity, text), entity)
 
 
-def drift_windows(posts: DataFrame, dim: int, entity: str = "entity_id", id_col: str = "post_id", vector: str = "embedding", days: str = "days", window_days: int = 30, end: int = 730, least_posts: int = 5, window_sample: int = 2000, seed: int = 42) -> DataFrame:
+def drift_windows(posts: DataFrame, dim: int, entity: str = "entity_id", id_col: str = "post_id", vector: str = "embedding", days: str = "days", window_days: int = 30, end: int = 730, least_posts: int = 5, window_sample: int | None = 2000, seed: int = 42) -> DataFrame:
     """(entity, window, n_posts, centroid_drift, dispersion, dispersion_std, evasion_rate, cumulative_drift).
 
     days: days since the entity's event. Windows start before `end`, the last may pass it; windows of
-    fewer than two posts are left out, and drift is against the last window that was not.
+    fewer than two posts are left out, and drift is against the last window that was not. Up to
+    window_sample posts of a window are used, all if None.
     """
     windows = -(-end // window_days)
     enough = posts.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_posts).select(entity)

@@ -278,7 +278,7 @@ def centroid_topk(t, spark):
 
 @query("WITH p AS (SELECT a.label, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label AS entity_id, round(quantile_cont(s, 0.5), 6) AS similarity_median, round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) AS similarity_iqr, round(avg(s), 6) AS similarity_mean, round(stddev_pop(s), 6) AS similarity_std, any_value(n) AS n FROM p JOIN n USING (label) GROUP BY 1")
 def similarity_stats(t, spark):
-    found = vectors.similarity_stats(_vectors(t), "entity_id", "post_id", "embedding")
+    found = vectors.similarity_stats(_vectors(t), "entity_id", "post_id", "embedding", sample=None)
     return found.withColumns({c: r6(c) for c in found.columns if c.startswith("similarity")})
 
 
@@ -288,7 +288,7 @@ def topic_concentration(t, spark):
 
 
 def _drift(t):
-    return vectors.drift_windows(_vectors(t).withColumn("days", F.col("post_id") % 750), DIM)
+    return vectors.drift_windows(_vectors(t).withColumn("days", F.col("post_id") % 750), DIM, window_sample=None)
 
 
 _DRIFT = """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, (vec_id % 750) // 30 AS w FROM embeddings),
