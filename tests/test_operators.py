@@ -227,3 +227,19 @@ def test_queries_use_all_rows_of_large_groups(spark, monkeypatch):
     assert catalogue.QUERIES["similarity_stats"](spark, "unused").first()["n"] == 10_300
     few = vectors.similarity_stats(wide, "entity_id", "post_id", "embedding", sample=50).first()
     assert few["n"] == 50
+
+
+def test_lexical_candidates_query_sees_all_posts(spark, monkeypatch):
+    from tidemark.plans import catalogue
+
+    posts = spark.createDataFrame([(k, "the kovalenkko case") for k in range(1, 7)], "post_id long, body_clean string")
+    names = spark.createDataFrame([("e", "kovalenko")], "entity_id string, alias string")
+    seen = lambda **o: {r.post_id for r in mentions.lexical_candidates(posts, names, **o).collect()}
+    assert seen(sample_target=2) < seen(sample_target=None) == set(range(1, 7))
+    asked = []
+    monkeypatch.setattr(catalogue.mentions, "lexical_candidates", lambda *a, **o: asked.append(o))
+    try:
+        catalogue.QUERIES["lexical_candidates"](spark, "/root/testdata/sf0.001")
+    except AttributeError:  # what the query makes of nothing
+        pass
+    assert asked == [{"sample_target": None}]

@@ -93,9 +93,9 @@ def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "enti
     return first.select(post, entity, F.col("token").alias("alias_matched"), F.lit("fuzzy").alias("match_type"), (F.col("ratio") / 100).alias("score"))
 
 
-def lexical_candidates(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", sample_target: int = 500_000, offset: int = 0, threshold: float = 85.0, least: int = 4) -> DataFrame:
-    """All passes, the costly ones on a modular sample of the posts, one row a post and entity by precedence."""
-    some = modular_sample(posts, post, sample_target, offset)
+def lexical_candidates(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", sample_target: int | None = 500_000, offset: int = 0, threshold: float = 85.0, least: int = 4) -> DataFrame:
+    """All passes, one row a post and entity by precedence; the costly ones on a modular sample of the posts, or on all if sample_target is None."""
+    some = posts if sample_target is None else modular_sample(posts, post, sample_target, offset)
     names = {"entity": entity, "post": post, "text": text, "least": least}
     passes = [exact_mentions(posts, alias_table, **names), adversarial_mentions(some, alias_table, **names), skeleton_mentions(some, alias_table, **names), fuzzy_mentions(some, alias_table, threshold=threshold, **names)]
     out = passes[0]

@@ -172,7 +172,7 @@ def exact_mentions(t, spark):
 @query()
 def lexical_candidates(t, spark):
     names = t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring_index("text", " ", 2).alias("alias"))
-    return mentions.lexical_candidates(_documents(t), names, sample_target=1_000_000)
+    return mentions.lexical_candidates(_documents(t), names, sample_target=None)
 
 
 @query()
