@@ -4,6 +4,10 @@ Long texts are cut where no match of the pattern can cross: between a character
 space and one that is. Every alternative of the pattern ends before white space that follows
 something else, and none looks back, so the pieces encode as the whole would. That keeps the
 library's regular expression and its memory to pieces of bounded size wherever a text has spaces.
+
+A long run of white space is no work for the expression, whose look-ahead steps back through it:
+by the pattern's own rule all of it but the last character, or all of it at the end of a text, is
+one match. Its bytes go to the merges directly.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from .common import id_text, lean, outer_id, raw_bytes, slices
 PIECE = 20_000
 #: White space here but not in the library's expression: U+001C to U+001F. No cut is made beside them.
 _SAFE = re.compile(r"[^\s\x1c-\x1f](?=[^\S\x1c-\x1f])")
+_RUN = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 
 
 @lru_cache(2)
@@ -46,8 +51,20 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return out
 
 
+def _encoded(enc, piece: str) -> list[np.ndarray]:
+    """The ids of a piece; long runs of white space apart from what is around them."""
+    parts, at = [], 0
+    for run in _RUN.finditer(piece) if len(piece) >= 1000 else ():
+        end = run.end() - (run.end() < len(piece))
+        parts.append(enc.encode_to_numpy(piece[at : run.start()], disallowed_special=()))
+        parts.append(np.array(enc._core_bpe.encode_single_piece(piece[run.start() : end].encode()), np.uint32))
+        at = end
+    parts.append(enc.encode_to_numpy(piece[at:], disallowed_special=()))
+    return parts
+
+
 def encode_text(enc, text: str) -> np.ndarray:
-    parts = [enc.encode_to_numpy(p, disallowed_special=()) for p in pieces(text)]
+    parts = [ids for p in pieces(text) for ids in _encoded(enc, p)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
