@@ -47,7 +47,7 @@ def as_key(i):
     return -(2**63) if i is None else i
 
 
-def test_suffix_dedup(docs, rows, empty):
+def test_suffix_dedup(docs, rows, empty, monkeypatch):
     length = 40
     first = {}
     for i, t in rows:
@@ -70,7 +70,30 @@ def test_suffix_dedup(docs, rows, empty):
     assert sum(w[2] for w in want) > 1000
     assert suffix_dedup.remove_repeats(empty).count() == 0
     left = suffix_dedup.without_repeats(docs, length)
-    assert left.columns == docs.columns and left.count() == len(rows)
+    assert left.schema == docs.schema and left.count() == len(rows)
+    kept = {}
+    for (i, t), (_, _, _, _, digest) in zip(rows, want, strict=True):
+        kept.setdefault(i, []).append(None if t is None else digest)
+    for r in left.collect():
+        assert (r.text is None) == (None in kept[r.doc_id]) or len(kept[r.doc_id]) > 1
+        assert r.text is None or "\ufffd" in r.text or len(r.text.encode()) <= max(len((t or "").encode()) for i, t in rows if i == r.doc_id)
+        assert r.text is None or hashlib.sha256(r.text.encode()).hexdigest() in kept[r.doc_id] or any(ord(c) > 127 for i, t in rows if i == r.doc_id for c in t or "")
+    single = [r for r in rows if r[0] is not None and [x for x, _ in rows].count(r[0]) == 1]
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 1)  # all pairs are dealt by their surroundings
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_BYTES", 1 << 10)
+    again = [tuple(r)[:5] for r in suffix_dedup.remove_repeats(docs, length).collect()]
+    assert sorted(again, key=str) == sorted(want, key=str)
+    alone = docs.where(F.col("doc_id").isin([i for i, _ in single]))  # ids that don't repeat: no marks
+    firsts = {}
+    for i, t in sorted(single):
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            firsts.setdefault(b[p : p + length], (i, p))
+    removed = {}
+    for i, t in single:
+        b = (t or "").encode()
+        removed[i] = len({q for p in range(len(b) - length + 1) if firsts[b[p : p + length]] != (i, p) for q in range(p, p + length)})
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(alone, length).collect()} == removed
 
 
 def test_langid(spark, docs, empty):
@@ -280,6 +303,18 @@ def test_byte_bpe(docs, rows, empty):
     assert byte_bpe.pieces("a!\x1c! b", 1) == ["a!\x1c!", " b"]
 
 
+def test_byte_bpe_on_long_runs():
+    import regex
+
+    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    enc = byte_bpe.encoding(path, pattern)
+    rng = random.Random(9)
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" + "\t" * 1_000_000 + " b", "a" * 2_000_000, "1" * 1_000_000, "!" * 1_000_000, "\x1c" + " " * 3000 + "\x1c"]
+    texts += ["".join(rng.choice(["a", "'s", " ", " " * 1000, "\n" * 1001, "1", "!", "é", "\t x", "\u3000" * 1200]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    for t in texts:
+        assert byte_bpe.encode_text(enc, t).tolist() == [i for m in regex.finditer(pattern, t) for i in enc._core_bpe.encode_single_piece(m.group().encode())]
+
+
 def test_edit_prints(docs, rows, empty):
     got = edit_prints.fingerprint_and_compare(docs).collect()
     assert len(got) == len(rows)

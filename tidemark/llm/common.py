@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import inspect
+import tempfile
 import uuid
 
 import numpy as np
@@ -49,27 +50,58 @@ def lean(run):
     return (lambda left, right: group(left, right)) if len(needed) == 2 else (lambda table: group(table))
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: no more than `rows` of them cross to a worker at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Texts may be long: no more than `rows` of them, or about `size` bytes, cross to a worker at once.
 
+    A setting of the session, as plans read it when they run; it stays for later queries.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < _bytes(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and continue from there.
 
-    A folder is set here only where the session names none (tests, single machine).
+def _bytes(value: str) -> int:
+    """A size setting as a number: 64MB is 67108864."""
+    number = value.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(number[-1:], 0)
+    return int(number[:-1] if unit else number) << unit
+
+
+_folders: dict[str, str] = {}
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    On one machine (a local master) a folder of its own is made and set where neither is named; on
+    a cluster that is an error, as executors would each write to their own disk.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/checkpoints")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and continue from there."""
+    shared_base(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder. What is written there goes when the application ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _folders:
+        _folders[application] = f"{shared_base(spark)}/{application}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[application])
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{_folders[application]}/{kind}-{uuid.uuid4().hex}"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -122,43 +154,74 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left joined with right, which has at most one row a key, on `key`; how: inner or left.
+
+    A key of left that holds more than 1/10,000 of its rows, and over 10,000, would fill one task: at
+    most 10,000 such keys are found by a count, and their rows of right broadcast. left is
+    read three times, so it should be written or cheap.
+    """
+    n = left.count() if rows is None else rows
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(10_000, n // 10_000)).select(key, F.lit(True).alias("_hot"))
+    if n <= 10_000 or hot.isEmpty():
+        return left.join(right, key, how)
+    flagged = left.join(F.broadcast(hot), key, "left")
+    few = right.join(F.broadcast(hot.select(key)), key, "left_semi")
+    rest = flagged.where("_hot is null").drop("_hot").join(right, key, how)
+    return rest.unionByName(flagged.where("_hot").drop("_hot").join(F.broadcast(few), key, how))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 
-    Alternates large-star and small-star steps, each one shuffle of the remaining edges, until
-    the edge set no longer changes. A hub's neighbours are never gathered: each step needs only
-    the minimum of a key, pre-aggregated before the shuffle, and a join on the key.
+    Alternates large-star and small-star steps over edges from the larger node to the smaller until the
+    edge set no longer changes. A step needs a node's smallest neighbour, a minimum that is
+    combined before the shuffle, and a join with it, which takes hubs apart (join_spread).
     """
-    e = checkpointed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    e = checkpointed(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: each larger neighbour of a node is tied to the smallest node around it
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: each smaller neighbour, and the node itself, to the smallest
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = (
-            joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
-        e = checkpointed(small)
+    while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        # a node's smallest neighbour, if any is smaller than itself
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        # large star: a node's larger neighbours are tied to its smallest
+        large = join_spread(e, least.withColumnRenamed("a", "b"), "b", "left", now[0]).select("a", F.coalesce("m", "b").alias("b"))
+        large = checkpointed(large.where("a <> b").distinct())
+        # small star: a node's smaller neighbours, and itself, to the smallest
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = join_spread(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = checkpointed(joined.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))
     )
 
 
+def even_keys(n: int) -> np.ndarray:
+    """n longs that Spark's hash partitioning deals to n different partitions, so that no task gets two groups.
+
+    Only the balance rests on it: any n different keys give the same results.
+    """
+    def turn(x, r):
+        return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+    keys = np.arange(max(64, int(n * (np.log(n + 1) + 8))), dtype=np.int64)
+    h = np.full(len(keys), 42, np.uint32)
+    for part in (keys & 0xFFFFFFFF, keys >> 32):  # Murmur3 of a long
+        k = turn(part.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    place, first = np.unique(np.mod(h.view(np.int32).astype(np.int64), n), return_index=True)
+    missing = n - len(place)  # left over by bad luck: keys that share a partition
+    return np.r_[keys[first], keys[-1] + 1 + np.arange(missing)]
+
+
 def range_bounds(ids: DataFrame, n: int) -> list[int]:
     """n - 1 ascending bounds that deal the values of column id into n shards of about equal rows.
 
@@ -166,7 +229,7 @@ def range_bounds(ids: DataFrame, n: int) -> list[int]:
     """
     if n < 2:
         return []
-    found = ids.agg(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10_000)).alias("p")).first()["p"]
+    found = ids.agg(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 20 * n))).alias("p")).first()["p"]
     return sorted(found or [])
 
 
