@@ -159,31 +159,93 @@ def test_cover_tree(spark):
     for k, (i, _) in enumerate(sound):
         least[root(k)] = min(least.get(root(k), 2**63), as_key(i))
     want = {i: (n[k], None if least[root(k)] == as_key(None) else least[root(k)]) for k, (i, _) in enumerate(sound)} | {i: (0, i) for i in (902, 903, 904, 905)}
-    for options in ({}, {"cell_rows": 20, "unit_rows": 25}):
+    for options in ({}, {"unit_rows": 20}, {"unit_rows": 25, "most_cells": 3}):
         got = {r.vec_id: r for r in cover_tree.near_duplicate_vectors(df, **options).collect()}
         assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
     assert cover_tree.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def brute_links(x, cosine):
+    """n_links and component (smallest place) of each row."""
+    u = x / np.abs(x).max(axis=1, keepdims=True)
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    near = u @ u.T >= cosine
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (new == label).all():
+            return near.sum(axis=1), label
+        label = new
+
+
+@pytest.mark.parametrize("kind", ["multiples", "near equal", "clusters", "lengths", "high"])
+def test_cover_tree_on_hard_vectors(spark, kind):
+    rng = np.random.default_rng(7)
+    if kind == "multiples":
+        x = rng.normal(size=6) * rng.uniform(0.1, 9, size=(2000, 1))
+    elif kind == "near equal":
+        x = rng.normal(size=6) + 1e-12 * rng.normal(size=(1000, 6))
+    elif kind == "high":
+        x = rng.normal(size=(600, 64))
+        x[300:] = x[:300] + 0.3 * rng.normal(size=(300, 64))
+    else:
+        x = np.concatenate([c + 0.2 * rng.normal(size=(80, 5)) for c in rng.normal(size=(12, 5))])
+    if kind == "lengths":
+        rows = [(1000 * d + k, (rng.normal(size=d) * np.r_[40, np.ones(d - 1)]).tolist()) for d in range(2, 73) for k in range(8)]
+        sets = [[r for r in rows if len(r[1]) == d] for d in range(2, 73)]
+    else:
+        rows = list(enumerate(x.tolist()))
+        sets = [rows]
+    want = {}
+    for group in sets:
+        n, label = brute_links(np.array([v for _, v in group]), 0.95)
+        want |= {group[k][0]: (int(n[k]), group[label[k]][0]) for k in range(len(group))}
+    assert sum(n for n, _ in want.values()) > 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for options in ({}, {"unit_rows": 200}):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_duplicate_vectors(df, **options).collect()}
+        assert got == want
+
+
+def test_cover_tree_levels():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(100, 6)) for c in rng.normal(size=(20, 6))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = cover_tree.CoverTree(x, leaf=1)
+    assert sorted(tree.order.tolist()) == list(range(len(x))) and (tree.x == x[tree.order]).all()
+    for k in range(len(tree.lo)):
+        below = tree.children(k)
+        gap = cover_tree._chords(tree.x[tree.lo[k] : tree.hi[k]], tree.x[tree.lo[k]][None, :])
+        assert gap.max() <= tree.radius[k] + 1e-7
+        if len(below):
+            assert tree.rows(below).tolist() == list(range(tree.lo[k], tree.hi[k])) and tree.lo[below[0]] == tree.lo[k]
+            wide = 2.0 ** np.floor(np.log2(tree.radius[k]))  # half the level of the node
+            wide = wide / 2 if wide == tree.radius[k] else wide
+            assert tree.radius[below].max() <= wide + 1e-7  # nested levels halve
+            apart = cover_tree._chords(tree.x[tree.lo[below]], tree.x[tree.lo[below]])
+            np.fill_diagonal(apart, 9)
+            assert apart.min() > wide - 1e-7
+
+
 def test_cover_tree_prunes_and_proves():
     x = np.repeat(np.eye(4), 300, axis=0) + 1e-4 * np.random.default_rng(1).normal(size=(1200, 4))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    seen = {"leaves": 0, "whole": 0}
-    tree = cover_tree.CoverTree(x, leaf=16)
+    seen = {"whole": 0}
+    tree = cover_tree.CoverTree(x)
     total = 0
 
-    def linked(a, b, near):
+    def linked(a, b, near, both):
         nonlocal total
-        seen["leaves"] += near.size
-        total += int(near.sum()) // (2 if a is b else 1)
+        total += int(near.sum()) // (1 if both else 2)
 
-    def whole(a, b):
+    def whole(a, b, both):
         nonlocal total
         seen["whole"] += 1
-        total += len(a) * len(b)
+        total += len(a) * len(b) if both else len(a) * (len(a) - 1) // 2
 
-    cover_tree.dual_links(tree, tree, 0.95, True, linked, whole)
-    assert total == 4 * 300 * 299 // 2 and seen["whole"] > 0 and seen["leaves"] < 1200 * 1200 / 8
+    compared = cover_tree.dual_links(tree, tree, 0.95, linked, whole)
+    assert total == 4 * 300 * 299 // 2 and seen["whole"] > 0 and compared < 1200 * 1200 / 8
 
 
 def test_minimum_cut_is_least():
