@@ -500,14 +500,70 @@ def test_near_pairs_keeps_scattered_edits(spark):
     assert {(k, 100 + k) for k in range(12)} <= set(want) and got == pytest.approx(want)
 
 
+def plain_print(text):
+    """The fingerprint of a text, a character at a time."""
+    full = 2**64 - 1
+
+    def mix(x):
+        return int(edit_prints._mix(np.array([x & full], np.uint64))[0])
+
+    bits, sampled = edit_prints._shared()
+    code = [ord(c) for c in text]
+    edges = sorted({0, len(code), *(p for p in range(3, len(code)) if mix((code[p - 3] * 0x10001) ^ (code[p - 2] * 0x1F123BB5) ^ (code[p - 1] * 0x9E3779B97F4A7C15 & full)) % 32 == 0)})
+    least = {}
+    for a, b in zip(edges, edges[1:]):
+        for start in range(a, b, 256):
+            end = min(b, start + 256)
+            opening = 0
+            for k in range(start, min(start + 6, end)):
+                opening = mix((opening * 0x100000001B3 + code[k] + 1) & full)
+            at, step, seen = start, 0, []
+            while at < end:
+                if sampled[step] or (step == 0 and start == 0):
+                    seen.append((step, code[at]))
+                at, step = at + int(bits[step][mix(code[at]) & 1023]), step + 1
+                if step == 768:
+                    break
+            for step, c in seen:
+                name = mix((0 if start == 0 else opening) + step * 0x9E3779B97F4A7C15)
+                cell = name % 64
+                least[cell] = min(least.get(cell, (full, full)), (name, c))
+    return "".join(f"{mix(least[k][0] ^ (least[k][1] * 0xC2B2AE3D27D4EB4F & full)) & 255:02x}" if k in least else ".." for k in range(64))
+
+
+def test_fingerprints_are_those_of_a_plain_walk(rows, monkeypatch):
+    texts = [t or "" for _, t in rows if len(t or "") < 3000] + ["a", "b", "ab", "abc", "abcd", "x" * 700]
+    want = [plain_print(t) for t in texts]
+    assert edit_prints.fingerprints(texts) == want and all(p.strip(".") or not t for p, t in zip(want, texts, strict=True)) and plain_print("a") != plain_print("b")
+    for piece in (1, 50, 300):  # texts longer than a piece
+        monkeypatch.setattr(edit_prints, "PIECE", piece)
+        assert edit_prints.fingerprints(texts) == want
+
+
 def test_op9_query_bands_the_table(spark, docs, rows):
     rng = random.Random(22)
     texts = [words(rng, 80) for _ in range(10)]
-    table = spark.createDataFrame([*enumerate(texts), *((100 + k, t[:100] + "QQ" + t[103:]) for k, t in enumerate(texts)), (200, texts[0]), (None, "none")], "doc_id long, text string")
-    got = {r.doc_id: r for r in edit_prints.with_near_first(edit_prints.fingerprint_and_compare(table), table).collect()}
-    assert len(got) == 22 and all(got[100 + k].near_first == k and got[100 + k].near_first_similarity > 0.95 and got[k].near_first is None for k in range(10))
-    assert got[200].near_first == 0 and got[200].near_first_similarity == 1.0
-    assert edit_prints.with_near_first(edit_prints.fingerprint_and_compare(docs), docs).count() == len(rows)
+    table = spark.createDataFrame([*enumerate(texts), *((100 + k, t[:100] + "QQ" + t[103:]) for k, t in enumerate(texts)), (200, texts[0]), (None, "none"), (300, ""), (301, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in edit_prints.with_near_first(edit_prints.fingerprint_and_compare(table)).collect()}
+    assert len(got) == 24 and all(got[100 + k].near_first == k and got[100 + k].near_first_likeness > 0.8 and got[k].near_first is None for k in range(10))
+    assert (got[200].near_first, got[200].near_first_likeness, got[300].near_first, got[301].near_first) == (0, 1.0, None, 300)
+    assert edit_prints.with_near_first(edit_prints.fingerprint_and_compare(docs)).count() == len(rows)
+
+
+def test_near_first_finds_what_brute_force_finds(spark):
+    rng = random.Random(23)
+    texts = [words(rng, rng.randint(30, 200)) for _ in range(60)]
+    for _ in range(120):
+        t = rng.choice(texts).split(" ")
+        for k in rng.sample(range(len(t)), max(1, len(t) * rng.randint(1, 6) // 100)):
+            t[k] = "qq"
+        texts.append(" ".join(t))
+    compared = edit_prints.fingerprint_and_compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    prints = edit_prints.fingerprints(texts)
+    near = {k for k in range(len(texts)) if any(edit_prints.likeness(prints[j], prints[k]) >= 0.8 for j in range(k))}
+    got = {r.doc_id: r for r in edit_prints.with_near_first(compared).where("near_first is not null").collect()}
+    assert len(near) > 80 and len(near & set(got)) >= 0.9 * len(near) and set(got) <= near
+    assert all(edit_prints.likeness(prints[r.near_first], prints[i]) == pytest.approx(r.near_first_likeness) for i, r in got.items())
 
 
 def test_pipeline(spark):

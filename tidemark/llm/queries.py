@@ -71,8 +71,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = _table(spark, sf_dir, "documents")
-    return edit_prints.with_near_first(edit_prints.fingerprint_and_compare(documents), documents)
+    return edit_prints.with_near_first(edit_prints.fingerprint_and_compare(_table(spark, sf_dir, "documents")))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
