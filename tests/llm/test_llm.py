@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -588,3 +589,42 @@ def test_pipeline(spark):
 
 def test_queries_are_whole():
     assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{k}" for k in range(1, 11))
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(41)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "B", "c d", "  ", "\n", "word", "1", "é", "\x1c", "ΑΣ ", "İ"]) for _ in range(rng.randint(1, 120)))
+        grams, sizes, letters = langid._grams([t], 4)
+        whole = simhash.simhash(t.encode())
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PIECE", rng.randint(40, 90))
+            m.setattr(simhash, "PIECE", rng.randint(1, 30))
+            parts = list(langid._pieces(t, 4))
+            assert np.concatenate([g for g, _ in parts]).tolist() == grams.tolist() and sum(n for _, n in parts) == letters[0]
+            assert simhash.simhash(t.encode()) == whole
+
+
+@pytest.mark.parametrize("name", ["language", "simhash", "prints", "bytes"])
+def test_a_very_long_text_takes_bounded_memory(name):
+    import subprocess
+    import sys
+
+    # 20 million characters; the worker may take ten bytes for each, beside what it takes to start
+    code = f"""
+import resource, sys, random
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+import numpy as np, public_tokenizers as P
+from tidemark.llm import byte_bpe, edit_prints, langid, simhash
+rng = random.Random(1)
+part = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(20000))
+model = langid.LanguageModel(("aa", "bb"), 4, 3, np.full(1 << 16, 1, np.uint8), np.array([0.01, 0.01]), 0)
+enc = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+run = {{"language": lambda t: model.predict([t]), "simhash": lambda t: simhash.simhash(t.encode()), "prints": lambda t: edit_prints.fingerprints([t]), "bytes": lambda t: byte_bpe.encode_text(enc, t)}}[{name!r}]
+run(part * 20)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+run(part * (20_000_000 // len(part)))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) * 1024
+    assert grown < 200_000_000

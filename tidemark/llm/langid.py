@@ -13,12 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, lean, outer_id, raw_bytes, short_batches, slices
 
 UNDETERMINED = "und"
+PIECE = 1 << 20  # characters of a text at once
 
 
 @lru_cache(1)
@@ -42,10 +44,7 @@ def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     counts = np.bincount(owner[letter], minlength=len(texts))
     if len(code) < n:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), counts
-    h = np.zeros(len(code) - n + 1, np.uint64)
-    for i in range(n):
-        h = (h ^ code[i : len(code) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    h = _hashes(code, n)
     # an n-gram may start at the space before a text's first letter, and ends within the text
     last = owner_kept[n - 1 :]
     first = owner_kept[1 : len(code) - n + 2] if n > 1 else last
@@ -53,6 +52,33 @@ def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[inside], np.bincount(last[inside], minlength=len(texts)), counts
 
 
+def _hashes(code: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(len(code) - n + 1, np.uint64)
+    for i in range(n):
+        h = (h ^ code[i : len(code) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _pieces(text: str, n: int):
+    """(hashes of the n-grams, letters) of one long text, piece by piece: the same as _grams finds in all of it."""
+    held, after, at = np.full(int(n > 1), 32, np.uint64), False, 0
+    while at < len(text):
+        to = min(at + PIECE, len(text))
+        back = to
+        while to < len(text) and back > at + 1 and to - back < 1000 and text[back - 1].isalpha():
+            back -= 1  # lower case may depend on the rest of a word
+        to = back if to - back < 1000 and back > at + 1 else to
+        flat = np.frombuffer(text[at:to].lower().encode("utf-32-le"), np.uint32)
+        letter = _letters()[flat]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after
+        code = np.r_[held, np.where(letter, flat, 32)[keep].astype(np.uint64), np.full(int(to == len(text) and letter[-1]), 32, np.uint64)]
+        yield _hashes(code, n) if len(code) >= n else np.zeros(0, np.uint64), int(letter.sum())
+        held, after, at = code[max(0, len(code) - n + 1) :] if n > 1 else code[:0], bool(letter[-1]), to
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """A fitted filter. cells: masks; false_positive: the rate of each language's slice."""
@@ -72,30 +98,40 @@ class LanguageModel:
             found = found & self.cells[(grams + np.uint64(i) * step) % size]
         return found
 
-    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(corrected count of each text and language, letters of each text)."""
-        grams, sizes, letters = _grams(texts, self.n)
-        masks, ends = self.masks(grams), np.r_[0, np.cumsum(sizes)]
-        out = np.zeros((len(texts), len(self.languages)))
+    def _hits(self, grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """n-grams of each text that each language holds, false positives among them."""
+        masks = self.masks(grams)
+        out = np.zeros((len(ends) - 1, len(self.languages)))
         for k in range(len(self.languages)):
             hits = np.r_[0, np.cumsum((masks >> masks.dtype.type(k)) & masks.dtype.type(1), dtype=np.int64)]
-            rate = self.false_positive[k]
-            out[:, k] = np.maximum(0, (hits[ends[1:]] - hits[ends[:-1]] - rate * sizes) / (1 - rate))
-        return out, letters
+            out[:, k] = hits[ends[1:]] - hits[ends[:-1]]
+        return out
+
+    def votes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(corrected count of each text and language, n-grams, letters of each text). A long text is read in pieces."""
+        short = [t if len(t) <= PIECE else "" for t in texts]
+        grams, sizes, letters = _grams(short, self.n)
+        out = self._hits(grams, np.r_[0, np.cumsum(sizes)])
+        for k, t in enumerate(texts):
+            if len(t) > PIECE:
+                for found, n in _pieces(t, self.n):
+                    out[k] += self._hits(found, np.array([0, len(found)]))[0]
+                    sizes[k] += len(found)
+                    letters[k] += n
+        rate = self.false_positive[None, :]
+        return np.maximum(0, (out - rate * sizes[:, None]) / (1 - rate)), sizes, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        votes, letters = self.votes(texts)
+        votes, _, letters = self.votes(texts)
         best, total = votes.argmax(axis=1), votes.sum(axis=1)
         best = np.where(total > 0, best, self.default)
         score = np.where(total > 0, votes[np.arange(len(texts)), best] / np.maximum(total, 1e-12), 1 / max(1, len(self.languages)))
         found = [UNDETERMINED if not n else self.languages[b] for n, b in zip(letters, best, strict=True)]
         return found, np.where(letters > 0, np.clip(score, 0, 1), 0.0)
 
-
     def support(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(share of each text's n-grams that its best language knows, n-grams, letters)."""
-        votes, letters = self.votes(texts)
-        sizes = _grams(texts, self.n)[1]
+        votes, sizes, letters = self.votes(texts)
         return votes.max(axis=1, initial=0.0) / np.maximum(1, sizes), sizes, letters
 
     def supported(self, texts: list[str], least: float = 0.0) -> np.ndarray:
@@ -205,23 +241,34 @@ def least_support(clean: DataFrame, model: LanguageModel, part: float = 0.4, id_
     return part * (found or 0.0)
 
 
-def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The documents whose text is in a language of the model, with their columns.
+def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0, languages: list[str] | None = None, least_score: float = 0.0, lang_col: str | None = None) -> DataFrame:
+    """The documents whose text is in one of `languages` (by default all of the model's), with their columns.
 
-    Those without a letter go, and those that the corrected counts don't support (LanguageModel.supported):
-    letter junk, encoded strings, unknown languages and scripts. A model without languages accepts nothing.
+    The predicted language decides, and its score must be least_score or more. Those without a letter go,
+    and those that the corrected counts don't support (LanguageModel.supported): letter junk, encoded strings,
+    unknown languages and scripts. lang_col, if given, gets the predicted language where it is null. A
+    model without languages accepts nothing.
     """
     short_batches(documents.sparkSession)
     spark_schema = documents.schema
     at = spark_schema.names.index(text_col)
+    label = spark_schema.names.index(lang_col) if lang_col else None
+    wanted = set(model.languages if languages is None else languages)
 
     def run(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            sizes = np.cumsum([0, *(len(t) for t in texts)])
-            keep: list[bool] = []
+            texts = batch.column(at)
+            sizes = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))]
             for i, j in slices(sizes, 1 << 19):
-                keep += model.supported(texts[i:j], least).tolist() if model.languages else [False] * (j - i)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                part = batch.slice(i, j - i)
+                own = [t or "" for t in texts[i:j].to_pylist()]
+                if not model.languages:
+                    continue
+                found, score = model.predict(own)
+                keep = model.supported(own, least) & (score >= least_score) & np.array([f in wanted for f in found], bool)
+                if label is not None:
+                    given = pa.compute.coalesce(part.column(label), pa.array(found, part.schema.types[label]))
+                    part = part.set_column(label, part.schema.names[label], given)
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(lean(run), spark_schema)

@@ -14,6 +14,7 @@ link; each candidate is verified by counting bits.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import combinations
 
@@ -23,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, id_text, lean, outer_id, raw_bytes, slices
+from .common import NULL_ID, checkpointed, connected_components, id_text, join_spread, lean, outer_id, raw_bytes, slices
 
 SEED = 42
+PIECE = 4 << 20  # bytes of a text at once
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -99,23 +102,44 @@ def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
     return np.array([hash_(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """Bit i is set if it is set in over half of the hashes."""
-    if not len(hashes):
-        return 0
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int((1 << np.flatnonzero(2 * counts > len(hashes)).astype(object)).sum())
+    return counts
+
+
+def simhash(text: bytes, width: int = 3) -> int:
+    """Bit i is set if it is set in over half of the hashes of a text's shingles. A long text is read in pieces."""
+    counts, total, held, at = np.zeros(64, np.int64), 0, b"", 0
+    while at < len(text):
+        to = len(text)
+        if to - at > PIECE and (space := _SPACE.search(text, at + PIECE)):
+            to = space.start()
+        piece = held + b" " + text[at:to] if held else text[at:to]
+        at = to
+        if at < len(text):
+            words = piece.rsplit(None, width - 1)[-(width - 1) :] if width > 1 else []
+            if len(piece.split(None, width)) < width:  # too few words yet
+                held = piece
+                continue
+            held = b" ".join(words)
+        elif held and total and len(piece.split(None, width)) < width:
+            break  # nothing new after the last whole piece
+        hashes = shingle_hashes(piece, width)
+        counts += _bits(hashes)
+        total += len(hashes)
+    return int((1 << np.flatnonzero(2 * counts > total).astype(object)).sum())
 
 
 def _fingerprints(batches):
     for batch in batches:
         flat, at = raw_bytes(batch.column("text"))
         for i, j in slices(at, 8 << 20):
-            found = np.array([simhash(shingle_hashes(flat[at[r] : at[r + 1]].tobytes())) for r in range(i, j)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.array([simhash(flat[at[r] : at[r + 1]].tobytes()) for r in range(i, j)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], *([batch.column("mark")[i:j]] if "mark" in batch.schema.names else []), pa.array(found.view(np.int64))], names=["id", *(["mark"] if "mark" in batch.schema.names else []), "fp"])
 
 
 def _keys(batches):
@@ -127,8 +151,9 @@ def _keys(batches):
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row, null texts as empty."""
-    return id_text(documents, id_col, text_col).mapInArrow(lean(_fingerprints), "id long, fp long")
+    """(id, mark, fp) for every row, null texts as empty; mark: a hash of the text, which tells rows of one id apart."""
+    x = id_text(documents, id_col, text_col)
+    return x.withColumn("mark", F.xxhash64("text")).mapInArrow(lean(_fingerprints), "id long, mark long, fp long")
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
@@ -142,31 +167,37 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     return left.join(right, "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()
 
 
+def _grouped(documents: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """(id, mark, fp, least): each row's fingerprint, and the smallest id of its group."""
+    prints = checkpointed(fingerprints(documents, id_col, text_col))
+    found = connected_components(links(prints, most))
+    least = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    classes = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    classes = checkpointed(classes)
+    ids = classes.groupBy("component").agg(F.min("first").alias("least"))
+    named = join_spread(classes, ids, "component").select("fp", "least")
+    return join_spread(prints, named, "fp").select("id", "mark", "fp", "least")
+
+
 def near_duplicate_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
     Documents with one fingerprint are one node, so exact copies cost one row each and no pairs.
     Null and empty texts have fingerprint zero and are linked like any other. A null id is kept; as
     it sorts first, it is the (null) component id of its group. Equal rows get equal results; other
-    columns are not read; an empty table gives an empty result.
+    columns are not read; an empty table gives an empty result. Ids are whole numbers.
     """
-    prints = checkpointed(fingerprints(documents, id_col, text_col))
-    found = connected_components(links(prints, most))
-    least = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    classes = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(ids, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        outer_id().alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), outer_id("component_id").alias("component_id")
+    return _grouped(documents, id_col, text_col, most).select(
+        outer_id().alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), outer_id("least").alias("component_id")
     )
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the first of their group, with all their columns.
 
-    Of rows with the group's smallest id, all are kept: they are one document. Rows with a null id
-    are kept, as nothing tells them apart from others.
+    Of rows with the group's smallest id, all are kept: they are one document. An id may be held by different
+    texts, which are judged each in its own group. Rows with a null id are kept, as nothing tells them apart from others.
     """
-    groups = near_duplicate_groups(documents, id_col, text_col)
-    gone = groups.where(f"component_id <> {id_col} or (component_id is null and {id_col} is not null)").select(id_col).distinct()
-    return documents.join(gone, id_col, "left_anti")
+    gone = _grouped(documents, id_col, text_col, 3).where(f"id <> least and id <> {NULL_ID}").select(F.col("id").alias("_one_id"), F.col("mark").alias("_one_mark")).distinct()
+    keyed = documents.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_one_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_one_mark"))
+    return keyed.join(gone, ["_one_id", "_one_mark"], "left_anti").drop("_one_id", "_one_mark")
