@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import warnings
 import zlib
 
 import numpy as np
@@ -272,6 +273,31 @@ def test_html(spark):
     assert mincut_html.extract(df.limit(0), mincut_html.PLAIN).count() == 0 and (mincut_html.fit(df.limit(0)) == mincut_html.PLAIN).all()
 
 
+def test_html_names_after_no_with_and_has():
+    page = '<body><div class="sidebar no-print">aside</div><div class="ad with-border">advert</div><div class="has-comments no-sidebar">text</div><div class="entryContent">entry</div></body>'
+    assert [(b.text, b.good, b.bad) for b in mincut_html.blocks(page)] == [("aside", False, True), ("advert", False, True), ("text", False, False), ("entry", True, False)]
+
+
+def test_html_without_marks(spark):
+    """Learnt from marked pages, held against other pages whose marks are hidden: precision and recall by characters."""
+    import collections
+    import re
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables here")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = mincut_html.fit(pages.where("page_id % 2 = 0"))
+    hits = extra = lost = 0
+    for (html,) in pages.where("page_id % 2 = 1").select("html").collect():
+        want = collections.Counter(b.text for b in mincut_html.blocks(html or "") if b.good and not b.comment)
+        hidden = re.sub(r"<(/?)(nav|article|main|aside|footer|header|form|section)\b", r"<\1div", re.sub(r'\s(class|id|role)="[^"]*"', "", html or ""))
+        got = collections.Counter(mincut_html.main_text(hidden, weights).split("\n"))
+        size = lambda c: sum(len(t) * n for t, n in c.items())
+        hits, extra, lost = hits + size(want & got), extra + size(got - want), lost + size(want - got)
+        assert mincut_html.main_text(html or "", weights) == "\n".join(b.text for b in mincut_html.blocks(html or "") if b.good and not b.comment)
+    assert hits / (hits + extra) > 0.97 and hits / (hits + lost) > 0.97
+
+
 def test_mixture(spark, docs, empty):
     rng = random.Random(4)
     kinds = {"high": "abc", "low": "xyz"}
@@ -284,13 +310,26 @@ def test_mixture(spark, docs, empty):
     assert r[r.doc_id == 5000].n_tokens.item() == 0
     for d in ("high", "low"):
         assert (r.n_tokens * r[f"p_{d}"] * r.rate).sum() == pytest.approx(total / 2, rel=2e-3)
-    # the rates are a least-squares optimum: compare with plain projected gradient
-    a = r[["p_high", "p_low"]].to_numpy() / (total / 2)
-    x, n = np.ones(len(r)), r.n_tokens.to_numpy()
-    step = 1 / np.linalg.eigvalsh((a * n[:, None]).T @ a).max()
-    for _ in range(5000):
-        x = np.maximum(0, x - step * a @ ((n[:, None] * a * x[:, None]).sum(axis=0) - 1))
-    assert ((n[:, None] * a * x[:, None]).sum(axis=0) - 1) == pytest.approx(0, abs=2e-3)
+    # targets that no rates can meet: as near as plain projected gradient comes
+    state = spark.createDataFrame([(k, k, rng.randint(1, 50), p, 1 - p) for k in range(300) for p in [0.3 + 0.6 * rng.random()]], "row long, id long, tokens long, p0 double, p1 double")
+    p = state.toPandas()
+    a, n, goal = p[["p0", "p1"]].to_numpy(), p.tokens.to_numpy(), np.array([0.1, 0.9]) * p.tokens.sum()
+    for least, goal in ((0.0, goal), (1.0, np.array([0.2, 0.8]) * p.tokens.sum() * 2), (0.0, np.array([0.5, 0.5]) * p.tokens.sum())):
+        x = np.ones(len(p))
+        step = 1 / np.linalg.eigvalsh((a * n[:, None] / goal).T @ (a / goal)).max()
+        for _ in range(20000):
+            x = np.maximum(least, x - step * (a / goal) @ ((n[:, None] * a * x[:, None]).sum(axis=0) / goal - 1))
+        plain = (((n[:, None] * a * x[:, None]).sum(axis=0) / goal - 1) ** 2).sum()
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            r2 = mixing.fit_rates(state, goal.tolist(), least).toPandas()
+        x2 = r2.rate.to_numpy()
+        total = (r2[["p0", "p1"]].to_numpy() * (r2.tokens.to_numpy() * x2)[:, None]).sum(axis=0) / goal
+        miss = ((total - 1) ** 2).sum()
+        assert x2.min() >= least and miss <= max(1.2 * plain, 2e-6)
+        assert bool([w for w in said if "targets missed" in str(w.message)]) == (np.abs(total - 1).max() > 1e-3)
+    loss, prior = mixing.log_loss(df, labels, ["high", "low"])
+    assert loss < 0.3 * prior
     kept = mixing.mix(df, labels, {"high": 0.5, "low": 0.5}, keep_all=True)
     assert kept.columns == df.columns and kept.select("doc_id").distinct().count() == 402
     assert mixing.mixture_rates(docs, labels, {"high": 1.0, "low": 1.0}).count() == docs.count()
@@ -584,7 +623,36 @@ def test_pipeline(spark):
     cut = stage["repeats"](spark, single, sf)
     assert cut.schema == docs.schema and cut.where("n_chars <> char_length(text)").count() == 0
     out = corpus_pipeline.run(spark, sf)
-    assert out.select("doc_id").distinct().count() <= single.count() and out.count() >= out.select("doc_id").distinct().count()
+    assert 0.5 * single.count() < out.select("doc_id").distinct().count() <= single.count() and out.count() >= out.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    rel = db.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in rel.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(rel.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_returns_its_columns_for_every_row(spark, name):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables here")
+    want = {1: "doc_id n_bytes n_removed n_spans kept_sha256", 2: "doc_id held_out lang_pred score", 3: "vec_id n_links component_id kept", 4: "page_id url text n_chars", 5: "doc_id rate", 6: "doc_id start n_tokens ids_crc32", 7: "doc_id n_bytes n_tokens over_limit", 8: "doc_id n_tokens ids_sha256 decoded_sha256", 9: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", 10: "doc_id fingerprint component_id"}
+    number = int(name.split("_")[0][2:])
+    table = {3: "embeddings", 4: "pages"}.get(number, "documents")
+    got = queries.QUERIES[name](spark, sf)
+    assert set(want[number].split()) <= set(got.columns) and got.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
 def test_queries_are_whole():

@@ -121,26 +121,29 @@ class LanguageModel:
         rate = self.false_positive[None, :]
         return np.maximum(0, (out - rate * sizes[:, None]) / (1 - rate)), sizes, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        votes, _, letters = self.votes(texts)
+    def _chosen(self, votes: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
         best, total = votes.argmax(axis=1), votes.sum(axis=1)
         best = np.where(total > 0, best, self.default)
-        score = np.where(total > 0, votes[np.arange(len(texts)), best] / np.maximum(total, 1e-12), 1 / max(1, len(self.languages)))
+        score = np.where(total > 0, votes[np.arange(len(votes)), best] / np.maximum(total, 1e-12), 1 / max(1, len(self.languages)))
         found = [UNDETERMINED if not n else self.languages[b] for n, b in zip(letters, best, strict=True)]
         return found, np.where(letters > 0, np.clip(score, 0, 1), 0.0)
 
-    def support(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(share of each text's n-grams that its best language knows, n-grams, letters)."""
-        votes, sizes, letters = self.votes(texts)
-        return votes.max(axis=1, initial=0.0) / np.maximum(1, sizes), sizes, letters
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        votes, _, letters = self.votes(texts)
+        return self._chosen(votes, letters)
+
+    def judged(self, texts: list[str], least: float, least_score: float) -> tuple[list[str], np.ndarray]:
+        """(predicted language, whether to accept it) of each text.
 
-    def supported(self, texts: list[str], least: float = 0.0) -> np.ndarray:
-        """Whether some language knows the text: a vote above the false-positive level, and a share of known
-        n-grams not below `least` by more than two standard deviations of so few n-grams. A text with
-        letters and without a whole n-gram says nothing either way and passes."""
-        share, sizes, letters = self.support(texts)
+        Some language must know the text: a vote above the false-positive level, a share of known n-grams not below
+        `least` by more than two standard deviations of so few n-grams, and the language's part of all votes
+        not below `least_score`. A text with letters and without a whole n-gram says nothing either way and passes.
+        """
+        votes, sizes, letters = self.votes(texts)
+        found, score = self._chosen(votes, letters)
+        share = votes.max(axis=1, initial=0.0) / np.maximum(1, sizes)
         low = least - 2 * np.sqrt(least * (1 - least) / np.maximum(1, sizes))
-        return (letters > 0) & ((sizes == 0) | ((share > 0) & (share >= low)))
+        return found, (letters > 0) & ((sizes == 0) | ((share > 0) & (share >= low) & (score >= least_score)))
 
 
 def _gram_counts(n: int):
@@ -222,31 +225,34 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def least_support(clean: DataFrame, model: LanguageModel, part: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The bound for `accepted`: `part` of the median share of known n-grams of rows that the model did not learn from.
+def bounds(clean: DataFrame, model: LanguageModel, part: float = 0.4, score_part: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, float]:
+    """(least share of known n-grams, least score) for `accepted`, from rows that the model did not learn from.
 
-    Clean rows lie close to the median, so that even a table with much junk sets the same bound.
+    `part` of the median share, and `score_part` of the way from even votes to the median score. Clean
+    rows lie close to the medians, so that even a table with much junk sets the same bounds.
     """
     if not model.languages:
-        return 0.0
+        return 0.0, 0.0
 
     def run(batches):
         for batch in batches:
             flat, at = raw_bytes(batch.column("text"))
             for i, j in slices(at, 1 << 19):
-                share, sizes, _ = model.support([flat[at[r] : at[r + 1]].tobytes().decode() for r in range(i, j)])
-                yield pa.RecordBatch.from_arrays([pa.array(share[sizes > 0])], names=["share"])
+                votes, sizes, letters = model.votes([flat[at[r] : at[r + 1]].tobytes().decode() for r in range(i, j)])
+                some = sizes > 0
+                share = votes.max(axis=1, initial=0.0) / np.maximum(1, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(share[some]), pa.array(model._chosen(votes, letters)[1][some])], names=["share", "score"])
 
-    found = id_text(clean, id_col, text_col).mapInArrow(lean(run), "share double").agg(F.percentile_approx("share", 0.5).alias("m")).first()["m"]
-    return part * (found or 0.0)
+    found = id_text(clean, id_col, text_col).mapInArrow(lean(run), "share double, score double").agg(F.percentile_approx("share", 0.5).alias("share"), F.percentile_approx("score", 0.5).alias("score")).first()
+    even = 1 / len(model.languages)
+    return part * (found["share"] or 0.0), even + score_part * max(0.0, (found["score"] or 0.0) - even)
 
 
 def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0, languages: list[str] | None = None, least_score: float = 0.0, lang_col: str | None = None) -> DataFrame:
     """The documents whose text is in one of `languages` (by default all of the model's), with their columns.
 
-    The predicted language decides, and its score must be least_score or more. Those without a letter go,
-    and those that the corrected counts don't support (LanguageModel.supported): letter junk, encoded strings,
-    unknown languages and scripts. lang_col, if given, gets the predicted language where it is null. A
+    The predicted language and its score decide (LanguageModel.judged). Those without a letter go, and
+    those that the corrected counts don't support: letter junk, encoded strings, unknown languages and scripts. lang_col, if given, gets the predicted language where it is null. A
     model without languages accepts nothing.
     """
     short_batches(documents.sparkSession)
@@ -264,8 +270,8 @@ def accepted(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
                 own = [t or "" for t in texts[i:j].to_pylist()]
                 if not model.languages:
                     continue
-                found, score = model.predict(own)
-                keep = model.supported(own, least) & (score >= least_score) & np.array([f in wanted for f in found], bool)
+                found, keep = model.judged(own, least, least_score)
+                keep &= np.array([f in wanted for f in found], bool)
                 if label is not None:
                     given = pa.compute.coalesce(part.column(label), pa.array(found, part.schema.types[label]))
                     part = part.set_column(label, part.schema.names[label], given)

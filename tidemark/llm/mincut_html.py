@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, short_batches
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,6 +33,7 @@ GOOD = frozenset(["article", "main"])
 BAD = frozenset("nav aside footer form menu dialog search".split())
 BAD_NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
+APART_WORDS = frozenset("has no not with without".split())
 GOOD_NAMES = frozenset("article articlebody content entry main maintext post story".split())
 GOOD_ROLES, BAD_ROLES = frozenset(["main", "article"]), frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _WORD = re.compile(r"[a-z]+")
@@ -56,6 +57,17 @@ class Block:
     comment: bool
 
 
+def _names(value: str) -> set[str]:
+    """The words of a class or id; within one name, what follows a word like `no` or `with` is about something else."""
+    found: set[str] = set()
+    for name in value.split():
+        for word in _WORD.findall(_CAMEL.sub(" ", name).lower()):
+            if word in APART_WORDS:
+                break
+            found.add(word)
+    return found
+
+
 class _Reader(HTMLParser):
     """Cuts a page into blocks; forgiving of elements that are never closed."""
 
@@ -82,9 +94,7 @@ class _Reader(HTMLParser):
         role = ""
         for k, v in attributes:
             if k in ("class", "id") and v and tag not in ("html", "body"):
-                words = _WORD.findall(_CAMEL.sub(" ", v).lower())
-                if not {"has", "with", "no"} & set(words):
-                    names.update(words)
+                names.update(_names(v))
             elif k == "role" and v:
                 role = v.lower()
         if names & BAD_NAMES or role in BAD_ROLES or tag in BAD:
@@ -287,6 +297,7 @@ def _examples(batches):
 
 def fit(pages: DataFrame, fit_pages: int = 500, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
     """Classifier weights learnt from about fit_pages pages, drawn by a hash of the id (the bound on what is read)."""
+    short_batches(pages.sparkSession)
     rows = pages.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(html_col).cast("string").alias("html")).where("html is not null")
     n = rows.count()
     drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30) < fit_pages / max(1, n)
@@ -313,6 +324,7 @@ def extract(pages: DataFrame, weights: np.ndarray, id_col: str = "page_id", url_
     A null or empty page has the empty text. Null and repeated ids and urls are kept as they are;
     other columns are not read; an empty table gives an empty result.
     """
+    short_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = rows.mapInArrow(lean(_extract(weights)), "page_id long, url string, text string, n_chars long")
     return found.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
