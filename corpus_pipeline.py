@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, langid, mixing, queries, simhash, suffix_dedup
 
-#: Token shares that the mixture is to have. Weights only raise shares: no document is dropped for them.
-TARGETS = {"high": 0.76, "low": 0.14, "toxic": 0.1}
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the table's labels teach; those without a letter go, and those whose n-grams no language knows."""
+    """Documents whose predicted language is one that the table's labels teach, well enough supported; the prediction fills a null label."""
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.accepted(docs, model, least=langid.least_support(docs.where(langid.held_out()), model))
+    least, least_score = langid.bounds(docs.where(langid.held_out()), model)
+    return langid.accepted(docs, model, least=least, least_score=least_score, lang_col="lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +30,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that the domains have the target shares of all tokens."""
-    return mixing.mix(docs, queries.quality_domains(spark, sf_dir), TARGETS, keep_all=True)
+    """Documents left out or repeated so that the domains have the target shares of as many tokens."""
+    return mixing.mix(docs, queries.quality_domains(spark, sf_dir), queries.QUALITY_TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
