@@ -344,6 +344,10 @@ def test_word_bpe_equals_the_library(rows):
     for _ in range(2):
         assert [x.tolist() for x in model.ids(texts)] == want
         assert model.counts(texts) == [len(x) for x in want]
+    rng = random.Random(12)
+    bits = ["word,", "don't", " ", "\n", "\t", "\u2019", "\u2014", "漢字", "e\u0301", "\u0338", "<", "<|endoftext|>", "\x1c", "\x85", "\u3000", "Σ", "ΟΔΟΣ", "12", "naïve", "🎉", "\u200d", "ﬁ", "K"]
+    mixed = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    assert model.counts(mixed) == [len(model.library.encode(t, add_special_tokens=False).ids) for t in mixed]
     assert all(model.library.encode(w, add_special_tokens=False).ids == [i] for w, i in list(model.whole.items())[::50])
 
 

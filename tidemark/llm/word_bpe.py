@@ -3,8 +3,8 @@
 Such a tokenizer (the tokenizers library's JSON, e.g. word_bpe_49k.json) drops white space, so a
 text is the sequence of its pre-tokens and each pre-token is encoded by itself. The library
 encodes each distinct pre-token of a worker once; texts are then put together from those. Only
-texts whose characters, normaliser and pre-tokenizer are proven to act alike here and in the
-library take this way; every other text is given to the library as it is.
+texts, or for counts parts of them, whose characters, normaliser and pre-tokenizer are proven to act alike here and
+in the library take this way; all others are given to the library as they are.
 
 The proof is made when a file is loaded: the file's normaliser and pre-tokenizer must be the known
 ones, and each character of the plain range, by itself and between letters, digits and marks, must
@@ -29,6 +29,7 @@ NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The plain range: Latin letters up to U+024F, without control characters that count as white space in one regular expression engine only.
 _PLAIN = re.compile(r"[\t-\r -\x7e\xa0-ɏ]*")
+_BLANK = re.compile(r"[ \t\n]+")
 _NUMBERS = "0-9²³¹¼½¾"
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMBERS}]+|[{_NUMBERS}]|(?:[^\s\w]|_)+")
 
@@ -46,7 +47,7 @@ class WordBpe:
         self.library.no_padding()
         spec = json.loads(text)
         self.specials = [x["content"] for x in spec["added_tokens"]]
-        self.most, self.cache, self.excess, self.pieces = most_cached, {}, {}, {}
+        self.most, self.cache, self.excess, self.pieces, self.rare = most_cached, {}, {}, {}, {}
         self.provable = self._known(spec) and self._same_cuts()
         self.whole = self._whole(spec["model"]) if self.provable else {}
 
@@ -150,28 +151,47 @@ class WordBpe:
             cache.update(zip(new, made, strict=True))
         return found
 
+    def _count(self, chunks: list[str]) -> list[int]:
+        """Tokens of texts without white space: a pre-token that is one whole token by proof counts one, the others are merged."""
+        if len(self.pieces) > self.most // 2:
+            self.pieces = {}
+        whole, merged = self.whole, self._merged
+        return [sum(1 if w in whole else len(merged(w)) for w in words) for words in map(_WORDS.findall, chunks)]
+
+    def _rare(self, chunk: str) -> int:
+        """Tokens of a text that is not plain, by the library."""
+        if chunk not in self.rare:
+            if len(self.rare) > self.most // 10:
+                self.rare = {}
+            self.rare[chunk] = len(self.library.encode(chunk, add_special_tokens=False).ids)
+        return self.rare[chunk]
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text: what is one whole token by proof counts one without a look at the
-        merges; the rest is merged once and its count remembered.
+        merges; the rest is merged once and its count remembered. In a text that is not plain
+        only the parts between blanks that aren't go to the library: neither its
+        normaliser nor its pre-tokens reach over a space, a tab or a line end.
         """
-        out = [0] * len(texts)
-        easy = [i for i, t in enumerate(texts) if self.plain(t)]
-        if easy:
-            parts, number, sizes = self._distinct([texts[i] for i in easy])
-            whole, excess = self.whole, self.excess
-            count = np.array([1 if p in whole else excess.get(p, -1) for p in parts], np.int64)
-            missing = np.flatnonzero(count < 0)
-            new = [parts[k] for k in missing.tolist()]
-            count[missing] = made = list(map(len, self._learn(new)))
-            if len(excess) < self.most:
-                excess.update(zip(new, made, strict=True))
-            ends = np.r_[0, np.cumsum(count[number])]
-            edges = np.r_[0, np.cumsum(sizes)]
-            for i, n in zip(easy, (ends[edges[1:]] - ends[edges[:-1]]).tolist(), strict=True):
-                out[i] = n
-        for i in set(range(len(texts))).difference(easy):
-            out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
-        return out
+        if not self.provable:
+            return [len(self.library.encode(t, add_special_tokens=False).ids) for t in texts]
+        out, texts = [0] * len(texts), list(texts)
+        for i, t in enumerate(texts):
+            if not self.plain(t):
+                chunks = _BLANK.split(t)
+                odd = [not self.plain(c) for c in chunks]
+                out[i] = sum(self._rare(c) for c, o in zip(chunks, odd, strict=True) if o)
+                texts[i] = " ".join(c for c, o in zip(chunks, odd, strict=True) if not o)
+        parts, number, sizes = self._distinct(texts)
+        whole, excess = self.whole, self.excess
+        count = np.array([1 if p in whole else excess.get(p, -1) for p in parts], np.int64)
+        missing = np.flatnonzero(count < 0)
+        new = [parts[k] for k in missing.tolist()]
+        count[missing] = made = self._count(new)
+        if len(excess) < self.most:
+            excess.update(zip(new, made, strict=True))
+        ends = np.r_[0, np.cumsum(count[number])]
+        edges = np.r_[0, np.cumsum(sizes)]
+        return (np.array(out, np.int64) + ends[edges[1:]] - ends[edges[:-1]]).tolist()
 
 
 @lru_cache(1)
