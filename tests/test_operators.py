@@ -243,3 +243,118 @@ def test_lexical_candidates_query_sees_all_posts(spark, monkeypatch):
     except AttributeError:  # what the query makes of nothing
         pass
     assert asked == [{"sample_target": None}]
+
+
+def test_overrides_keep_every_append(spark):
+    cases = spark.createDataFrame([("a", "1", None, 5), ("b", "", "x", None), ("c", "y", "z", 7)], "id string, l string, f string, n int")
+    rows = [("a", "l", "append", "x", 1), ("a", "l", "append", "y", 2), ("a", "l", "append", "1", 3), ("a", "f", "fill", "p", 1), ("a", "f", "fill", "q", 2), ("a", "n", "set", "9", 1), ("b", "l", "append", "z", 1), ("b", "f", "fill", "no", 1), ("b", "n", "fill", "3", 1), ("b", "f", "set", None, 1), ("z", "l", "set", "lost", 1)]
+    changes = spark.createDataFrame(rows, "id string, field string, mode string, value string, at int")
+    got = {r.id: tuple(r)[1:] for r in curation.apply_overrides(cases, changes, "id", "at").collect()}
+    assert got == {"a": ("1; x; y", "p", 9), "b": ("z", "x", 3), "c": ("y", "z", 7)}
+    assert curation.apply_overrides(cases, changes.limit(0), "id").schema == cases.schema
+    plan = curation.apply_overrides(cases, changes, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_model_adapters(spark):
+    from tidemark.functions import udfs
+
+    class Counting:
+        def embed(self, texts):
+            return np.array([[len(t), 1.0] for t in texts])
+
+        def score(self, questions, texts):
+            return [len(q) - len(t) for q, t in zip(questions, texts, strict=True)]
+
+    df = spark.createDataFrame([(1, "abc", "q"), (2, "", "qq"), (3, None, "q"), (4, "x", None)], "i int, t string, q string").repartition(2)
+    got = {r.i: (r.v, r.s) for r in df.select("i", udfs.embedding(Counting, batch=1)("t").alias("v"), udfs.pair_logit(Counting)("q", "t").alias("s")).collect()}
+    assert got[1][0] == pytest.approx([3 / math.sqrt(10), 1 / math.sqrt(10)], rel=1e-6) and got[2][0] is None and got[3][0] is None
+    assert (got[1][1], got[2][1], got[3][1], got[4][1]) == (-2.0, 2.0, None, None)
+    assert (udfs.batch_rows(10**9, 10**6), udfs.batch_rows(0, 5), udfs.batch_rows(33, 1, 16)) == (512, 1, 16)
+
+
+def test_sampler_diagnostics_and_tables(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    good = rng.normal(size=(4, 500, 1))
+    slow = np.cumsum(rng.normal(size=(4, 500, 1)), axis=1)
+    r, ess = scoring.diagnostics(np.concatenate([good, slow], axis=2))
+    assert r[0] < 1.01 < 1.1 < r[1] and ess[0] > 1500 > 100 > ess[1]
+    rows = [(k, float(2 * x + 0.1 * e), x, k % 3) for k, (x, e) in enumerate(rng.normal(size=(60, 2)).tolist())] + [(99, None, 1.0, 0)]
+    design = spark.createDataFrame(rows, "entity_id int, score double, x double, group_index int")
+    found = {r.term: r for r in scoring.regression(design, "score", ["x"], draws_path=str(tmp_path / "draws"), samples=300, tune=200, chains=2).collect()}
+    assert set(found) == {"intercept", "x"} and found["x"].hdi_low < 2 < found["x"].hdi_high + 0.05 and found["x"].r_hat < 1.1 and found["x"].ess_bulk > 50
+    draws = spark.read.parquet(str(tmp_path / "draws"))
+    assert draws.count() == 2 * 300 * 2 and draws.where("term = 'x'").agg(F.avg("value")).first()[0] == pytest.approx(found["x"].mean)
+    assert scoring.regression(design.limit(0), "score", ["x"]).count() == 0
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(scoring, "MOST_ENTITIES", 10)
+        with pytest.raises(ValueError, match="up to 10 entities"):
+            scoring.regression(design, "score", ["x"])
+
+
+def test_clusters_use_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, (3000, 2)), rng.normal(5, 0.1, (3000, 2))])
+    df = spark.createDataFrame([("e", k, v) for k, v in enumerate(x.tolist())], "e string, i long, v array<double>")
+    found = vectors.topic_concentration(df, "e", "i", "v").first()
+    labels = vectors.density_clusters(x)
+    assert found.noise_proportion == pytest.approx((labels < 0).mean()) and found.top3_proportion <= 1.0
+    assert vectors.topic_concentration(df, "e", "i", "v", sample=29).first().n_clusters == 0
+    every = vectors.semantic_metrics(df.withColumn("t", F.lit("some words here")), "e", "i", "v", "t", sample=50).first()
+    assert every.n == 50 and every.entropy == pytest.approx(math.log2(3)) and every.n_clusters == found.n_clusters
+
+
+def test_patterns_in_blocks_and_literal_words(spark):
+    posts = spark.createDataFrame([(1, "say a.b\\ec now"), (2, "say axb now"), (3, "a.b\\ecx")], "post_id long, body_clean string")
+    names = spark.createDataFrame([("E", "a.b\\Ec"), ("F", "nows"), ("G", "now")], "entity_id string, alias string")
+    assert {(r.post_id, r.entity_id) for r in mentions.exact_mentions(posts, names, least=3, word_boundary=True).collect()} == {(1, "E"), (1, "G"), (2, "G")}
+    many = spark.createDataFrame([(f"E{k}", f"word{k}x") for k in range(40)], "entity_id string, alias string")
+    texts = spark.createDataFrame([(k, f"the word{k}x and word{k + 1}x") for k in range(39)], "post_id long, body_clean string")
+    few = sorted(map(tuple, mentions.exact_mentions(texts, many).collect()))
+    assert len(few) == 78 and few == sorted(map(tuple, mentions.exact_mentions(texts, many, most_aliases=7).collect()))
+
+
+def test_retrieval_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    x[200:250] = x[:50]  # ties
+    posts = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())] + [(900, None)], "post_id long, embedding array<double>").repartition(5)
+    probes = spark.createDataFrame([(f"e{k % 6}", v) for k, v in enumerate(rng.normal(size=(18, 5)).tolist())], "entity_id string, embedding array<double>")
+    centres = {r.entity_id: np.array(r.centroid) for r in mentions.vector_mean(probes, "entity_id", "embedding", 5).collect()}
+    want = {(e, k) for e, c in centres.items() for k in sorted(range(300), key=lambda i: (-round(float(x[i] @ c / np.linalg.norm(c)), 12), i))[:20]}
+    for most in (10_000, 2):
+        assert {(r.entity_id, r.post_id) for r in mentions.centroid_candidates(posts, probes, 5, n=20, most_centres=most).collect()} == want
+    threads = posts.withColumn("thread_id", F.floor(F.col("post_id") / 10))
+    few = mentions.thread_candidates(threads, posts.where("post_id = 15"), probes, 5, n=50, most_posts=4)
+    assert few.select("post_id").distinct().count() == 4 and few.where("post_id not between 10 and 19").count() == 0
+
+
+def test_manifest_log_and_rotation(spark, tmp_path):
+    import logging
+
+    from tidemark import logs
+
+    df = spark.createDataFrame([(dt.datetime(2020, 1, 2), 1, "ab"), (dt.datetime(2020, 1, 3), 1, "abcd"), (dt.datetime(2020, 2, 1), 2, "x")], "timestamp_utc timestamp, thread_id long, body string")
+    tables.write_parquet(df, str(tmp_path / "posts"))
+    record = tables.manifest_record(df, str(tmp_path / "posts"), str(tmp_path / "m" / "manifest.json"))
+    assert record["total"] == 3 and [m["n_posts"] for m in record["months"]] == [2, 1] and all(len(f["sha256"]) == 64 for f in record["files"]) and (tmp_path / "m" / "manifest.json").exists()
+    one = str(next((tmp_path / "posts").glob("*.parquet")))
+    plain, spread = tables.RunLog("x"), tables.RunLog("x")
+    plain.add("inputs", one)
+    spread.add("inputs", one, spark)
+    assert plain.record["inputs"] == spread.record["inputs"]
+    log = logs.setup_logging(str(tmp_path / "logs" / "run.log"), most_bytes=200, kept=2)
+    for k in range(20):
+        log.info("line %d", k)
+    logs.setup_logging(str(tmp_path / "logs" / "run.log"))
+    assert (tmp_path / "logs" / "run.log.1").exists() and len(logging.getLogger("tidemark").handlers) == 2
+
+
+def test_scores_beside_each_other(spark):
+    naive = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 3.0), ("d", 4.0)], "entity_id string, score_naive double")
+    bayes = spark.createDataFrame([("a", 0.5), ("b", 0.9), ("c", None)], "entity_id string, score_bayes double")
+    assert [r.entity_id for r in scoring.compared_scores(naive, bayes).collect()] == ["a"]
+    top = scoring.compared_scores(naive, bayes, naive.where("entity_id <> 'd'"), ranked=5).orderBy("rank").collect()
+    assert [(r.entity_id, r.rank) for r in top] == [("b", 1), ("a", 2), ("c", 3)]
+    draws = spark.createDataFrame([(1, v) for v in [3.0, 1.0, 2.0, 9.0, None]] + [(2, 5.0)], "k int, v double")
+    assert {tuple(r) for r in scoring.hdi_per_key(draws, "k", "v", 0.5).collect()} == {(1, 1.0, 3.0), (2, 5.0, 5.0)}

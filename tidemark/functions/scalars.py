@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Texts that stand for null.
 NULL_TOKENS = ("", "null", "None", "N/A", "n/a", "unknown")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,13 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def html_unescape(c: Column) -> Column:
-    return _unescape(c)
+    """Character references decoded. Texts without one don't leave the JVM."""
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 def nfkc(c: Column) -> Column:
-    return _nfkc(c)
+    """Compatibility form. Plain ASCII is its own: such texts don't leave the JVM."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def lcs(a: str, b: str) -> int:
@@ -70,6 +73,61 @@ def contained(patterns: list[str]):
     return find
 
 
+class Embedder(Protocol):
+    """embed(texts): a vector for each text. Built anew in each worker."""
+
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+class PairScorer(Protocol):
+    """score(questions, texts): a logit for each pair. Built anew in each worker."""
+
+    def score(self, questions: list[str], texts: list[str]) -> list[float]: ...
+
+
+def embedding(build: Callable[[], Embedder], batch: int = 256):
+    """A function of a text column: unit vectors of an embedder that each worker builds once, `batch` texts at a time. Null and empty texts have the null vector."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = build()
+        for s in batches:
+            out: list = [None] * len(s)
+            rows = [k for k, t in enumerate(s) if t]
+            for at in range(0, len(rows), batch):
+                part = rows[at : at + batch]
+                x = np.asarray(model.embed([s.iloc[k] for k in part]), np.float64)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                for k, v in zip(part, x, strict=True):
+                    out[k] = v.astype(np.float32).tolist()
+            yield pd.Series(out, index=s.index, dtype=object)
+
+    return run
+
+
+def pair_logit(build: Callable[[], PairScorer], batch: int = 256):
+    """A function of a question and a text column: logits of a scorer that each worker builds once, `batch` pairs at a time. Null where either is null."""
+
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = build()
+        for q, t in batches:
+            out = np.full(len(q), np.nan)
+            rows = np.flatnonzero((q.notna() & t.notna()).to_numpy())
+            for at in range(0, len(rows), batch):
+                part = rows[at : at + batch]
+                out[part] = model.score(q.iloc[part].tolist(), t.iloc[part].tolist())
+            yield pd.Series(out, index=q.index).where(q.notna() & t.notna(), None).astype("float64")
+
+    return run
+
+
+def batch_rows(memory_bytes: int, row_bytes: int, most: int = 1024) -> int:
+    """The largest power of two of rows that fit, 1 to `most`: the batch of a model with so much memory free."""
+    fits = max(1, memory_bytes // max(1, row_bytes))
+    return min(most, 1 << (int(fits).bit_length() - 1))
+
+
 def hashed_embedding(dim: int = 64):
     """A function of a text column: a deterministic unit vector of hashed words, for runs without a model."""
 

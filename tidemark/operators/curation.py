@@ -43,16 +43,48 @@ def enforce_domains(cases: DataFrame, domains: dict[str, list[str]], remaps: dic
     return cases
 
 
-def apply_overrides(cases: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
-    """overrides (key, field, mode, value): `set` replaces, `fill` fills blanks, `append` adds to a list unless it is there."""
-    for c in [x for x in cases.columns if x != key]:
-        for mode in ("set", "fill", "append"):
-            part = overrides.where((F.col("field") == c) & (F.col("mode") == mode)).groupBy(key).agg(F.max("value").alias("_v"))
-            old, new = F.col(c), F.col("_v")
-            blank = old.isNull() | (F.trim(old.cast("string")) == "")
-            changed = {"set": new, "fill": F.when(blank, new).otherwise(old), "append": F.when(blank, new).when(old.cast("string").contains(new), old).otherwise(F.concat(old, F.lit("; "), new))}[mode]
-            cases = cases.join(part, key, "left").withColumn(c, F.when(new.isNotNull(), changed).otherwise(old)).drop("_v")
-    return cases
+def apply_overrides(cases: DataFrame, overrides: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """overrides (key, field, mode, value): `set` replaces (the last of several counts), `fill` fills a blank (the first), `append` adds to a list unless it is there (each).
+
+    They are applied in this order of modes, and within one by `order`, a column of overrides, or by value. The
+    changes of a key are one row, so the cases are joined once, whatever the number of columns.
+    """
+    place = F.col(order) if order else F.col("value")
+    per = overrides.where(F.col("value").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(place.alias("o"), F.col("value").alias("v"), F.col("field").alias("f"), F.col("mode").alias("m")))).alias("_changes"))
+    joined = cases.join(per, key, "left")
+
+    def blank(x: Column) -> Column:
+        return x.isNull() | (F.trim(x) == "")
+
+    def changed(c: str) -> Column:
+        def of(mode: str) -> Column:
+            return F.transform(F.filter("_changes", lambda x: (x["f"] == c) & (x["m"] == mode)), lambda x: x["v"])
+
+        kind = cases.schema[c].dataType.simpleString()
+        now = F.coalesce(F.try_element_at(of("set"), F.lit(-1)), F.col(c).cast("string"))
+        now = F.when(blank(now), F.coalesce(F.try_element_at(of("fill"), F.lit(1)), now)).otherwise(now)
+        now = F.aggregate(of("append"), now, lambda s, v: F.when(blank(s), v).when(F.contains(s, v), s).otherwise(F.concat(s, F.lit("; "), v)))
+        return F.when(F.col("_changes").isNull(), F.col(c)).otherwise(now.cast(kind))
+
+    return joined.select(*[F.col(c) if c == key else changed(c).alias(c) for c in cases.columns])
+
+
+def drop_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in the columns."""
+    return df.dropna(subset=columns)
+
+
+def sorted_nulls_last(df: DataFrame, *columns: str) -> DataFrame:
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+
+
+def schema_violations(cases: DataFrame, key: str, year: str, status: str, statuses: list[str], years: tuple[int, int] = (2001, 2027)) -> DataFrame:
+    """(rule, key, n): ids that are null or not unique, years out of range, and statuses out of their domain; n rows each. Further columns are allowed."""
+    ids = cases.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    bad = ids.where("key is null").select(F.lit("id_is_null").alias("rule"), "key", "n").unionByName(ids.where("key is not null and n > 1").select(F.lit("id_is_unique").alias("rule"), "key", "n"))
+    rules = {"year_in_range": F.col(year).between(*years), "status_in_domain": F.col(status).isin(*statuses)}
+    rows = rule_violations(cases.withColumn("_key", F.col(key).cast("string")), "_key", {k: F.coalesce(c, F.lit(k == "status_in_domain")) for k, c in rules.items()})
+    return bad.unionByName(rows.groupBy("rule", F.col("_key").alias("key")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def list_rows(df: DataFrame, key: str, column: str, value: str = "value", by: str = ";") -> DataFrame:
@@ -67,14 +99,34 @@ def keep_first(cases: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n_null, n_empty, n_filled, n_listed, n_unique, min_len, max_len, median_len): one pass over the table."""
+    """(column, n_null, n_empty, n_filled, n_listed, n_unique, min_len, max_len, median_len): one pass for the sums, one for 128-bit hashes of the values."""
     stats = []
     for i, c in enumerate(columns):
         s = F.col(c).cast("string")
-        stats += [F.count_if(s.isNull()).alias(f"n_null_{i}"), F.count_if(s == "").alias(f"n_empty_{i}"), F.count_if(s != "").alias(f"n_filled_{i}"), F.count_if(s.contains(";")).alias(f"n_listed_{i}"), F.count_distinct(s).alias(f"n_unique_{i}"), F.min(F.char_length(s)).alias(f"min_len_{i}"), F.max(F.char_length(s)).alias(f"max_len_{i}"), F.median(F.char_length(s)).alias(f"median_len_{i}")]
-    names = ("n_null", "n_empty", "n_filled", "n_listed", "n_unique", "min_len", "max_len", "median_len")
+        stats += [F.count_if(s.isNull()).alias(f"n_null_{i}"), F.count_if(s == "").alias(f"n_empty_{i}"), F.count_if(s != "").alias(f"n_filled_{i}"), F.count_if(s.contains(";")).alias(f"n_listed_{i}"), F.min(F.char_length(s)).alias(f"min_len_{i}"), F.max(F.char_length(s)).alias(f"max_len_{i}"), F.median(F.char_length(s)).alias(f"median_len_{i}")]
+    names = ("n_null", "n_empty", "n_filled", "n_listed", "min_len", "max_len", "median_len")
     rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").cast("double" if n == "median_len" else "long").alias(n) for n in names]) for i, c in enumerate(columns)]
-    return df.agg(*stats).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    sums = df.agg(*stats).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    unique = _hashed(df, columns).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    joined = sums.join(unique, "column", "left")
+    return joined.select("column", "n_null", "n_empty", "n_filled", "n_listed", F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "min_len", "max_len", "median_len")
+
+
+def _hashed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, hash) of every value that is not null."""
+    parts = [F.struct(F.lit(c).alias("column"), F.unhex(F.md5(F.col(c).cast("string"))).alias("hash")) for c in columns]
+    return df.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("hash is not null")
+
+
+def value_counts(df: DataFrame, columns: list[str], most: int = 20) -> DataFrame:
+    """(column, value, n) of the columns that hold up to `most` different values; nulls are left out."""
+    n = _hashed(df, columns).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most)
+    few = {r["column"] for r in n.collect()}  # a row a column
+    parts = [df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("column"), "value", "n") for c in columns if c in few]
+    out = df.sparkSession.createDataFrame([], "`column` string, value string, n long")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def bad_values(df: DataFrame, checks: dict[str, Column], n: int = 10) -> DataFrame:
@@ -96,10 +148,17 @@ def not_date(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
 
 
-def domain_violations(df: DataFrame, domains: DataFrame, column: str) -> DataFrame:
-    """(column, value, n): values of a column that its domain table (column, value) lacks."""
-    held = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return held.join(domains.where(F.col("column") == column).select("value"), "value", "left_anti").select(F.lit(column).alias("column"), "value", "n")
+def domain_violations(df: DataFrame, domains: DataFrame, column: str | list[str]) -> DataFrame:
+    """(column, value, n): values of the columns that the domain table (column, value) lacks. One pass, whatever the number of columns."""
+    columns = [column] if isinstance(column, str) else column
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("r")
+    held = df.select(cells).select("r.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return held.join(domains.select("column", "value"), ["column", "value"], "left_anti").select("column", "value", "n")
+
+
+def detail_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): how many rows of each column enforce_domains gave a detail."""
+    return coverage(df, {c: F.col(f"{c}_detail").isNotNull() for c in columns}).select(F.col("check").alias("column"), "n")
 
 
 def missing_required(df: DataFrame, key: str, required: list[str]) -> DataFrame:
@@ -108,6 +167,15 @@ def missing_required(df: DataFrame, key: str, required: list[str]) -> DataFrame:
     return df.select(key, F.explode(gaps).alias("column"))
 
 
+def missing_summary(df: DataFrame, key: str, required: list[str], first: int = 10) -> DataFrame:
+    """(column, n, ids): how many rows lack a required field, and the `first` smallest of their ids."""
+    from .relational import top_per_key
+
+    gaps = missing_required(df, key, required)
+    few = top_per_key(gaps, "column", [F.col(key)], first).groupBy("column").agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    return gaps.groupBy("column").agg(F.count(F.lit(1)).alias("n")).join(few, "column")
+
+
 def rule_violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(rule, key): rows for which a rule is false; a rule that is null holds. One pass, whatever the number of rules."""
     broken = F.array_compact(F.array(*[F.when(~rule, F.lit(name)) for name, rule in rules.items()]))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import udfs
-from ..functions.scalars import dot, first_filled, sigmoid, unit
-from .relational import broadcast_if_few, first_by_precedence, modular_sample, top_per_key
+from ..functions.scalars import first_filled, sigmoid, unit
+from .relational import broadcast_if_few, first_by_precedence, modular_sample, sample_rows, thread_neighbours, top_per_key
 
 PRECEDENCE = ["exact_substring", "adversarial_norm", "phonetic_skeleton", "fuzzy", "semantic"]
 OBLIQUE = ("semantic", "phonetic_skeleton")
@@ -31,19 +34,27 @@ def aliases(cases: DataFrame, entity: str = "entity_id", names: tuple[str, ...]
     return first_by_precedence(sound, [entity, "alias"], "source", ["name", "last_name", *alias_lists], ["source"])
 
 
+def _pattern_blocks(patterns: DataFrame, most: int) -> list[list[str]]:
+    """The distinct patterns in blocks of about `most`, by a hash: what one worker's automaton holds."""
+    distinct = patterns.select("pattern").where("pattern <> ''").distinct()
+    n = distinct.count()
+    blocks = -(-n // max(1, most))
+    part = F.pmod(F.xxhash64("pattern"), F.lit(max(1, blocks)))
+    return [[r[0] for r in distinct.where(part == k).orderBy("pattern").collect()] for k in range(blocks)]
+
+
 def _contained(posts: DataFrame, patterns: DataFrame, text: str, post: str, most: int) -> DataFrame:
-    """(post, pattern) for each pattern that a text contains: an automaton over at most `most` patterns a worker, or a join on the patterns' first characters beyond that."""
-    names = [r[0] for r in patterns.select("pattern").distinct().orderBy("pattern").limit(most + 1).collect()]
-    if len(names) > most:
-        # patterns are too many to broadcast: meet on every substring as long as the shortest pattern
-        k = patterns.select(F.min(F.length("pattern"))).first()[0]
-        cut = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(k))))
-        pieces = posts.select(post, text, F.explode(cut).alias("_key"))
-        keyed = patterns.select("pattern", F.substring("pattern", 1, k).alias("_key")).distinct()
-        return pieces.join(keyed, "_key").where(F.col(text).contains(F.col("pattern"))).select(post, "pattern")
-    if not names:
-        return posts.where("false").select(post, F.lit("").alias("pattern"))
-    return posts.select(post, F.explode(udfs.contained(names)(F.col(text))).alias("pattern"))
+    """(post, pattern) for each pattern that a text contains: an automaton over about `most` patterns a worker, a pass over the posts for each such block."""
+    out = posts.where("false").select(post, F.lit("").alias("pattern"))
+    for k, names in enumerate(_pattern_blocks(patterns, most)):
+        found = posts.select(post, F.explode(udfs.contained(names)(F.col(text))).alias("pattern"))
+        out = found if k == 0 else out.unionByName(found)
+    return out
+
+
+def _escaped(c: Column) -> Column:
+    """A text as a regular expression that matches it literally."""
+    return F.regexp_replace(c, r"([\\\[\](){}.*+?^$|])", r"\\$1")
 
 
 def exact_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", least: int = 4, most_aliases: int = 50_000, word_boundary: bool = False) -> DataFrame:
@@ -51,14 +62,29 @@ def exact_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "enti
     low = alias_table.select(entity, F.lower("alias").alias("pattern")).where(F.length("pattern") >= least).distinct()
     hits = _contained(posts, low.select("pattern"), text, post, most_aliases).join(low, "pattern")
     if word_boundary:
-        hits = hits.join(posts.select(post, text), post).where(F.expr(f"{text} rlike concat('(?U)\\\\b\\\\Q', pattern, '\\\\E\\\\b')")).drop(text)
+        hits = hits.join(posts.select(post, text), post).where(F.rlike(F.col(text), F.concat(F.lit(r"(?U)\b"), _escaped(F.col("pattern")), F.lit(r"\b")))).drop(text)
     return hits.select(post, entity, F.col("pattern").alias("alias_matched"), F.lit("exact_substring").alias("match_type"), F.lit(1.0).alias("score"))
 
 
+def _forms(alias_table: DataFrame, entity: str, least: int) -> DataFrame:
+    """(entity, pattern): aliases and their variants."""
+    low = alias_table.select(entity, F.lower("alias").alias("low")).where(F.length("low") >= least)
+    return low.select(entity, F.explode(F.array_distinct(F.concat(F.array("low"), T.variants(F.col("low"))))).alias("pattern")).where(F.length("pattern") >= least).distinct()
+
+
+def _skeletons(alias_table: DataFrame, entity: str, least: int) -> DataFrame:
+    """(entity, low, skel) of the aliases whose skeleton has three letters or more."""
+    low = alias_table.select(entity, F.lower("alias").alias("low")).where(F.length("low") >= least)
+    return low.select(entity, "low", T.skeleton(F.col("low")).alias("skel")).where(F.length("skel") >= 3).distinct()
+
+
+def _long_words(norm: Column, least: int) -> Column:
+    return F.filter(F.array_distinct(F.split(norm, " ")), lambda w: F.length(w) >= least)
+
+
 def adversarial_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", least: int = 4, most_aliases: int = 50_000) -> DataFrame:
     """Posts whose normalised text contains an alias or one of its variants, score 0.9."""
-    forms = alias_table.select(entity, F.lower("alias").alias("low")).where(F.length("low") >= least)
-    forms = forms.select(entity, F.explode(F.array_distinct(F.concat(F.array("low"), T.variants(F.col("low"))))).alias("pattern")).where(F.length("pattern") >= least).distinct()
+    forms = _forms(alias_table, entity, least)
     normal = posts.select(post, T.adversarial(F.col(text)).alias("_norm"))
     hits = _contained(normal, forms.select("pattern"), "_norm", post, most_aliases).join(forms, "pattern")
     return hits.select(post, entity, F.col("pattern").alias("alias_matched"), F.lit("adversarial_norm").alias("match_type"), F.lit(0.9).alias("score"))
@@ -66,10 +92,36 @@ def adversarial_mentions(posts: DataFrame, alias_table: DataFrame, entity: str =
 
 def skeleton_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", least: int = 4) -> DataFrame:
     """Posts with a word whose consonant skeleton is an alias's, and which is not the alias, score 0.8."""
-    words = posts.select(post, F.explode(F.array_distinct(F.split(T.adversarial(F.col(text)), " "))).alias("token")).where(F.length("token") >= least)
+    words = posts.select(post, F.explode(_long_words(T.adversarial(F.col(text)), least)).alias("token"))
     keyed = words.withColumn("skel", T.skeleton(F.col("token")))
-    keys = alias_table.select(entity, F.lower("alias").alias("low")).where(F.length("low") >= least).select(entity, "low", T.skeleton(F.col("low")).alias("skel")).where(F.length("skel") >= 3)
-    return keyed.join(keys, "skel").where("token <> low").select(post, entity, F.col("token").alias("alias_matched"), F.lit("phonetic_skeleton").alias("match_type"), F.lit(0.8).alias("score"))
+    return keyed.join(_skeletons(alias_table, entity, least), "skel").where("token <> low").select(post, entity, F.col("token").alias("alias_matched"), F.lit("phonetic_skeleton").alias("match_type"), F.lit(0.8).alias("score"))
+
+
+def _three_passes(posts: DataFrame, alias_table: DataFrame, entity: str, post: str, text: str, least: int, most: int) -> DataFrame:
+    """The exact, normalised and skeleton passes in one over the posts, which are normalised once; patterns are up to `most`."""
+    exact = alias_table.select(entity, F.lower("alias").alias("pattern")).where(F.length("pattern") >= least).distinct()
+    forms, skeletons = _forms(alias_table, entity, least), _skeletons(alias_table, entity, least)
+    kinds = {"exact_substring": 1.0, "adversarial_norm": 0.9, "phonetic_skeleton": 0.8}
+    first, second, third = (F.lit(k) for k in kinds)
+    found = {k: _pattern_blocks(x.select("pattern"), most) for k, x in (("e", exact), ("f", forms))}
+    if max(map(len, found.values())) > 1:
+        names = {"entity": entity, "post": post, "text": text, "least": least}
+        parts = exact_mentions(posts, alias_table, **names), adversarial_mentions(posts, alias_table, **names), skeleton_mentions(posts, alias_table, **names)
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    def hits(blocks: list[list[str]], c: str, kind: Column) -> Column:
+        return F.transform(udfs.contained(blocks[0] if blocks else [])(F.col(c)), lambda p: F.struct(kind.alias("match_type"), p.alias("token")))
+
+    normal = posts.select(post, text, T.adversarial(F.col(text)).alias("_norm"))
+    words = F.transform(F.coalesce(_long_words(F.col("_norm"), least), F.array().cast("array<string>")), lambda w: F.struct(third.alias("match_type"), w.alias("token")))
+    each = normal.select(post, F.explode(F.concat(hits(found["e"], text, first), hits(found["f"], "_norm", second), words)).alias("h")).select(post, "h.match_type", "h.token")
+    each = each.withColumn("key", F.when(F.col("match_type") == third, T.skeleton(F.col("token"))).otherwise(F.col("token")))
+    keys = exact.select(entity, first.alias("match_type"), F.col("pattern").alias("key"), F.lit(None).cast("string").alias("low"))
+    keys = keys.unionByName(forms.select(entity, second.alias("match_type"), F.col("pattern").alias("key"), F.lit(None).cast("string").alias("low")))
+    keys = keys.unionByName(skeletons.select(entity, third.alias("match_type"), F.col("skel").alias("key"), "low"))
+    joined = each.join(broadcast_if_few(keys, keys, most), ["match_type", "key"]).where("low is null or token <> low")
+    score = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("match_type")]
+    return joined.select(post, entity, F.col("token").alias("alias_matched"), "match_type", score.alias("score"))
 
 
 def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", threshold: float = 85.0, least: int = 4, most_words: int = 3, most_names: int = 50_000) -> DataFrame:
@@ -95,12 +147,13 @@ def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "enti
 
 def lexical_candidates(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", sample_target: int | None = 500_000, offset: int = 0, threshold: float = 85.0, least: int = 4) -> DataFrame:
     """All passes, one row a post and entity by precedence; the costly ones on a modular sample of the posts, or on all if sample_target is None."""
-    some = posts if sample_target is None else modular_sample(posts, post, sample_target, offset)
     names = {"entity": entity, "post": post, "text": text, "least": least}
-    passes = [exact_mentions(posts, alias_table, **names), adversarial_mentions(some, alias_table, **names), skeleton_mentions(some, alias_table, **names), fuzzy_mentions(some, alias_table, threshold=threshold, **names)]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
+    if sample_target is None:
+        some, out = posts, _three_passes(posts, alias_table, most=50_000, **names)
+    else:
+        some = modular_sample(posts, post, sample_target, offset)
+        out = exact_mentions(posts, alias_table, **names).unionByName(adversarial_mentions(some, alias_table, **names)).unionByName(skeleton_mentions(some, alias_table, **names))
+    out = out.unionByName(fuzzy_mentions(some, alias_table, threshold=threshold, **names))
     return first_by_precedence(out, [post, entity], "match_type", PRECEDENCE, ["alias_matched"])
 
 
@@ -118,15 +171,71 @@ def vector_mean(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFram
     return vectors.groupBy(key).agg(*means, F.count(F.lit(1)).alias("n")).select(key, F.array(*[f"m{i}" for i in range(dim)]).alias("centroid"), "n")
 
 
+def _nearest(centres: np.ndarray, post: str, vector: str, n: int):
+    """The n posts of each task that are closest to each centre: (place of the centre, post, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_score, best_post = np.full((len(centres), 0), -np.inf), np.zeros((len(centres), 0), np.int64)
+        kept: list[pa.Array] = []  # ids of posts that are in best_post, by their place
+        count = 0
+        for batch in batches:
+            held = batch.filter(batch.column(vector).is_valid())
+            if not held.num_rows:
+                continue
+            column = held.column(vector)
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(held.num_rows, -1)
+            kept.append(held.column(post))
+            score = np.concatenate([best_score, centres @ x.T], axis=1)
+            place = np.concatenate([best_post, np.broadcast_to(np.arange(count, count + held.num_rows), (len(centres), held.num_rows))], axis=1)
+            count += held.num_rows
+            ids_now = pa.concat_arrays(kept)
+            key = pc.rank(ids_now, "ascending").to_numpy()  # ties go to the smaller id
+            order = np.lexsort((key[place], -score), axis=1)[:, :n]
+            best_score, best_post = np.take_along_axis(score, order, 1), np.take_along_axis(place, order, 1)
+            used, back = np.unique(best_post, return_inverse=True)
+            kept, count, best_post = [ids_now.take(pa.array(used))], len(used), back.reshape(best_post.shape)
+        if kept:
+            rows, columns = best_post.shape
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(rows), columns)), kept[0].take(pa.array(best_post.ravel())), pa.array(best_score.ravel())], names=["centre", post, "score"])
+
+    return run
+
+
 def centroid_candidates(posts: DataFrame, probes: DataFrame, dim: int, entity: str = "entity_id", post: str = "post_id", vector: str = "embedding", n: int = 500, most_centres: int = 10_000) -> DataFrame:
-    """The n posts closest to each entity's mean probe vector by dot product; ties by id.
+    """The n posts closest to each entity's mean probe vector by dot product; ties by id. Posts without a vector are left out.
 
-    The centroids are a query set, a row an entity, that meets every post: broadcast if they are up to most_centres, else in blocks.
+    The centroids are a query set, a row an entity. Up to most_centres of them are a matrix that every task
+    multiplies its posts' vectors with, keeping its n best of each; more take a pass over the posts for each such block.
     """
+    spark = posts.sparkSession
     centres = vector_mean(probes, entity, vector, dim).select(entity, unit(F.col("centroid")).alias("centroid"))
-    scored = posts.select(post, vector).crossJoin(broadcast_if_few(centres, probes.select(entity).distinct(), most_centres)).select(post, entity, dot(F.col(vector), F.col("centroid")).alias("score"))
-    best = top_per_key(scored, entity, [F.col("score").desc(), F.col(post)], n)
-    return best.select(post, entity, F.lit("").alias("alias_matched"), F.lit("semantic").alias("match_type"), "score")
+    total = probes.select(entity).distinct().count()
+    blocks = max(1, -(-total // max(1, most_centres)))
+    kind = posts.schema[post].dataType.simpleString()
+    out = None
+    for k in range(blocks):
+        part = [r for r in centres.where(F.pmod(F.xxhash64(entity), F.lit(blocks)) == k).orderBy(entity).collect()]
+        names = spark.createDataFrame([(i, r[entity]) for i, r in enumerate(part)], f"centre long, {entity} {probes.schema[entity].dataType.simpleString()}")
+        if not part:
+            continue
+        near = posts.select(post, vector).mapInArrow(_nearest(np.array([r["centroid"] for r in part], np.float64), post, vector, n), f"centre long, {post} {kind}, score double")
+        best = top_per_key(near, "centre", [F.col("score").desc(), F.col(post)], n).join(F.broadcast(names), "centre")
+        found = best.select(post, entity, F.lit("").alias("alias_matched"), F.lit("semantic").alias("match_type"), "score")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else posts.select(post).where("false").crossJoin(probes.select(entity).limit(0)).select(post, entity, F.lit("").alias("alias_matched"), F.lit("semantic").alias("match_type"), F.lit(0.0).alias("score"))
+
+
+def thread_candidates(posts: DataFrame, hits: DataFrame, probes: DataFrame, dim: int, thread: str = "thread_id", entity: str = "entity_id", post: str = "post_id", vector: str = "embedding", n: int = 50, most_posts: int | None = 2_000_000, seed: int = 42) -> DataFrame:
+    """Retrieval among the posts of threads that hold a lexical hit: up to most_posts of them, drawn by a seeded hash (all if None), the n closest to each entity's centroid."""
+    scope = thread_neighbours(posts, hits, post, thread)
+    if most_posts is not None:
+        scope = sample_rows(scope, post, most_posts, seed)
+    return centroid_candidates(scope, probes, dim, entity, post, vector, n)
+
+
+def all_candidates(lexical: DataFrame, semantic: DataFrame, entity: str = "entity_id", post: str = "post_id") -> DataFrame:
+    """Lexical and retrieved candidates, one row a post and entity by precedence."""
+    return first_by_precedence(lexical.unionByName(semantic), [post, entity], "match_type", PRECEDENCE, ["alias_matched"])
 
 
 def adjudicate(candidates: DataFrame, posts: DataFrame, names: DataFrame, logit: Callable[[Column, Column], Column], model: str, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", name: str = "name", threshold: float = 0.5, limit: int = 512, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -141,6 +250,7 @@ def adjudicate(candidates: DataFrame, posts: DataFrame, names: DataFrame, logit:
     rest = candidates.where(~exact).dropDuplicates([post, entity, "match_type"])
     known = cache.where(F.col("model_name") == model).groupBy(post, entity).agg(F.max("confidence").alias("_known")) if cache is not None else candidates.sparkSession.createDataFrame([], candidates.select(post, entity).schema.add("_known", "double"))
     joined = rest.join(known, [post, entity], "left").join(posts.select(post, F.substring(text, 1, limit).alias("_text")), post, "left").join(names.select(entity, F.col(name).alias("_name")), entity, "left")
+    # Fixed value: the question that is asked of each post.
     question = F.concat(F.lit("Does this post reference or mention "), F.coalesce("_name", entity), F.lit("?"))
     missing = F.col("_text").isNull() | (F.col("_text") == "")
     scored = joined.withColumn("confidence", F.coalesce("_known", F.when(~missing, sigmoid(logit(question, F.col("_text")))), F.lit(0.0)))

@@ -68,6 +68,27 @@ def log_histogram(df: DataFrame, value: str, bins: int = 24, low: float = 0.5, h
     return df.where(F.col(value).isNotNull()).select(F.least(F.floor(step).cast("int"), F.lit(bins - 1)).alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_median(df: DataFrame, value: str) -> DataFrame:
+    """(n, median) of the values that are not null; n rows have one."""
+    return df.agg(F.count(value).alias("n"), F.median(F.col(value).cast("double")).alias("median"))
+
+
+def success_rate(df: DataFrame, flag: str) -> DataFrame:
+    """(n, n_true, rate): nulls count as false; the rate of no rows is 0."""
+    hit = F.count_if(F.coalesce(F.col(flag), F.lit(False)))
+    return df.agg(F.count(F.lit(1)).alias("n"), hit.alias("n_true")).select("n", "n_true", F.when(F.col("n") > 0, F.col("n_true") / F.col("n")).otherwise(0.0).alias("rate"))
+
+
+def members_where(df: DataFrame, cases: DataFrame, on: str, condition: Column) -> DataFrame:
+    """Rows whose key is that of a case for which the condition holds."""
+    return members(df, cases.where(condition), on)
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by `order`, so that every run takes the same."""
+    return df.orderBy(*order).limit(n)
+
+
 def broadcast_if_few(df: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if `rows`, which bounds it, has at most `most` rows; as it is beyond that."""
     return F.broadcast(df) if rows.limit(most + 1).count() <= most else df

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import min_max, z_score
@@ -24,12 +24,10 @@ def naive_score(affect: DataFrame, temporal: DataFrame, semantic: DataFrame, ent
     x = x.na.fill({"intensity": 0.0, "longevity": 0.0, "similarity_median": 0.0, "positive_ratio": 0.5, "negative_ratio": 0.5})
     x = x.withColumn("log_affect_ratio", F.log(F.col("positive_ratio") + epsilon) - F.log(F.col("negative_ratio") + epsilon))
     scaled = ("intensity", "longevity", "similarity_median")
-    # one row of statistics, read by every task as scalars
-    stats = x.agg(F.avg("log_affect_ratio").alias("mean"), F.stddev_samp("log_affect_ratio").alias("std"), *[f(c).alias(f"{k}_{c}") for c in scaled for k, f in (("min", F.min), ("max", F.max))])
-    one = {c: stats.select(c).scalar() for c in stats.columns}
-    x = x.withColumn("z_affect", z_score(F.col("log_affect_ratio"), one["mean"], one["std"]))
-    for c in scaled:
-        x = x.withColumn(f"{c}_scaled", min_max(F.col(c), one[f"min_{c}"], one[f"max_{c}"]))
+    # one row of statistics, joined to every row
+    stats = x.agg(F.avg("log_affect_ratio").alias("_mean"), F.stddev_samp("log_affect_ratio").alias("_std"), *[f(c).alias(f"_{k}_{c}") for c in scaled for k, f in (("min", F.min), ("max", F.max))])
+    x = x.crossJoin(F.broadcast(stats)).withColumn("z_affect", z_score(F.col("log_affect_ratio"), F.col("_mean"), F.col("_std")))
+    x = x.withColumns({f"{c}_scaled": min_max(F.col(c), F.col(f"_min_{c}"), F.col(f"_max_{c}")) for c in scaled}).drop(*stats.columns)
     return x.withColumn("score_naive", F.col("z_affect") * sum((F.col(f"{c}_scaled") for c in scaled), F.lit(0.0)))
 
 
@@ -37,8 +35,25 @@ def factor_features(affect: DataFrame, temporal: DataFrame, semantic: DataFrame,
     """(entity, z_* of five indicators): gaps are 0, deviations are those of the population."""
     x = affect.select(entity, "positive_ratio").join(temporal.select(entity, "intensity", "longevity"), entity, "full").join(semantic.select(entity, "similarity_median"), entity, "full").join(volume.select(entity, "volume"), entity, "full").na.fill(0.0, ["positive_ratio", "intensity", "longevity", "similarity_median"]).na.fill(0, ["volume"])
     x = x.withColumn("log_volume", F.log1p(F.col("volume").cast("double")))
-    stats = x.agg(*[f(c).alias(f"{k}_{c}") for c in INDICATORS for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    return x.select(entity, *[z_score(F.col(c), stats.select(f"mean_{c}").scalar(), stats.select(f"std_{c}").scalar()).alias(f"z_{c}") for c in INDICATORS])
+    stats = x.agg(*[f(c).alias(f"_{k}_{c}") for c in INDICATORS for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    return x.crossJoin(F.broadcast(stats)).select(entity, *[z_score(F.col(c), F.col(f"_mean_{c}"), F.col(f"_std_{c}")).alias(f"z_{c}") for c in INDICATORS])
+
+
+def compared_scores(naive: DataFrame, bayes: DataFrame, members: DataFrame | None = None, entity: str = "entity_id", ranked: int | None = None, by: str = "score_bayes") -> DataFrame:
+    """Naive beside Bayesian scores, for figures.
+
+    Without `ranked`, entities that have both, and no null among them; with it, the `ranked` highest by
+    `by` of all naive rows, with a rank from 1 (ties by id), nulls last. members: keep only its entities. Of two columns of one name the
+    Bayesian table's is left out.
+    """
+    if members is not None:
+        naive = naive.join(members.select(entity).distinct(), entity, "left_semi")
+    extra = bayes.select(entity, *[c for c in bayes.columns if c not in naive.columns])
+    if ranked is None:
+        return naive.join(extra, entity).dropna(subset=["score_naive", "score_bayes"])
+    # a top list: each task keeps its first rows, so the one task that numbers them gets few
+    top = naive.join(extra, entity, "left").orderBy(F.col(by).desc_nulls_last(), entity).limit(ranked)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col(by).desc_nulls_last(), entity)))
 
 
 def hdi(draws: np.ndarray, prob: float = 0.89) -> tuple[float, float]:
@@ -52,11 +67,17 @@ def hdi(draws: np.ndarray, prob: float = 0.89) -> tuple[float, float]:
 
 
 def hdi_per_key(draws: DataFrame, key: str, value: str, prob: float = 0.89) -> DataFrame:
-    """(key, low, high) of the narrowest interval, in SQL: widths from each draw to the one `prob` further on."""
-    ranked = draws.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("x"))
-    k = F.floor(F.lit(prob) * F.size("x")).cast("int")
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("x") - k, F.lit(1))), lambda i: F.struct((F.element_at("x", F.least(i + k, F.size("x"))) - F.element_at("x", i)).alias("w"), i.alias("i")))
-    return ranked.withColumn("b", F.array_min(spans)["i"]).select(key, F.element_at("x", F.col("b")).alias("low"), F.element_at("x", F.least(F.col("b") + k, F.size("x"))).alias("high"))
+    """(key, low, high) of the narrowest interval: each draw beside the one `prob` further on, by windows over the sorted draws of a key. Nulls don't count."""
+    held = draws.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_low"))
+    order = Window.partitionBy(key).orderBy("_low")
+    ranked = held.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    k = F.floor(F.lit(prob) * F.col("_n")).cast("int")
+    ends = ranked.select(key, (F.col("_i") - k).alias("_i"), F.col("_low").alias("high"))
+    last = ranked.groupBy(key).agg(F.max("_low").alias("_top"), F.max("_n").alias("_m"))
+    pairs = ranked.join(ends, [key, "_i"]).select(key, "_i", F.col("_low").alias("low"), "high")
+    whole = ranked.join(last, key).where((F.col("_i") == 1) & (F.floor(F.lit(prob) * F.col("_m")) >= F.col("_m"))).select(key, "_i", F.col("_low").alias("low"), F.col("_top").alias("high"))
+    best = pairs.unionByName(whole).groupBy(key).agg(F.min_by(F.struct("low", "high"), F.struct((F.col("high") - F.col("low")).alias("w"), "_i")).alias("b"))
+    return best.select(key, "b.low", "b.high")
 
 
 def _half_normal_slice(rng, now: float, log_likelihood, scale: float) -> float:
@@ -106,30 +127,87 @@ def factor_score(x: np.ndarray, samples: int = 2000, tune: int = 1000, chains: i
     return np.array(out)
 
 
-def bayes_score(features: DataFrame, entity: str = "entity_id", prob: float = 0.89, **options) -> DataFrame:
-    """(entity, score_bayes, hdi_low, hdi_high) from factor_features: a few hundred rows, gathered on the driver."""
-    rows = features.orderBy(entity).toPandas()
+MOST_ENTITIES = 100_000  # rows that a sampler takes to the driver
+
+
+def _gathered(df: DataFrame):
+    """The rows of a table of entities on the driver; too many are an error, not a sample."""
+    rows = df.limit(MOST_ENTITIES + 1).toPandas()
+    if len(rows) > MOST_ENTITIES:
+        raise ValueError(f"a sampler runs on the driver over up to {MOST_ENTITIES} entities")
+    return rows
+
+
+def diagnostics(draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(r_hat, bulk effective sample size) of draws (chains, samples, parameters): rank-normalised, chains split in halves."""
+    chains, samples, m = draws.shape
+    half = samples // 2
+    x = np.concatenate([draws[:, :half], draws[:, half : 2 * half]])
+    n, c = half, 2 * chains
+    normal = np.empty_like(x)
+    for k in range(m):
+        rank = np.argsort(np.argsort(x[:, :, k].ravel(), kind="stable"), kind="stable") + 1.0
+        normal[:, :, k] = _normal_quantile((rank - 0.375) / (c * n + 0.25)).reshape(c, n)
+    within, mean = normal.var(axis=1, ddof=1).mean(axis=0), normal.mean(axis=1)
+    total = within * (n - 1) / n + mean.var(axis=0, ddof=1)
+    r_hat = np.sqrt(total / within)
+    centred = normal - mean[:, None]
+    size = 1 << (2 * n - 1).bit_length()
+    power = np.abs(np.fft.rfft(centred, size, axis=1)) ** 2
+    lagged = np.fft.irfft(power, size, axis=1)[:, :n].mean(axis=0) / n
+    rho = 1 - (within - lagged * n / (n - 1)) / total
+    ess = np.empty(m)
+    for k in range(m):  # initial monotone sequence of pair sums
+        pairs = rho[: 2 * (n // 2), k].reshape(-1, 2).sum(axis=1)
+        end = int(np.argmax(pairs < 0)) if (pairs < 0).any() else len(pairs)
+        tau = -1 + 2 * np.minimum.accumulate(pairs[: max(1, end)]).sum()
+        ess[k] = c * n / max(tau, 1 / np.log10(max(10, c * n)))
+    return r_hat, ess
+
+
+def _normal_quantile(p: np.ndarray) -> np.ndarray:
+    from statistics import NormalDist
+
+    return np.array([NormalDist().inv_cdf(x) for x in p.tolist()])
+
+
+def _draw_rows(spark, draws: np.ndarray, chains: int, names: list, kind: str, name: str) -> DataFrame:
+    """(chain, draw, name, value) of draws (chain * sample, parameter)."""
+    import pandas as pd
+
+    each, m = len(draws) // chains, draws.shape[1]
+    table = pd.DataFrame({"chain": np.repeat(np.arange(chains), each * m), "draw": np.tile(np.repeat(np.arange(each), m), chains), name: names * len(draws), "value": draws.ravel()})
+    return spark.createDataFrame(table, f"chain long, draw long, {name} {kind}, value double")
+
+
+def bayes_score(features: DataFrame, entity: str = "entity_id", prob: float = 0.89, draws_path: str | None = None, samples: int = 2000, tune: int = 1000, chains: int = 4, **options) -> DataFrame:
+    """(entity, score_bayes, hdi_low, hdi_high, r_hat, ess_bulk) from factor_features: a row an entity, gathered on the driver. draws_path: where all draws are written as Parquet."""
+    spark, kind = features.sparkSession, features.schema[entity].dataType.simpleString()
+    rows = _gathered(features.orderBy(entity))
+    schema = f"{entity} {kind}, score_bayes double, hdi_low double, hdi_high double, r_hat double, ess_bulk double"
     if not len(rows):
-        return features.sparkSession.createDataFrame([], features.select(entity).schema.add("score_bayes", "double").add("hdi_low", "double").add("hdi_high", "double"))
-    draws = factor_score(rows[[f"z_{c}" for c in INDICATORS]].to_numpy(float), **options)
+        return spark.createDataFrame([], schema)
+    draws = factor_score(rows[[f"z_{c}" for c in INDICATORS]].to_numpy(float), samples, tune, chains, **options)
+    names = rows[entity].tolist()
+    if draws_path:
+        _draw_rows(spark, draws, chains, names, kind, entity).write.mode("overwrite").parquet(draws_path)
     ends = [hdi(draws[:, i], prob) for i in range(draws.shape[1])]
-    table = [(k, float(m), a, b) for k, m, (a, b) in zip(rows[entity].tolist(), draws.mean(axis=0), ends, strict=True)]
-    return features.sparkSession.createDataFrame(table, features.select(entity).schema.add("score_bayes", "double").add("hdi_low", "double").add("hdi_high", "double"))
+    r_hat, ess = diagnostics(draws.reshape(chains, samples, -1))
+    return spark.createDataFrame([(k, float(m), a, b, float(r), float(e)) for k, m, (a, b), r, e in zip(names, draws.mean(axis=0), ends, r_hat, ess, strict=True)], schema)
 
 
 def regression_design(scores: DataFrame, cases: DataFrame, count_col: str, flags: list[str], group: str, age: str, key: str = "entity_id") -> DataFrame:
     """Scores with log count, 0/1 flags (only Y is 1), standardised age (gaps take the median) and a number for each group."""
     x = scores.join(cases, key)
-    median = x.select(F.median(F.col(age).cast("double"))).scalar()
-    x = x.withColumn("_age", F.coalesce(F.col(age).cast("double"), median)).withColumn("group", F.coalesce(group, F.lit("unknown")))
-    stats = x.agg(F.avg("_age").alias("m"), F.stddev_pop("_age").alias("s"))
-    names = x.select("group").distinct()
-    index = names.select(F.array_sort(F.collect_set("group"))).scalar()
-    return x.select(key, *[c for c in scores.columns if c != key], F.log(F.coalesce(F.col(count_col).cast("double"), F.lit(0.0)) + 1).alias("log_count"), *[F.coalesce((F.col(f) == "Y").cast("int"), F.lit(0)).alias(f) for f in flags], ((F.col("_age") - stats.select("m").scalar()) / (stats.select("s").scalar() + 1e-8)).alias("age_z"), "group", (F.array_position(index, F.col("group")) - 1).cast("int").alias("group_index"))
+    median = x.agg(F.median(F.col(age).cast("double")).alias("_median"), F.array_sort(F.collect_set(F.coalesce(group, F.lit("unknown")))).alias("_index"))
+    x = x.crossJoin(F.broadcast(median)).withColumn("_age", F.coalesce(F.col(age).cast("double"), "_median")).withColumn("group", F.coalesce(group, F.lit("unknown")))
+    stats = x.agg(F.avg("_age").alias("_m"), F.stddev_pop("_age").alias("_s"))
+    x, index = x.crossJoin(F.broadcast(stats)), F.col("_index")
+    return x.select(key, *[c for c in scores.columns if c != key], F.log(F.coalesce(F.col(count_col).cast("double"), F.lit(0.0)) + 1).alias("log_count"), *[F.coalesce((F.col(f) == "Y").cast("int"), F.lit(0)).alias(f) for f in flags], ((F.col("_age") - F.col("_m")) / (F.col("_s") + 1e-8)).alias("age_z"), "group", (F.array_position(index, F.col("group")) - 1).cast("int").alias("group_index"))
 
 
-def fit_regression(x: np.ndarray, y: np.ndarray, group: np.ndarray, names: list[str], samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42, prob: float = 0.89) -> list[dict]:
-    """Coefficients of y on x with a normal intercept for each group: mean and narrowest interval of each.
+def regression_draws(x: np.ndarray, y: np.ndarray, group: np.ndarray, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42) -> np.ndarray:
+    """Draws (chain * sample, intercept and slopes) of y on x with a normal intercept for each group.
 
     Intercept and slopes ~ N(0, 1), group effects ~ N(0, s), s ~ half-normal(0.5), noise ~ half-normal(1).
     """
@@ -153,5 +231,29 @@ def fit_regression(x: np.ndarray, y: np.ndarray, group: np.ndarray, names: list[
             s = _half_normal_slice(rng, s, lambda v, q=spread: -groups * np.log(v) - q / (2 * v * v), 0.5)
             if t >= tune:
                 draws.append(beta)
-    table = np.array(draws)
-    return [{"term": name, "mean": float(table[:, k].mean()), "hdi_low": hdi(table[:, k], prob)[0], "hdi_high": hdi(table[:, k], prob)[1]} for k, name in enumerate(["intercept", *names])]
+    return np.array(draws)
+
+
+def fit_regression(x: np.ndarray, y: np.ndarray, group: np.ndarray, names: list[str], samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42, prob: float = 0.89) -> list[dict]:
+    """Mean and narrowest interval of the intercept and each coefficient, from arrays."""
+    draws = regression_draws(x, y, group, samples, tune, chains, seed)
+    ends = [hdi(draws[:, k], prob) for k in range(draws.shape[1])]
+    return [{"term": t, "mean": float(draws[:, k].mean()), "hdi_low": ends[k][0], "hdi_high": ends[k][1]} for k, t in enumerate(["intercept", *names])]
+
+
+def regression(design: DataFrame, score: str, terms: list[str], group: str = "group_index", prob: float = 0.89, draws_path: str | None = None, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42) -> DataFrame:
+    """(term, mean, sd, hdi_low, hdi_high, r_hat, ess_bulk) of the intercept and each term, from regression_design's rows without a score left out.
+
+    Null terms count as 0. A row an entity is gathered on the driver. draws_path: where all draws are written as Parquet.
+    """
+    spark = design.sparkSession
+    rows = _gathered(design.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_y"), F.col(group).alias("_g"), *[F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias(f"t{k}") for k, t in enumerate(terms)]).orderBy("_g", "_y", *[f"t{k}" for k in range(len(terms))]))
+    names = ["intercept", *terms]
+    schema = "term string, mean double, sd double, hdi_low double, hdi_high double, r_hat double, ess_bulk double"
+    if not len(rows):
+        return spark.createDataFrame([], schema)
+    draws = regression_draws(rows[[f"t{k}" for k in range(len(terms))]].to_numpy(float), rows["_y"].to_numpy(float), rows["_g"].to_numpy(int), samples, tune, chains, seed)
+    if draws_path:
+        _draw_rows(spark, draws, chains, names, "string", "term").write.mode("overwrite").parquet(draws_path)
+    r_hat, ess = diagnostics(draws.reshape(chains, samples, -1))
+    return spark.createDataFrame([(t, float(draws[:, k].mean()), float(draws[:, k].std(ddof=1)), *hdi(draws[:, k], prob), float(r_hat[k]), float(ess[k])) for k, t in enumerate(names)], schema)

@@ -108,16 +108,22 @@ def density_clusters(x: np.ndarray, least: int = 15) -> np.ndarray:
     """Labels of density clusters, -1 for noise: spanning tree of mutual reachability, condensed, clusters of most excess mass."""
     n = len(x)
     square = (x * x).sum(axis=1)
-    gap = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * (x @ x.T)))
-    core = np.sort(gap, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(gap, np.maximum(core[:, None], core[None, :]))
+
+    def gaps(rows):
+        return np.sqrt(np.maximum(0, square[rows][:, None] + square[None, :] - 2 * (x[rows] @ x.T)))
+
+    # distances are made when they are needed: memory grows with n, not with its square
+    step = max(1, 4_000_000 // n)
+    k = min(least, n) - 1
+    core = np.concatenate([np.partition(gaps(np.arange(a, min(a + step, n))), k, axis=1)[:, k] for a in range(0, n, step)])
     # minimum spanning tree
     inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, np.int64)
     edges, at = [], 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = (reach[at] < best) & ~inside
-        best[closer], via[closer] = reach[at][closer], at
+        reach = np.maximum(gaps(np.array([at]))[0], np.maximum(core, core[at]))
+        closer = (reach < best) & ~inside
+        best[closer], via[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         edges.append((best[at], via[at], at))
     edges.sort()
@@ -190,8 +196,11 @@ def density_clusters(x: np.ndarray, least: int = 15) -> np.ndarray:
     return labels
 
 
-def topic_concentration(vectors: DataFrame, entity: str, id_col: str, vector: str, least: int = 15, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """(entity, n_clusters, top3_proportion, noise_proportion) of up to `sample` vectors an entity; (0, 0, 1) below twice the least cluster."""
+def topic_concentration(vectors: DataFrame, entity: str, id_col: str, vector: str, least: int = 15, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """(entity, n_clusters, top3_proportion, noise_proportion) of all vectors of an entity, or of `sample` of them; (0, 0, 1) below twice the least cluster.
+
+    An entity is one task's work: its vectors in memory, time with their square.
+    """
     kind = vectors.schema[entity].dataType.simpleString()
 
     def cluster(key, rows):
@@ -239,10 +248,15 @@ def drift_windows(posts: DataFrame, dim: int, entity: str = "entity_id", id_col:
     return out.select(entity, "window", "n_posts", "centroid_drift", "dispersion", "dispersion_std", "evasion_rate", "cumulative_drift")
 
 
+def mention_days(mentions: DataFrame, posts: DataFrame, vectors: DataFrame, cases: DataFrame, entity: str = "entity_id", post: str = "post_id", time: str = "timestamp_utc", vector: str = "embedding", event: str = "event_date") -> DataFrame:
+    """(entity, post, days, embedding): the mentions of dated cases whose post is known and has a vector, with the days since the event; what drift_windows takes."""
+    dated = cases.where(F.col(event).isNotNull()).select(entity, F.col(event).cast("date").alias("_event"))
+    held = mentions.select(entity, post).distinct().join(dated, entity).join(posts.select(post, F.col(time).cast("date").alias("_date")), post)
+    return held.select(entity, post, F.datediff("_date", "_event").alias("days")).join(vectors.select(post, vector), post).where(F.col(vector).isNotNull())
+
+
 def drift_summary(windows: DataFrame, entity: str = "entity_id") -> DataFrame:
     """One row an entity with two windows or more; dispersion_trend is the slope of dispersion over the windows' order."""
     numbered = windows.withColumn("_i", F.row_number().over(Window.partitionBy(entity).orderBy("window")) - 1)
     sums = numbered.groupBy(entity).agg(F.avg("centroid_drift").alias("mean_drift"), F.max("centroid_drift").alias("max_drift"), F.max_by("cumulative_drift", "window").alias("final_cumulative_drift"), F.avg("dispersion").alias("mean_dispersion"), F.coalesce(F.regr_slope("dispersion", "_i"), F.lit(0.0)).alias("dispersion_trend"), F.avg("evasion_rate").alias("mean_evasion_rate"), F.count(F.lit(1)).alias("n_windows"))
     return sums.where("n_windows >= 2")
-
-

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import curation, mentions, relational, scoring, temporal, vectors
+from ..operators import affect, curation, mentions, relational, scoring, temporal, vectors
+from ..session import scratch_folder
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,14 +70,68 @@ def intensity(t, spark):
     return found.withColumn("intensity", r6("intensity"))
 
 
-@query()
-def decay_fit(t, spark):
+def _level(k: int, points: str, grid: str) -> str:
+    """One search of the exponent: the errors at `points` (entity, number, alpha), and the neighbours of the best, by `grid`."""
+    return f"""e{k} AS (SELECT *, yy - 2 * c * crossed + c * c * own AS err FROM (SELECT *, greatest(0, crossed) / own AS c FROM (SELECT u.entity_id, p.k, p.alpha, any_value(s.yy) AS yy, sum(exp(-p.alpha * t) * exp(-p.alpha * t)) AS own, sum(y * exp(-p.alpha * t)) AS crossed FROM u JOIN s USING (entity_id) JOIN ({points}) p ON p.entity_id = u.entity_id GROUP BY 1, 2, 3))),
+b{k} AS (SELECT entity_id, arg_min(alpha, (err, k)) AS alpha, arg_min(c, (err, k)) AS c, arg_min(k, (err, k)) AS k FROM e{k} GROUP BY 1),
+r{k} AS (SELECT entity_id, {grid} FROM b{k}{f" JOIN r{k - 1} USING (entity_id)" if k else ""}),
+"""
+
+
+_GRID = "list_concat(list_transform(range(300), lambda k: 1e-2 + k * (2.99e0 / 299)), list_transform(range(140), lambda k: 3.05e0 + k * (6.95e0 / 139)))"
+_FINER = "SELECT entity_id, k, lo + k * ((hi - lo) / 40) AS alpha FROM r{}, range(41) q(k)"
+_NEXT = "lo + greatest(k - 1, 0) * ((hi - lo) / 40) AS lo, lo + least(k + 1, 40) * ((hi - lo) / 40) AS hi"
+_FIT = (
+    """obs AS (SELECT c.entity_id, (x.date - c.event_date)::DOUBLE AS tau, ln((x.date - c.event_date)::DOUBLE) AS t, x.mention_count::DOUBLE AS y FROM cases c JOIN daily x ON x.entity_id = c.entity_id AND x.date > c.event_date),
+n0 AS (SELECT entity_id, count(*) AS n, count(*) FILTER (tau <= 730) AS m FROM obs GROUP BY 1),
+u AS (SELECT obs.* FROM obs JOIN n0 USING (entity_id) WHERE n >= 5 AND m >= 3 AND tau <= 730),
+s AS (SELECT entity_id, sum(y * y) AS yy, count(*) AS m FROM u GROUP BY 1),
+"""
+    + _level(0, f"SELECT entity_id, k - 1 AS k, {_GRID}[k] AS alpha FROM s, range(1, 441) q(k)", f"{_GRID}[greatest(k, 1)] AS lo, {_GRID}[least(k + 2, 440)] AS hi")
+    + _level(1, _FINER.format(0), _NEXT.replace("lo +", "r0.lo +").replace("(hi - lo)", "(r0.hi - r0.lo)"))
+    + _level(2, _FINER.format(1), _NEXT.replace("lo +", "r1.lo +").replace("(hi - lo)", "(r1.hi - r1.lo)"))
+    + _level(3, _FINER.format(2), _NEXT.replace("lo +", "r2.lo +").replace("(hi - lo)", "(r2.hi - r2.lo)"))
+    + """spread AS (SELECT entity_id, any_value(b3.alpha) AS alpha, any_value(b3.c) AS c, count(*) AS m, sum(f * f) AS ff, sum(t * f * f) * any_value(b3.c) AS ft, sum(t * f * t * f) * any_value(b3.c) ** 2 AS tt, sum((y - b3.c * f) ** 2) AS rest FROM (SELECT u.*, exp(-b3.alpha * t) AS f FROM u JOIN b3 USING (entity_id)) JOIN b3 USING (entity_id) GROUP BY 1),
+fit AS (SELECT c.entity_id, 1 / alpha AS longevity, alpha, CASE WHEN alpha IS NULL THEN NULL WHEN spread.m > 2 AND ff * tt - ft * ft > 0 THEN sqrt(rest / (spread.m - 2) * ff / (ff * tt - ft * ft)) ELSE 'inf'::DOUBLE END AS alpha_se, spread.c AS C, coalesce(CASE WHEN n < 5 THEN n ELSE n0.m END, 0)::INTEGER AS n_days, alpha IS NOT NULL AS fit_success FROM cases c LEFT JOIN n0 USING (entity_id) LEFT JOIN spread USING (entity_id))
+"""
+)
+_FIT_OUT = "round(longevity, 4) AS longevity, round(alpha, 4) AS alpha, round(alpha_se, 4) AS alpha_se, round(C, 4) AS C, n_days, fit_success"
+
+
+def r4(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
+def _fits(t):
     return temporal.fit_decay(temporal.daily_counts(_clicks(t), _posts(t)), _cases(t))
 
 
-@query()
+@query(_DAILY + ", " + _FIT + f"SELECT entity_id, {_FIT_OUT} FROM fit")
+def decay_fit(t, spark):
+    return r4(_fits(t), "longevity", "alpha", "alpha_se", "C")
+
+
+@query(_DAILY + ", " + _FIT + f"SELECT entity_id, round(CASE WHEN total_posts_immediate > 0 THEN mentions_immediate / total_posts_immediate ELSE 0 END, 4) AS intensity, mentions_immediate, total_posts_immediate, {_FIT_OUT} FROM inten FULL JOIN fit USING (entity_id)")
 def temporal_metrics(t, spark):
-    return temporal.temporal_metrics(_clicks(t), _posts(t), _cases(t))
+    return r4(temporal.temporal_metrics(_clicks(t), _posts(t), _cases(t)), "intensity", "longevity", "alpha", "alpha_se", "C")
+
+
+@query(_DAILY + ", " + _FIT + "SELECT f.entity_id, x.date - c.event_date AS tau, mention_count, round(f.C * (x.date - c.event_date) ** (-f.alpha), 3) AS fitted FROM fit f JOIN cases c USING (entity_id) JOIN daily x USING (entity_id) WHERE fit_success AND x.date - c.event_date BETWEEN 1 AND 730")
+def decay_points(t, spark):
+    daily = temporal.daily_counts(_clicks(t), _posts(t))
+    found = temporal.decay_points(daily, temporal.fit_decay(daily, _cases(t)), _cases(t))
+    return found.select("entity_id", F.col("tau").cast("long").alias("tau"), "mention_count", F.round("fitted", 3).alias("fitted"))
+
+
+@query(_DAILY + ", " + _FIT + "SELECT entity_id, round(1 + k * (729e0 / 199), 4) AS tau, round(C * (1 + k * (729e0 / 199)) ** (-alpha), 3) AS fitted FROM fit, range(200) q(k) WHERE fit_success")
+def decay_curve(t, spark):
+    found = temporal.decay_curve(_fits(t))
+    return found.select("entity_id", F.round("tau", 4).alias("tau"), F.round("fitted", 3).alias("fitted"))
+
+
+@query(_DAILY + ", " + _FIT + "SELECT count(*) AS n, count(*) FILTER (fit_success) AS n_true, round(count(*) FILTER (fit_success) / count(*), 6) AS rate FROM fit")
+def success_rate(t, spark):
+    return relational.success_rate(_fits(t), "fit_success").withColumn("rate", r6("rate"))
 
 
 @query("SELECT year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, count(*) AS n_posts, count(DISTINCT source) AS n_threads, round(avg(strlen(text)), 1) AS mean_bytes FROM documents JOIN events ON event_id = doc_id GROUP BY 1, 2")
@@ -104,27 +159,28 @@ def _number(t):
 
 
 def _temporal(t):
-    shares = temporal.intensity(temporal.daily_counts(_clicks(t), _posts(t)), _cases(t))
-    return shares.join(t("events").groupBy(F.col("user_id").alias("entity_id")).agg(F.avg("value").alias("longevity")), "entity_id")
+    return temporal.temporal_metrics(_clicks(t), _posts(t), _cases(t))
 
 
 def _semantic(t):
-    return t("embeddings").groupBy(F.col("label").cast("long").alias("entity_id")).agg(F.median(F.col("embedding")[0].cast("double")).alias("similarity_median"))
+    found = vectors.similarity_stats(_vectors(t), "entity_id", "post_id", "embedding", sample=None)
+    return found.select(F.col("entity_id").cast("long").alias("entity_id"), "similarity_median")
 
 
 _FEATURES = (
     _DAILY
     + f""", {_AFFECT},
 a AS (SELECT substr(source, 4)::BIGINT AS entity_id, n_positive / n_total AS positive_ratio, n_negative / n_total AS negative_ratio, n_positive, n_negative, n_total FROM aff),
-m AS (SELECT i.entity_id, CASE WHEN total_posts_immediate > 0 THEN mentions_immediate / total_posts_immediate ELSE 0 END AS intensity, v.longevity FROM inten i JOIN (SELECT user_id AS entity_id, avg(value) AS longevity FROM events GROUP BY 1) v USING (entity_id)),
-s AS (SELECT label::BIGINT AS entity_id, median(embedding[1]::DOUBLE) AS similarity_median FROM embeddings GROUP BY 1),
+{_FIT},
+m AS (SELECT i.entity_id, CASE WHEN total_posts_immediate > 0 THEN mentions_immediate / total_posts_immediate ELSE 0 END AS intensity, longevity FROM inten i JOIN fit USING (entity_id)),
+sim AS (SELECT a.label::BIGINT AS entity_id, quantile_cont(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0.5) AS similarity_median FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1),
 """
 )
 
 
 @query(
     _FEATURES
-    + """x AS (SELECT entity_id, coalesce(positive_ratio, 0.5) AS p, coalesce(negative_ratio, 0.5) AS n, coalesce(intensity, 0) AS i, coalesce(longevity, 0) AS l, coalesce(similarity_median, 0) AS s FROM a FULL JOIN m USING (entity_id) FULL JOIN s USING (entity_id)),
+    + """x AS (SELECT entity_id, coalesce(positive_ratio, 0.5) AS p, coalesce(negative_ratio, 0.5) AS n, coalesce(intensity, 0) AS i, coalesce(longevity, 0) AS l, coalesce(similarity_median, 0) AS s FROM a FULL JOIN m USING (entity_id) FULL JOIN sim USING (entity_id)),
 y AS (SELECT *, ln(p + 1e-6) - ln(n + 1e-6) AS r FROM x),
 g AS (SELECT avg(r) AS mr, stddev_samp(r) AS sr, min(i) AS i0, max(i) AS i1, min(l) AS l0, max(l) AS l1, min(s) AS s0, max(s) AS s1 FROM y)
 SELECT entity_id, round(r, 6) AS log_affect_ratio, round((r - mr) / sr, 6) AS z_affect, round((i - i0) / (i1 - i0), 6) AS intensity_scaled, round((l - l0) / (l1 - l0), 6) AS longevity_scaled, round((s - s0) / (s1 - s0), 6) AS similarity_median_scaled,
@@ -143,7 +199,7 @@ def _factor(t):
 @query(
     _FEATURES
     + """v AS (SELECT user_id AS entity_id, count(*) AS volume FROM events GROUP BY 1),
-x AS (SELECT entity_id, coalesce(positive_ratio, 0) AS p, coalesce(intensity, 0) AS i, coalesce(longevity, 0) AS l, coalesce(similarity_median, 0) AS s, ln(1 + coalesce(volume, 0)) AS v FROM a FULL JOIN m USING (entity_id) FULL JOIN s USING (entity_id) FULL JOIN v USING (entity_id)),
+x AS (SELECT entity_id, coalesce(positive_ratio, 0) AS p, coalesce(intensity, 0) AS i, coalesce(longevity, 0) AS l, coalesce(similarity_median, 0) AS s, ln(1 + coalesce(volume, 0)) AS v FROM a FULL JOIN m USING (entity_id) FULL JOIN sim USING (entity_id) FULL JOIN v USING (entity_id)),
 g AS (SELECT avg(p) AS pm, stddev_pop(p) AS ps, avg(i) AS im, stddev_pop(i) AS i_s, avg(l) AS lm, stddev_pop(l) AS ls, avg(s) AS sm, stddev_pop(s) AS ss, avg(v) AS vm, stddev_pop(v) AS vs FROM x)
 SELECT entity_id, round((i - im) / i_s, 6) AS z_intensity, round((l - lm) / ls, 6) AS z_longevity, round((s - sm) / ss, 6) AS z_similarity_median, round((p - pm) / ps, 6) AS z_positive_ratio, round((v - vm) / vs, 6) AS z_log_volume FROM x, g"""
 )
@@ -153,7 +209,7 @@ def factor_features(t, spark):
 
 @query()
 def factor_score(t, spark):
-    return scoring.bayes_score(_factor(t), samples=200, tune=100, chains=2)
+    return scoring.bayes_score(_factor(t))
 
 
 def _aliases(t, length=40):
@@ -169,16 +225,81 @@ def exact_mentions(t, spark):
     return mentions.exact_mentions(_documents(t), _aliases(t))
 
 
-@query()
-def lexical_candidates(t, spark):
-    names = t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring_index("text", " ", 2).alias("alias"))
-    return mentions.lexical_candidates(_documents(t), names, sample_target=None)
+# The operator's tables of look-alike letters and digits, as in functions/text.py.
+_LATIN = "translate({}, 'АВСЕНКМОРТХаеорсухΑΒΕΗΙΚΜΝΟΡΤΧαο', 'ABCEHKMOPTXaeopcyxABEHIKMNOPTXao')"
+_DELEET = "translate(replace({}, '}}{{', 'h'), '01345789@$!|+', 'oieastbgasilt')"
+_PLAIN = "regexp_replace({}, '[\\x{{0300}}-\\x{{036f}}\\x{{0489}}\\x{{1dc0}}-\\x{{1dff}}\\x{{20d0}}-\\x{{20ff}}\\x{{fe20}}-\\x{{fe2f}}]{{2,}}', '', 'g')"
+_SHORT = "array_to_string(list_filter(l, lambda x, i: i < 3 OR x <> l[i - 1] OR x <> l[i - 2]), '')"
 
 
-@query()
+def _normal(source: str) -> str:
+    """(doc_id, norm) of (doc_id, x); the tables' texts are their own compatibility form."""
+    return f"SELECT doc_id, trim(regexp_replace(lower({_SHORT}), '\\s+', ' ', 'g')) AS norm FROM (SELECT doc_id, string_split({_DELEET.format(_PLAIN.format(_LATIN.format('x')))}, '') AS l FROM ({source}))"
+
+
+def _skeleton(c: str) -> str:
+    letters = f"string_split(regexp_replace({c}, '[aeiou]', '', 'g'), '')"
+    return f"array_to_string(list_filter({letters}, lambda x, i: i = 1 OR x <> {letters}[i - 1]), '')"
+
+
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+#: The insert-delete ratio by rows of the longest common subsequence.
+_RATIO = """200.0::DOUBLE * list_max(list_reduce(list_concat([list_transform(string_split(w, ''), lambda x: 0)], list_transform(string_split(a, ''), lambda p: list_transform(string_split(w, ''), lambda q: (p = q)::INTEGER))),
+lambda seen, eq: list_transform(eq, lambda e, j: list_max(list_transform(range(1, j + 1), lambda i: greatest(seen[i], CASE WHEN i > 1 THEN seen[i - 1] ELSE 0 END + eq[i])))))) / (length(w) + length(a))"""
+_LOW = "low AS (SELECT DISTINCT item_id, lower(string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2]) AS low FROM benchmark)"
+_FUZZY = f"""WITH RECURSIVE {_LOW}, part AS (SELECT item_id, low, unnest({_WORDS.format('low')}) AS a, generate_subscripts({_WORDS.format('low')}, 1) AS apos FROM low WHERE length(low) >= 4 AND len({_WORDS.format('low')}) <= 3),
+word AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS w, generate_subscripts({_WORDS.format('text')}, 1) AS wpos FROM documents),
+near AS (SELECT w, a FROM (SELECT DISTINCT w FROM word WHERE length(w) >= 4) JOIN (SELECT DISTINCT a FROM part WHERE length(a) >= 4) ON 200 * least(length(w), length(a)) >= 85 * (length(w) + length(a)) AND levenshtein(w, a) <= 0.3 * (length(w) + length(a))),
+close AS (SELECT * FROM (SELECT w, a, {_RATIO} AS ratio FROM near) WHERE ratio >= 85),
+fuzzy AS (SELECT doc_id, item_id, w, ratio / 100 AS score FROM (SELECT doc_id, item_id, w, ratio, row_number() OVER (PARTITION BY doc_id, item_id, low ORDER BY wpos, apos) AS k FROM word JOIN close USING (w) JOIN part USING (a)) WHERE k = 1)"""
+
+
+def _names(t):
+    return t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring_index("text", " ", 2).alias("alias"))
+
+
+@query(_FUZZY + " SELECT doc_id AS post_id, item_id AS entity_id, w AS alias_matched, 'fuzzy' AS match_type, round(score, 6) AS score FROM fuzzy")
 def fuzzy_tokens(t, spark):
-    names = t("benchmark").select(F.col("item_id").alias("entity_id"), F.substring_index("text", " ", 2).alias("alias"))
-    return mentions.fuzzy_mentions(_documents(t), names)
+    return mentions.fuzzy_mentions(_documents(t), _names(t)).withColumn("score", r6("score"))
+
+
+@query(
+    _FUZZY
+    + f""", normal AS ({_normal("SELECT doc_id, lower(text) AS x FROM documents")}),
+form AS (SELECT DISTINCT item_id, f FROM (SELECT item_id, unnest([low, translate(low, 'aeiost', '431057'), {_skeleton('low')}, regexp_replace(low, '[aeiou]', '', 'g')]) AS f FROM low WHERE length(low) >= 4) WHERE length(f) >= 4),
+skel AS (SELECT item_id, low, {_skeleton('low')} AS sk FROM low WHERE length(low) >= 4 AND length({_skeleton('low')}) >= 3),
+token AS (SELECT doc_id, w, {_skeleton('w')} AS sk FROM (SELECT DISTINCT doc_id, unnest(string_split(norm, ' ')) AS w FROM normal) WHERE length(w) >= 4),
+hit AS (SELECT doc_id, item_id, low AS m, 'exact_substring' AS kind, 1.0::DOUBLE AS score, 1 AS place FROM documents JOIN low ON length(low) >= 4 AND contains(lower(text), low)
+UNION ALL SELECT doc_id, item_id, f, 'adversarial_norm', 0.9, 2 FROM normal JOIN form ON contains(norm, f)
+UNION ALL SELECT doc_id, item_id, w, 'phonetic_skeleton', 0.8, 3 FROM token JOIN skel USING (sk) WHERE w <> low
+UNION ALL SELECT doc_id, item_id, w, 'fuzzy', score, 4 FROM fuzzy)
+SELECT doc_id AS post_id, item_id AS entity_id, m AS alias_matched, kind AS match_type, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY place, m) AS k FROM hit) WHERE k = 1"""
+)
+def lexical_candidates(t, spark):
+    return mentions.lexical_candidates(_documents(t), _names(t), sample_target=None).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_LOW}, hit AS MATERIALIZED (SELECT doc_id, item_id, low, ' ' || lower(text) || ' ' AS x FROM documents JOIN low ON length(low) >= 4 AND contains(lower(text), low) WHERE regexp_matches(low, '^[\\p{{L}}\\p{{N}}_].*[\\p{{L}}\\p{{N}}_]$')) SELECT doc_id AS post_id, item_id AS entity_id, low AS alias_matched, 'exact_substring' AS match_type, 1.0::DOUBLE AS score FROM hit WHERE regexp_matches(x, '[^\\p{{L}}\\p{{N}}_]' || regexp_escape(low) || '[^\\p{{L}}\\p{{N}}_]')")
+def whole_word_mentions(t, spark):
+    names = _names(t).where(F.col("alias").rlike(r"(?U)^\w.*\w$"))
+    return mentions.exact_mentions(_documents(t), names, word_boundary=True)
+
+
+@query(f"WITH n AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark), x AS (SELECT item_id, text AS alias, 'name' AS source FROM n UNION ALL SELECT item_id, string_split(text, ' ')[-1], 'last_name' FROM n WHERE len(string_split(text, ' ')) >= 2) SELECT item_id, alias, source FROM (SELECT *, row_number() OVER (PARTITION BY item_id, alias ORDER BY CASE source WHEN 'name' THEN 1 ELSE 2 END) AS k FROM x WHERE alias <> '' AND lower(alias) NOT IN ('null', 'none', 'n/a')) WHERE k = 1")
+def alias_table(t, spark):
+    return mentions.aliases(t("benchmark").select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("name")), "item_id")
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS token FROM documents), v AS (SELECT token, regexp_replace(token, '[aeiou]', '', 'g') AS bare, {_skeleton('token')} AS sk FROM w) SELECT token, array_to_string(list_sort(list_distinct(list_concat([token, translate(token, 'aeiost', '431057')], list_filter([sk, bare], lambda x: length(x) >= 3)))), ',') AS variants FROM v")
+def spelling_variants(t, spark):
+    words = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("token")).distinct()
+    return words.select("token", F.array_join(T.variants(F.col("token")), ",").alias("variants"))
+
+
+@query("SELECT c_custkey, unnest(list_filter([c_name || ' carried out an event in ' || n_name, 'the ' || n_name || ' event of ' || c_nationkey, 'posts about ' || c_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'the event at ' || c_mktsegment END], lambda x: x IS NOT NULL)) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def probe_texts(t, spark):
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("venue", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))
+    return mentions.probe_texts(rows, "c_custkey", "c_name", "n_name", "c_nationkey", "venue")
 
 
 @query("WITH p AS (SELECT doc_id, source || '-' || lang AS thread FROM documents) SELECT doc_id, thread FROM p WHERE thread IN (SELECT thread FROM p WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
@@ -215,20 +336,20 @@ def reply_ids(t, spark):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower('>> ' || text), '^>{1,3}\\s*', '', 'gm'), '\\s+', ' ', 'g')) AS body FROM documents")
 def clean_body(t, spark):
-    return t("documents").select("doc_id", T.clean_body(F.concat(F.lit(">> "), "text"), normalise=False).alias("body"))
+    return t("documents").select("doc_id", T.clean_body(F.concat(F.lit(">> "), "text")).alias("body"))
 
 
-@query()
+@query("SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM pages")
 def html_strip(t, spark):
     return t("pages").select("page_id", T.strip_html(F.col("html")).alias("body"))
 
 
-@query()
+@query(_normal("SELECT doc_id, text AS x FROM documents"))
 def adversarial_norm(t, spark):
     return t("documents").select("doc_id", T.adversarial(F.col("text")).alias("norm"))
 
 
-@query("""SELECT doc_id, translate(replace(text, '}{', 'h'), '0134578' || '9@$!|+', 'oieastb' || 'gasilt') AS deleet, translate(text, 'АВСЕНКМОРТХаеорсухΑΒΕΗΙΚΜΝΟΡΤΧαο', 'ABCEHKMOPTXaeopcyxABEHIKMNOPTXao') AS latin, regexp_replace(text, '[\\x{0300}-\\x{036f}\\x{0489}\\x{1dc0}-\\x{1dff}\\x{20d0}-\\x{20ff}\\x{fe20}-\\x{fe2f}]{2,}', '', 'g') AS plain FROM documents""")
+@query(f"SELECT doc_id, {_DELEET.format('text')} AS deleet, {_LATIN.format('text')} AS latin, {_PLAIN.format('text')} AS plain FROM documents")
 def spelling_repairs(t, spark):
     c = F.col("text")
     return t("documents").select("doc_id", T.deleet(c).alias("deleet"), T.latinise(c).alias("latin"), T.strip_combining(c).alias("plain"))
@@ -276,6 +397,33 @@ def centroid_topk(t, spark):
     return mentions.centroid_candidates(v.drop("entity_id"), v, DIM, n=20).select("entity_id", "post_id", r6("score").alias("score"))
 
 
+_SCOPE = f"WITH {_MEAN}, scope AS (SELECT * FROM embeddings WHERE vec_id // 5 IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 7 = 0)), s AS (SELECT u.label AS entity_id, vec_id AS post_id, list_dot_product(embedding::DOUBLE[], c) AS score FROM scope, u), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, post_id) AS k FROM s) WHERE k <= 50)"
+
+
+def _scope(t):
+    v = _vectors(t)
+    posts = v.drop("entity_id").withColumn("thread_id", F.floor(F.col("post_id") / 5))
+    return mentions.thread_candidates(posts, v.where("post_id % 7 = 0"), v, DIM, most_posts=None)
+
+
+@query(_SCOPE + " SELECT entity_id, post_id, round(score, 6) AS score FROM top")
+def thread_candidates(t, spark):
+    return _scope(t).select("entity_id", "post_id", r6("score").alias("score"))
+
+
+@query(_SCOPE + " SELECT coalesce(e.label, t.entity_id) AS entity_id, coalesce(e.vec_id, t.post_id) AS post_id, CASE WHEN e.vec_id IS NULL THEN 'semantic' ELSE 'exact_substring' END AS match_type, round(CASE WHEN e.vec_id IS NULL THEN t.score ELSE 1 END, 6) AS score FROM top t FULL JOIN (SELECT label, vec_id FROM embeddings WHERE vec_id % 7 = 0) e ON t.entity_id = e.label AND t.post_id = e.vec_id")
+def all_candidates(t, spark):
+    lexical = _vectors(t).where("post_id % 7 = 0").select("post_id", "entity_id", F.lit("x").alias("alias_matched"), F.lit("exact_substring").alias("match_type"), F.lit(1.0).alias("score"))
+    found = mentions.all_candidates(lexical, _scope(t))
+    return found.select("entity_id", "post_id", "match_type", r6("score").alias("score"))
+
+
+@query("SELECT e.user_id AS entity_id, e.event_id AS post_id, CAST(p.ts AS DATE) - c.d AS days, list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]).round(4) AS norm FROM (SELECT DISTINCT user_id, event_id FROM events WHERE event_type = 'click') e JOIN (SELECT user_id, min(CAST(ts AS DATE)) AS d FROM events GROUP BY 1) c USING (user_id) JOIN events p ON p.event_id = e.event_id JOIN embeddings v ON v.vec_id = e.event_id")
+def mention_days(t, spark):
+    found = vectors.mention_days(_clicks(t), _posts(t), _vectors(t).select("post_id", "embedding"), _cases(t))
+    return found.select("entity_id", "post_id", F.col("days").cast("long").alias("days"), F.round(S.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
 @query("WITH p AS (SELECT a.label, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label AS entity_id, round(quantile_cont(s, 0.5), 6) AS similarity_median, round(quantile_cont(s, 0.75) - quantile_cont(s, 0.25), 6) AS similarity_iqr, round(avg(s), 6) AS similarity_mean, round(stddev_pop(s), 6) AS similarity_std, any_value(n) AS n FROM p JOIN n USING (label) GROUP BY 1")
 def similarity_stats(t, spark):
     found = vectors.similarity_stats(_vectors(t), "entity_id", "post_id", "embedding", sample=None)
@@ -337,6 +485,11 @@ def cache_antijoin(t, spark):
     return _adjudicated(t)[1].withColumn("confidence", r6("confidence"))
 
 
+@query(_JUDGED + "SELECT doc_id AS post_id, source AS entity_id, round(c, 6) AS confidence FROM j WHERE c >= 0.5")
+def accepted(t, spark):
+    return mentions.accepted(_adjudicated(t)[0]).select("post_id", "entity_id", r6("confidence").alias("confidence"))
+
+
 @query("WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM conversations) SELECT conv_id * 1000 + turn AS key, (generate_subscripts(l, 1) - 1)::INTEGER AS position, unnest(l) AS value FROM l")
 def list_explode(t, spark):
     rows = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
@@ -408,11 +561,14 @@ _CASES = "c AS (SELECT c_custkey, c_acctbal, c_nationkey, nullif(c_mktsegment, '
 
 @query(f"WITH {_CASES}, a AS (SELECT *, coalesce(age, (SELECT median(age) FROM c)) AS b, coalesce(g, 'unknown') AS grp FROM c), s AS (SELECT avg(b) AS m, stddev_pop(b) AS s FROM a) SELECT c_custkey AS entity_id, round(c_acctbal, 6) AS score, round(ln(n + 1), 6) AS log_count, CASE WHEN c_nationkey > 12 THEN 1 ELSE 0 END AS east, round((b - m) / (s + 1e-8), 6) AS age_z, grp AS \"group\", (dense_rank() OVER (ORDER BY grp) - 1)::INTEGER AS group_index FROM a, s")
 def regression_design(t, spark):
+    return regression_design_frame(t).withColumns({k: r6(k) for k in ("score", "log_count", "age_z")})
+
+
+def regression_design_frame(t):
     c = t("customer")
     count = t("orders").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("n"))
     cases = c.select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_nationkey") > 12, "Y").otherwise("Partial").alias("east"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("age")).join(count, "entity_id", "left")
-    found = scoring.regression_design(c.select(F.col("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("score")), cases, "n", ["east"], "segment", "age")
-    return found.withColumns({k: r6(k) for k in ("score", "log_count", "age_z")})
+    return scoring.regression_design(c.select(F.col("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("score")), cases, "n", ["east"], "segment", "age")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
@@ -439,13 +595,207 @@ def lenient_fields(t, spark):
     return t("events").select("event_id", S.lenient_int(F.regexp_extract("props", r"(\d+)", 1)).alias("k"), S.lenient_date(F.date_format(ts, "yyyy-MM-dd")).alias("day"), S.complete_date(F.date_format(ts, "yyyy-MM")).alias("month"), S.complete_date(F.date_format(ts, "yyyy")).alias("year"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'NEW' WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING; extra' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 'NEW' WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING; extra; more' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def keyed_overrides(t, spark):
     c = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     changes = c.where("c_nationkey = 3").select("c_custkey", F.lit("c_mktsegment").alias("field"), F.lit("set").alias("mode"), F.lit("NEW").alias("value")).unionByName(c.where("c_nationkey <> 3 and c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("c_mktsegment").alias("field"), F.lit("append").alias("mode"), F.lit("extra").alias("value")))
+    more = c.where("c_nationkey <> 3 and c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("c_mktsegment").alias("field"), F.lit("append").alias("mode"), F.explode(F.array(F.lit("more"), F.lit("extra"))).alias("value"))
+    changes = changes.unionByName(more)
     return curation.apply_overrides(c.select("c_custkey", "c_mktsegment"), changes, "c_custkey")
 
 
 @query("WITH s AS (SELECT user_id, list_sort(list(value)) AS x, count(*) AS n, floor(0.89 * count(*))::BIGINT AS k FROM events GROUP BY 1), i AS (SELECT user_id, x, k, n, unnest(range(1, greatest(n - k, 1) + 1)) AS i FROM s), w AS (SELECT user_id, x[i] AS low, x[least(i + k, n)] AS high, row_number() OVER (PARTITION BY user_id ORDER BY x[least(i + k, n)] - x[i], i) AS r FROM i) SELECT user_id, low, high FROM w WHERE r = 1")
 def hdi(t, spark):
     return scoring.hdi_per_key(t("events"), "user_id", "value")
+
+
+_RULED = "SELECT o_orderkey AS id, (o_totalprice / 10000)::INTEGER AS total, (o_custkey % 20)::INTEGER AS excl, CASE WHEN o_orderstatus = 'F' THEN 'Y' WHEN o_orderstatus = 'O' THEN 'N' END AS died, (o_orderkey % 30)::INTEGER AS cas, CASE WHEN o_orderkey % 11 = 0 THEN 1990 ELSE year(o_orderdate) END::INTEGER AS year, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE 'C' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'N' ELSE 'Y' END AS manifesto, CASE WHEN o_orderkey % 2 = 0 THEN 'x' END AS m1, CASE WHEN o_orderkey % 7 = 0 THEN 'y' END AS m2 FROM orders"
+
+
+def _ruled(t):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t("orders").select(k.alias("id"), F.bround(F.col("o_totalprice") / 10000).cast("int").alias("total"), (c % 20).cast("int").alias("excl"), F.when(F.col("o_orderstatus") == "F", "Y").when(F.col("o_orderstatus") == "O", "N").alias("died"), (k % 30).cast("int").alias("cas"), F.when(k % 11 == 0, 1990).otherwise(F.year("o_orderdate")).alias("year"), F.col("o_orderdate").cast("date").alias("day"), F.when(k % 5 == 0, "F").otherwise("C").alias("status"), F.when(k % 3 == 0, "N").otherwise("Y").alias("manifesto"), F.when(k % 2 == 0, "x").alias("m1"), F.when(k % 7 == 0, "y").alias("m2"))
+
+
+@query(
+    f"WITH r AS ({_RULED.replace('(o_totalprice / 10000)::INTEGER', 'round_even(o_totalprice / 10000, 0)::INTEGER')}) "
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, id FROM r WHERE NOT ({rule})"
+        for name, rule in {
+            "total_at_least_excluded": "total >= excl",
+            "died_means_more": "CASE WHEN died = 'Y' THEN total > excl END",
+            "survived_means_equal": "CASE WHEN died = 'N' THEN total = excl END",
+            "casualties_at_least_excluded": "cas >= excl",
+            "year_is_of_date": "year = year(day)",
+            "foiled_means_none": "CASE WHEN status = 'F' THEN excl = 0 END",
+            "no_manifesto_no_details": "CASE WHEN manifesto = 'N' THEN m1 IS NULL AND m2 IS NULL END",
+        }.items()
+    )
+)
+def case_rules(t, spark):
+    rules = curation.case_rules("total", "excl", "died", "cas", "year", "day", "status", "manifesto", ["m1", "m2"])
+    return curation.rule_violations(_ruled(t), "id", rules)
+
+
+_SCHEMA_CASES = "SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey // 2 END AS id, (1995 + c_custkey % 40)::INTEGER AS year, c_mktsegment AS status FROM customer"
+
+
+@query(f"WITH c AS (SELECT id::VARCHAR AS key, year, status FROM ({_SCHEMA_CASES})) SELECT CASE WHEN key IS NULL THEN 'id_is_null' ELSE 'id_is_unique' END AS rule, key, count(*) AS n FROM c GROUP BY key HAVING key IS NULL OR count(*) > 1 UNION ALL SELECT 'year_in_range', key, count(*) FROM c WHERE year NOT BETWEEN 2001 AND 2027 GROUP BY key UNION ALL SELECT 'status_in_domain', key, count(*) FROM c WHERE status NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY key")
+def schema_violations(t, spark):
+    k = F.col("c_custkey")
+    cases = t("customer").select(F.when(k % 50 != 0, F.floor(k / 2)).alias("id"), (1995 + k % 40).cast("int").alias("year"), F.col("c_mktsegment").alias("status"))
+    return curation.schema_violations(cases, "id", "year", "status", ["BUILDING", "MACHINERY", "FURNITURE"])
+
+
+_DATED = "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN ts END AS ts, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events"
+
+
+def _dated(t):
+    k = F.col("event_id")
+    return t("events").select("event_id", F.when(k % 9 != 0, F.col("ts")).alias("ts"), F.when(k % 4 != 0, F.col("value")).alias("value"))
+
+
+@query(f"SELECT event_id, value FROM ({_DATED}) WHERE ts IS NOT NULL AND value IS NOT NULL")
+def drop_nulls(t, spark):
+    return curation.drop_nulls(_dated(t), ["ts", "value"]).select("event_id", "value")
+
+
+@query(f"SELECT event_id, row_number() OVER (ORDER BY ts ASC NULLS LAST, event_id) AS place FROM ({_DATED}) WHERE event_id % 9 = 0 OR event_id % 100 = 1")
+def nulls_last(t, spark):
+    from pyspark.sql import Window
+
+    rows = curation.sorted_nulls_last(_dated(t).where("event_id % 9 = 0 or event_id % 100 = 1"), "ts", "event_id")
+    # what comes out of the sort, numbered in its order: the place within its range, after the ranges before it
+    placed = rows.select("event_id", F.monotonically_increasing_id().alias("m"))
+    part = placed.withColumn("p", F.shiftright("m", 33))
+    before = part.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    return part.join(F.broadcast(before), "p").select("event_id", (F.col("m") - F.shiftleft("p", 33) + F.col("before") + 1).alias("place"))
+
+
+@query("WITH g AS (SELECT doc_id, 'quality' AS c FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL UNION ALL SELECT doc_id, 'toxic' FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NULL) SELECT c AS \"column\", count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:10], ',') AS ids FROM g GROUP BY c")
+def missing_summary(t, spark):
+    found = curation.missing_summary(t("documents").join(t("labels"), "doc_id", "left"), "doc_id", ["quality", "toxic"])
+    return found.select("column", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT 'lang' AS \"column\", lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source")
+def value_counts(t, spark):
+    return curation.value_counts(t("documents"), ["lang", "source", "text"])
+
+
+@query("""WITH x AS (SELECT 'number' AS c, string_split(text, ' ')[1] AS v FROM conversations WHERE string_split(text, ' ')[1] <> '' AND try_cast(string_split(text, ' ')[1] AS BIGINT) IS NULL UNION ALL SELECT 'day', substr(text, 1, 10) FROM conversations WHERE NOT regexp_matches(substr(text, 1, 10), '^\\d{4}-\\d{2}-\\d{2}$'))
+SELECT c AS "column", v AS value, n FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, v) AS k FROM (SELECT c, v, count(*) AS n FROM x GROUP BY 1, 2)) WHERE k <= 10""")
+def bad_values(t, spark):
+    rows = t("conversations").select(F.split("text", " ")[0].alias("number"), F.substring("text", 1, 10).alias("day"))
+    return curation.bad_values(rows, {"number": curation.not_integer("number"), "day": curation.not_date("day")})
+
+
+@query("SELECT 'lang' AS \"column\", lang AS value, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'fr') GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source")
+def domains_violations(t, spark):
+    domains = spark.createDataFrame([("lang", "en"), ("lang", "fr"), ("source", "src1"), ("source", "src2")], "`column` string, value string")
+    return curation.domain_violations(t("documents"), domains, ["lang", "source"])
+
+
+@query("SELECT 'kind' AS \"column\", count(*) FILTER (value > 20) AS n FROM events")
+def detail_counts(t, spark):
+    c = F.col("event_type")
+    rows = t("events").select("event_id", F.when(F.col("value") > 50, F.concat(c, F.lit(" (high)"))).when(F.col("value") > 20, F.concat(c, F.lit("+mid"))).otherwise(c).alias("kind"))
+    return curation.detail_counts(curation.enforce_domains(rows, {"kind": ["click", "view", "error", "purchase", "signup"]}), ["kind"])
+
+
+@query("SELECT 'rich' AS \"check\", count(*) FILTER (c_acctbal > 5000) AS n FROM customer UNION ALL SELECT 'building', count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer")
+def coverage(t, spark):
+    return curation.coverage(t("customer"), {"rich": F.col("c_acctbal") > 5000, "building": F.col("c_mktsegment") == "BUILDING"})
+
+
+@query("SELECT count(o_totalprice) AS n, round(median(o_totalprice), 6) AS median FROM orders")
+def value_median(t, spark):
+    return relational.value_median(t("orders"), "o_totalprice").withColumn("median", r6("median"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal <= 2021)")
+def members_where(t, spark):
+    cases = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    return relational.members_where(t("orders"), cases, "o_custkey", F.col("c_acctbal") <= 2021).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 500")
+def first_rows(t, spark):
+    return relational.first_rows(t("events"), 500, "ts", "event_id").select("event_id", "user_id")
+
+
+_BOTH = "WITH b AS (SELECT o_custkey AS entity_id, avg(o_totalprice) AS score_bayes, min(o_totalprice) AS hdi_low, max(o_totalprice) AS hdi_high FROM orders GROUP BY 1), n AS (SELECT c_custkey AS entity_id, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS score_naive FROM customer WHERE c_nationkey < 20) "
+
+
+def _both(t, ranked):
+    o, c = t("orders"), t("customer")
+    bayes = o.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.avg("o_totalprice").alias("score_bayes"), F.min("o_totalprice").alias("hdi_low"), F.max("o_totalprice").alias("hdi_high"))
+    naive = c.select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("score_naive"))
+    return scoring.compared_scores(naive, bayes, c.where("c_nationkey < 20").select(F.col("c_custkey").alias("entity_id")), ranked=ranked)
+
+
+@query(_BOTH + "SELECT entity_id, round(score_naive, 6) AS score_naive, round(score_bayes, 6) AS score_bayes FROM n JOIN b USING (entity_id) WHERE score_naive IS NOT NULL AND score_bayes IS NOT NULL")
+def compared_scores(t, spark):
+    return _both(t, None).select("entity_id", r6("score_naive").alias("score_naive"), r6("score_bayes").alias("score_bayes"))
+
+
+@query(_BOTH + "SELECT entity_id, round(score_bayes, 6) AS score_bayes, round(hdi_low, 6) AS hdi_low, round(hdi_high, 6) AS hdi_high, row_number() OVER (ORDER BY score_bayes DESC NULLS LAST, entity_id) AS rank FROM n LEFT JOIN b USING (entity_id) ORDER BY score_bayes DESC NULLS LAST, entity_id LIMIT 20")
+def ranked_scores(t, spark):
+    return _both(t, 20).select("entity_id", *[r6(c).alias(c) for c in ("score_bayes", "hdi_low", "hdi_high")], F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def regression_table(t, spark):
+    design = regression_design_frame(t).withColumn("score", (F.col("score") - 4500) / 3000)
+    return scoring.regression(design, "score", ["log_count", "east", "age_z"], samples=1000, tune=500, chains=2)
+
+
+_HITS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w IN ({}))"
+
+
+@query(
+    f"WITH h AS (SELECT doc_id, 1 + len({_HITS.format("'idiot', 'stupid', 'moron'")}) AS neg, 1 AS neu, 1 + len({_HITS.format("'the', 'der', 'la'")}) AS pos FROM documents) "
+    "SELECT doc_id, CASE WHEN neg >= neu AND neg >= pos THEN 'negative' WHEN neu >= pos THEN 'neutral' ELSE 'positive' END AS sentiment_label, round(greatest(neg, neu, pos) / (neg + neu + pos), 6) AS sentiment_score, round(neg / (neg + neu + pos), 6) AS sentiment_negative, round(pos / (neg + neu + pos), 6) AS emotion_big_joy, round(neg / (neg + neu + pos), 6) AS toxicity_toxic FROM h"
+)
+def affect_scores(t, spark):
+    bad, good = ["idiot", "stupid", "moron"], ["the", "der", "la"]
+    scorer = affect.LexiconScorer({"negative": bad, "neutral": [], "positive": good})
+    emotion, toxicity = affect.LexiconScorer({"Big Joy": good, "calm": [], "other": bad}), affect.LexiconScorer({"toxic": bad, "x": [], "y": good})
+    found = affect.score_affect(t("documents"), scorer, emotion, toxicity, "doc_id", "text")
+    return found.select("doc_id", "sentiment_label", *[r6(c).alias(c) for c in ("sentiment_score", "sentiment_negative", "emotion_big_joy", "toxicity_toxic")])
+
+
+@query("SELECT c_custkey, string_split(c_name, '#')[-1] AS label FROM customer")
+def short_label(t, spark):
+    return t("customer").select("c_custkey", T.short_label(F.replace("c_name", F.lit("#"), F.lit("-"))).alias("label"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_round_trip(t, spark):
+    path = scratch_folder(spark, "csv")
+    tables.write_csv(t("customer").select("c_custkey", F.concat("c_name", F.lit(',"\n')).alias("c_name"), "c_acctbal"), path)
+    return tables.read_csv(spark, path, schema="c_custkey long, c_name string, c_acctbal double").withColumn("c_name", F.regexp_replace("c_name", ',"\n$', ""))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS year, month(o_orderdate)::INTEGER AS month FROM orders WHERE year(o_orderdate) = 1995")
+def partitioned_round_trip(t, spark):
+    path = scratch_folder(spark, "parts")
+    tables.write_partitioned(t("orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")), path, ["year", "month"])
+    return tables.read_parquet(spark, path, ["o_orderkey", "year", "month"]).where("year = 1995")
+
+
+@query("SELECT 'AB-2001-' || c_custkey AS record, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation FROM customer")
+def markdown_records(t, spark):
+    path = scratch_folder(spark, "markdown")
+    text = F.concat(F.lit("### AB-2001-"), "c_custkey", F.lit("\n- segment: old\n- segment: "), "c_mktsegment", F.lit("\n- nation: "), "c_nationkey", F.lit("\n### Other\n- segment: none"))
+    t("customer").select(text.alias("value")).write.text(path)
+    found = tables.markdown_records(spark, path)
+    return found.select("record", F.col("fields")["segment"].alias("segment"), F.col("fields")["nation"].alias("nation"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS kept FROM customer")
+def replaced_table(t, spark):
+    path = scratch_folder(spark, "versions")
+    first = tables.replace_table(t("customer").select("c_custkey", F.lit("old").alias("kept")), path)
+    second = tables.replace_table(spark.read.parquet(first).join(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", F.col("c_mktsegment").alias("kept")), path)
+    return tables.read_parquet(spark, second)

@@ -109,13 +109,13 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str], append: bool = False) -> int:
-    """Folders by key; returns how many keys there are. Rows of a key are spread over tasks, so that a hot key is not one task's work."""
+    """Folders by key; returns how many keys the table has then. Rows of a key are spread over tasks, so that a hot key is not one task's work."""
     df.hint("rebalance", *keys).write.mode("append" if append else "overwrite").option("compression", "zstd").partitionBy(*keys).parquet(path)
-    return df.select(*keys).distinct().count()
+    return df.sparkSession.read.parquet(path).select(*keys).distinct().count()  # of folder names: no column is read
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def replace_table(df: DataFrame, path: str) -> str:
@@ -177,6 +177,17 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def manifest_record(posts: DataFrame, path: str, out: str | None = None, **columns) -> dict:
+    """The manifest of a stored corpus: rows a month, their total, and each file's length and SHA-256; written as JSON to `out`, a local path, if given."""
+    months = [r.asDict() for r in corpus_manifest(posts, **columns).orderBy("year", "month").collect()]  # a row a month
+    files = [r.asDict() for r in file_hashes(posts.sparkSession, path).orderBy("path").collect()]  # a row a file
+    record = {"months": months, "total": sum(m["n_posts"] for m in months), "files": files}
+    if out:
+        Path(out).parent.mkdir(parents=True, exist_ok=True)
+        Path(out).write_text(json.dumps(record, indent=1, default=str))
+    return record
+
+
 class RunLog:
     """A JSON record of one run: settings, inputs, outputs, duration, figures, revision."""
 
@@ -190,12 +201,17 @@ class RunLog:
         except OSError:
             return ""
 
-    def add(self, kind: str, path: str) -> None:
+    def add(self, kind: str, path: str, spark: SparkSession | None = None) -> None:
+        """Note a file or folder by one SHA-256 over its files'; with a session they are hashed where they are read."""
         p = Path(path)
-        digest = hashlib.sha256()
-        for f in [p] if p.is_file() else sorted(x for x in p.rglob("*") if x.is_file()):
-            digest.update(f.read_bytes())
-        self.record[kind][str(path)] = digest.hexdigest()
+        if spark is not None:
+            each = [r["sha256"] for r in file_hashes(spark, path).orderBy("path").collect()]  # a row a file
+        else:
+            each = []
+            for f in [p] if p.is_file() else sorted(x for x in p.rglob("*") if x.is_file()):
+                with f.open("rb") as opened:
+                    each.append(hashlib.file_digest(opened, "sha256").hexdigest())
+        self.record[kind][str(path)] = each[0] if len(each) == 1 else hashlib.sha256("".join(each).encode()).hexdigest()
 
     def metric(self, name: str, value) -> None:
         self.record["metrics"][name] = value
