@@ -124,11 +124,17 @@ def _three_passes(posts: DataFrame, alias_table: DataFrame, entity: str, post: s
     return joined.select(post, entity, F.col("token").alias("alias_matched"), "match_type", score.alias("score"))
 
 
+def _letters(token: Column) -> Column:
+    """The letters of a word as bits, by their codes modulo 64."""
+    bits = F.transform(F.split(token, ""), lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(x), F.lit(64))))
+    return F.coalesce(F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)), F.lit(0).cast("long"))
+
+
 def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "entity_id", post: str = "post_id", text: str = "body_clean", threshold: float = 85.0, least: int = 4, most_words: int = 3, most_names: int = 50_000) -> DataFrame:
     """For each post and alias of up to most_words words, the first word that is like one of its words: insert-delete ratio >= threshold.
 
-    Words that pass share a length band; Levenshtein distance, never above the insert-delete distance,
-    rules out the rest before the ratio is computed. Distinct words are compared once. Up to
+    Words that pass share a length band. The sets of their letters, of which an insertion or deletion changes one at
+    most, and Levenshtein distance, never above the insert-delete distance, rule out the rest before the ratio is computed. Distinct words are compared once. Up to
     most_names words of aliases are broadcast; more are joined on the length by a shuffle.
     """
     low = alias_table.select(entity, F.lower("alias").alias("low")).where(F.length("low") >= least).distinct()
@@ -137,9 +143,14 @@ def fuzzy_mentions(posts: DataFrame, alias_table: DataFrame, entity: str = "enti
     share = 2 * threshold / (200 - threshold)  # the longer word's part that the shorter must have: min/max >= t / (200 - t)
     vocabulary, names = words.select("token").distinct(), parts.select("alias_token").distinct()
     lengths = F.explode(F.sequence(F.ceil(F.length("alias_token") * share / 2).cast("int"), F.floor(F.length("alias_token") * 2 / share).cast("int")))
-    close = vocabulary.withColumn("n", F.length("token")).join(broadcast_if_few(names.withColumn("n", lengths), names, most_names), "n")
+    keyed = names.withColumns({"n": lengths, "_alias_letters": _letters(F.col("alias_token"))})
+    # few bytes, much work: adaptive execution would make one task of the distinct words
+    tasks = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    close = vocabulary.repartition(tasks).withColumns({"n": F.length("token"), "_letters": _letters(F.col("token"))}).join(broadcast_if_few(keyed, names, most_names), "n")
     most = ((1 - threshold / 100) * (F.length("token") + F.length("alias_token"))).cast("int")
-    close = close.where(F.levenshtein("token", "alias_token") <= most).withColumn("ratio", udfs.indel_ratio(F.col("token"), F.col("alias_token"))).where(F.col("ratio") >= threshold).select("token", "alias_token", "ratio")
+    differ = F.bit_count(F.col("_letters").bitwiseXOR(F.col("_alias_letters")))
+    close = close.where(F.when(differ <= most, F.levenshtein("token", "alias_token")) <= most)
+    close = close.withColumn("ratio", udfs.indel_ratio(F.col("token"), F.col("alias_token"))).where(F.col("ratio") >= threshold).select("token", "alias_token", "ratio")
     hits = words.join(close, "token").join(parts, "alias_token")
     first = top_per_key(hits, [post, entity, "low"], [F.col("token_pos"), F.col("alias_pos")], 1)
     return first.select(post, entity, F.col("token").alias("alias_matched"), F.lit("fuzzy").alias("match_type"), (F.col("ratio") / 100).alias("score"))

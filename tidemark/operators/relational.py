@@ -89,6 +89,11 @@ def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def spread_by(df: DataFrame, key: str):
+    """df grouped by key for work that is heavy for its bytes: adaptive execution, which goes by bytes, would make few tasks of the groups."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).groupBy(key)
+
+
 def broadcast_if_few(df: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if `rows`, which bounds it, has at most `most` rows; as it is beyond that."""
     return F.broadcast(df) if rows.limit(most + 1).count() <= most else df

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import spread_by
+
 
 def daily_counts(mentions: DataFrame, posts: DataFrame, entity: str = "entity_id", post: str = "post_id", time: str = "timestamp_utc") -> DataFrame:
     """(entity, date, mention_count, total_posts): mentions by day, beside all posts of that day."""
@@ -84,7 +86,7 @@ def fit_decay(daily: DataFrame, cases: DataFrame, entity: str = "entity_id", eve
             return answer(len(rows))
         return answer(len(rows), *fit_power_law(rows.tau.to_numpy(), rows.y.to_numpy()))
 
-    return after.groupBy(entity).applyInPandas(fit, f"{entity} {kind}, {DECAY}")
+    return spread_by(after, entity).applyInPandas(fit, f"{entity} {kind}, {DECAY}")
 
 
 def temporal_metrics(mentions: DataFrame, posts: DataFrame, cases: DataFrame, entity: str = "entity_id", **names) -> DataFrame:

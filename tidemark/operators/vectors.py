@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scalars import cosine_distance, dot, unit
 
-from .relational import sample_per_key
+from .relational import sample_per_key, spread_by
 
 SIMILARITY = "similarity_median double, similarity_iqr double, similarity_mean double, similarity_std double, n long"
 
@@ -92,7 +92,7 @@ def similarity_stats(vectors: DataFrame, entity: str, id_col: str, vector: str,
         return pd.DataFrame([[key[0], *values, n]], columns=[entity, "similarity_median", "similarity_iqr", "similarity_mean", "similarity_std", "n"])
 
     some = sample_per_key(vectors.where(F.col(vector).isNotNull()), entity, id_col, sample, seed)
-    return some.select(entity, vector).groupBy(entity).applyInPandas(stats, f"{entity} {kind}, {SIMILARITY}")
+    return spread_by(some.select(entity, vector), entity).applyInPandas(stats, f"{entity} {kind}, {SIMILARITY}")
 
 
 def unigram_entropy(posts: DataFrame, entity: str, text: str) -> DataFrame:
@@ -213,7 +213,7 @@ def topic_concentration(vectors: DataFrame, entity: str, id_col: str, vector: st
         return pd.DataFrame([[key[0], *answer]], columns=[entity, "n_clusters", "top3_proportion", "noise_proportion"])
 
     some = sample_per_key(vectors.where(F.col(vector).isNotNull()), entity, id_col, sample, seed)
-    return some.select(entity, id_col, vector).groupBy(entity).applyInPandas(cluster, f"{entity} {kind}, n_clusters int, top3_proportion double, noise_proportion double")
+    return spread_by(some.select(entity, id_col, vector), entity).applyInPandas(cluster, f"{entity} {kind}, n_clusters int, top3_proportion double, noise_proportion double")
 
 
 def semantic_metrics(posts: DataFrame, entity: str, id_col: str, vector: str, text: str, least_posts: int = 5, **options) -> DataFrame:
