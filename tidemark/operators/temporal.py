@@ -66,19 +66,29 @@ DECAY = "longevity double, alpha double, alpha_se double, C double, n_days int,
 
 def fit_decay(daily: DataFrame, cases: DataFrame, entity: str = "entity_id", event: str = "event_date", end: int = 730, least: int = 5) -> DataFrame:
     """Decay of mentions after the event, one row a dated case: longevity is 1 / alpha, null where too few days remain."""
+    return _fitted(daily, cases, entity, event, end, least, None)
+
+
+def _fitted(daily: DataFrame, cases: DataFrame, entity: str, event: str, end: int, least: int, window: tuple[int, int] | None) -> DataFrame:
+    """fit_decay's rows; window: also the mentions and posts of days from window[0] to window[1] after the event, from the same join."""
     dated = cases.where(F.col(event).isNotNull()).select(entity, F.col(event).cast("date").alias("_event"))
-    tau = F.datediff("date", "_event")
-    after = dated.join(daily, entity, "left").select(entity, F.when(tau > 0, tau).cast("double").alias("tau"), F.col("mention_count").cast("double").alias("y"))
+    joined = dated.join(daily, entity, "left").select(entity, F.datediff("date", "_event").cast("double").alias("tau"), F.col("mention_count").cast("double").alias("y"), F.col("total_posts").cast("double").alias("total"))
     kind = dated.schema[entity].dataType.simpleString()
 
     def fit(key, rows):
+        sums = {}
+        if window is not None:
+            inside = rows[(rows.tau >= window[0]) & (rows.tau <= window[1])]
+            sums = {"mentions_immediate": [int(inside.y.sum())], "total_posts_immediate": [int(inside.total.sum())]}
+        rows = rows[rows.tau > 0]
+
         def answer(n, c=None, alpha=None, se=None):
-            return pd.DataFrame({entity: [key[0]], "longevity": [1 / alpha if alpha else None], "alpha": [alpha], "alpha_se": [se], "C": [c], "n_days": [n], "fit_success": [alpha is not None]})
+            return pd.DataFrame({entity: [key[0]], **sums, "longevity": [1 / alpha if alpha else None], "alpha": [alpha], "alpha_se": [se], "C": [c], "n_days": [n], "fit_success": [alpha is not None]})
 
-        rows = rows.dropna()
+        rows = rows.dropna(subset=["tau", "y"])
         if len(rows) < least:
             return answer(len(rows))
-        rows = rows[(rows.tau > 0) & (rows.y > 0)]
+        rows = rows[rows.y > 0]
         if len(rows) < least:
             return answer(len(rows))
         rows = rows[rows.tau <= end].sort_values("tau")
@@ -86,13 +96,15 @@ def fit_decay(daily: DataFrame, cases: DataFrame, entity: str = "entity_id", eve
             return answer(len(rows))
         return answer(len(rows), *fit_power_law(rows.tau.to_numpy(), rows.y.to_numpy()))
 
-    return spread_by(after, entity).applyInPandas(fit, f"{entity} {kind}, {DECAY}")
+    more = "mentions_immediate long, total_posts_immediate long, " if window is not None else ""
+    return spread_by(joined, entity).applyInPandas(fit, f"{entity} {kind}, {more}{DECAY}")
 
 
-def temporal_metrics(mentions: DataFrame, posts: DataFrame, cases: DataFrame, entity: str = "entity_id", **names) -> DataFrame:
-    """Intensity and decay of every dated case, in one table."""
-    daily = daily_counts(mentions, posts, entity, **names)
-    return intensity(daily, cases, entity).join(fit_decay(daily, cases, entity), entity, "full")
+def temporal_metrics(mentions: DataFrame, posts: DataFrame, cases: DataFrame, entity: str = "entity_id", event: str = "event_date", start: int = 0, immediate: int = 7, end: int = 730, least: int = 5, **names) -> DataFrame:
+    """Intensity and decay of every dated case, in one table and from one join; a case is one row."""
+    found = _fitted(daily_counts(mentions, posts, entity, **names), cases, entity, event, end, least, (start, immediate))
+    share = F.when(F.col("total_posts_immediate") > 0, F.col("mentions_immediate") / F.col("total_posts_immediate")).otherwise(0.0)
+    return found.select(entity, share.alias("intensity"), "mentions_immediate", "total_posts_immediate", "longevity", "alpha", "alpha_se", "C", "n_days", "fit_success")
 
 
 def decay_points(daily: DataFrame, fits: DataFrame, cases: DataFrame, entity: str = "entity_id", event: str = "event_date", end: int = 730) -> DataFrame:
