@@ -799,3 +799,45 @@ def replaced_table(t, spark):
     first = tables.replace_table(t("customer").select("c_custkey", F.lit("old").alias("kept")), path)
     second = tables.replace_table(spark.read.parquet(first).join(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", F.col("c_mktsegment").alias("kept")), path)
     return tables.read_parquet(spark, second)
+
+
+@query("SELECT n_nationkey::VARCHAR AS number, n_name AS name, n_regionkey::VARCHAR AS region FROM nation")
+def markdown_table(t, spark):
+    path = scratch_folder(spark, "table")
+    line = F.concat_ws(" | ", F.lit("|"), F.lit("1"), "n_nationkey", "n_name", "n_regionkey", F.lit("|"))
+    rows = t("nation").agg(F.array_join(F.array_sort(F.collect_list(F.regexp_replace(line, r"\| \| | \| \|$", "| "))), "\n").alias("rows"))
+    head = "text\n| # | number | name | region |\n|---|---|---|---|\n"
+    rows.select(F.concat(F.lit(head), "rows", F.lit("\nend\n| 1 | no | row | here |")).alias("value")).write.text(path)
+    cells = F.col("cells")
+    return tables.markdown_table(spark, path).select(cells[1].alias("number"), cells[2].alias("name"), cells[3].alias("region"))
+
+
+@query("SELECT 'R' || r_regionkey AS category, 'AB-2001-' || replace(n_name, ' ', '_') AS item FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def markdown_sections(t, spark):
+    path = scratch_folder(spark, "sections")
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = rows.groupBy("r_name").agg(F.array_join(F.collect_list(F.concat(F.lit("- `AB-2001-"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("` note"))), "\n").alias("items"))
+    parts.select(F.concat(F.lit("### The cases of "), "r_name", F.lit("\n"), "items", F.lit("\n- no item")).alias("value")).write.text(path)
+    regions = {r["r_name"]: f"R{r['r_regionkey']}" for r in t("region").where("r_name <> 'ASIA'").collect()}  # five rows
+    return tables.markdown_sections(spark, path, regions)
+
+
+_RAW = "SELECT doc_id, 1420070400 + doc_id * 86400 AS stamp, '>>' || doc_id || ' &gt;' || substr(replace(text, '\\n', ' '), 1, 60) || ' <b>End</b>' AS comment FROM documents"
+
+
+@query(
+    f"SELECT doc_id AS post_id, doc_id // 7 AS thread_id, 'pol' AS board, epoch(make_timestamp(stamp * 1000000))::BIGINT AS stamp, CASE WHEN doc_id % 3 <> 0 THEN 'p' || doc_id % 50 END AS poster_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS country_code, doc_id % 5 <> 0 AS has_image, doc_id::VARCHAR AS replies, "
+    "trim(regexp_replace(regexp_replace(lower(regexp_replace(replace(comment, '&gt;', '>'), '<[^>]+>', ' ', 'g')), '^>{1,3}\\s*', '', 'gm'), '\\s+', ' ', 'g')) AS body_clean, year(make_timestamp(stamp * 1000000))::INTEGER AS year, month(make_timestamp(stamp * 1000000))::INTEGER AS month "
+    f"FROM ({_RAW}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND year(make_timestamp(stamp * 1000000)) BETWEEN 2013 AND 2025"
+)
+def parsed_posts(t, spark):
+    k = F.col("doc_id")
+    comment = F.concat(F.lit(">>"), k, F.lit(" &gt;"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60), F.lit(" <b>End</b>"))
+    held = {
+        "post_id": F.when(k % 11 == 0, "x").otherwise(k.cast("string")), "thread_id": F.floor(k / 7).cast("string"), "timestamp": (1420070400 + k * 86400).cast("string"), "image": F.when(k % 5 == 0, "\\N").otherwise("i.jpg"),
+        "title": F.lit(""), "comment": comment, "poster_id": F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("p"), k % 50)), "country_code": F.when(k % 2 == 0, F.col("lang")).otherwise("\\N"),
+    }
+    places = {v: held[c] for c, v in tables.POST_COLUMNS.items()}
+    rows = t("documents").select(*[places.get(i, F.lit("\\N")).alias(f"c{i}") for i in range(tables.POST_WIDTH)], F.when(k % 13 == 0, 2).otherwise(28).alias("n_fields"))
+    found = tables.parse_posts(rows, "pol")
+    return found.select("post_id", "thread_id", "board", F.unix_timestamp("timestamp_utc").alias("stamp"), "poster_id", "country_code", "has_image", F.array_join("reply_to", ",").alias("replies"), "body_clean", "year", "month")
