@@ -39,7 +39,7 @@ from .common import NULL_ID, even_keys, id_text, lean, outer_id, partitions, raw
 
 SEED = 0x9E3779B97F4A7C15
 STEP_BYTES = 1 << 20  # text hashed at once
-FLUSH = 16 << 20  # text whose anchors are folded before they leave a map task
+FLUSH = 12 << 20  # text whose anchors are folded before they leave a map task
 SAMPLE_BYTES = 32 << 20  # text in which frequent pairs are looked for
 FREQUENT = 20  # no pair that it holds less often is frequent
 ONES = np.uint64(0xFFFFFF)
@@ -147,7 +147,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     shape = _mix(near.astype(np.uint64) * np.uint64(1000003) + far.astype(np.uint64))
     low, high = a - far, a - near + length
     around, more = names.of(low, high) ^ shape, (names.of(low, high, 1) ^ shape) >> np.uint64(32)
-    return {"doc": doc, "pos": a - offsets[:-1][doc], "near": near, "far": far, "rank": rank, "around": around, "more": more}
+    few = {"doc": doc, "pos": a - offsets[:-1][doc], "near": near, "far": far}
+    return {k: v.astype(np.int32) for k, v in few.items()} | {"rank": rank, "around": around, "more": more.astype(np.uint32)}
 
 
 def _first(key: tuple[np.ndarray, ...], ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +305,7 @@ def anchor_rows(length: int, keys: np.ndarray, frequent: np.ndarray):
         parts, ids, marks, held, docs = [], [], [], 0, 0
         for data, offsets, own, own_marks in _texts(batches):
             for found, lo, _ in _parts(data, offsets, length):
-                found["doc"] += docs + lo
+                found["doc"] += np.int32(docs + lo)
                 parts.append(found)
             ids.append(own)
             marks.append(own_marks)
@@ -329,7 +330,7 @@ def _parts(data: np.ndarray, offsets: np.ndarray, length: int):
     for at in range(0, len(data) - length + 1, STEP_BYTES):
         piece = data[at : at + STEP_BYTES + length - 1]
         if found := anchors(piece, np.array([0, len(piece)]), length):
-            found["pos"] += at
+            found["pos"] += np.int32(at)
             yield found, 0, 1
 
 
