@@ -201,15 +201,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def even_keys(n: int) -> np.ndarray:
-    """n longs that Spark's hash partitioning deals to n different partitions, so that no task gets two groups.
+def even_keys(n: int, each: int = 1) -> np.ndarray:
+    """n * each longs of which Spark's hash partitioning deals `each` to every one of n partitions, so that tasks get equally many groups.
 
     Only the balance rests on it: any n different keys give the same results.
     """
     def turn(x, r):
         return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
 
-    keys = np.arange(max(64, int(n * (np.log(n + 1) + 8))), dtype=np.int64)
+    keys = np.arange(max(64, int(n * each * (np.log(n + 1) + 8))), dtype=np.int64)
     h = np.full(len(keys), 42, np.uint32)
     for part in (keys & 0xFFFFFFFF, keys >> 32):  # Murmur3 of a long
         k = turn(part.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
@@ -217,9 +217,13 @@ def even_keys(n: int) -> np.ndarray:
     h ^= np.uint32(8)
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
         h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
-    place, first = np.unique(np.mod(h.view(np.int32).astype(np.int64), n), return_index=True)
-    missing = n - len(place)  # left over by bad luck: keys that share a partition
-    return np.r_[keys[first], keys[-1] + 1 + np.arange(missing)]
+    place = np.mod(h.view(np.int32).astype(np.int64), n)
+    order = np.argsort(place, kind="stable")
+    counts = np.bincount(place, minlength=n)
+    rank = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)  # of a key among those of its partition
+    found = keys[order][rank < each]
+    missing = n * each - len(found)  # left over by bad luck: keys that share a partition
+    return np.r_[found, keys[-1] + 1 + np.arange(missing)]
 
 
 def range_bounds(ids: DataFrame, n: int) -> list[int]:

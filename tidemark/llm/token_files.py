@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import id_text, lean, outer_id, partitions, range_bounds, range_shard, raw_bytes, slices
+from .common import even_keys, id_text, lean, outer_id, partitions, range_bounds, range_shard, raw_bytes, slices
 
 MAGIC, BLOCK = b"DAC1", 512
 SEGMENT_TOKENS = 8 << 20
@@ -110,7 +110,7 @@ class TokenCodes:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-def _encoded(path: str, end_id: int | None, bounds: np.ndarray):
+def _encoded(path: str, end_id: int | None, bounds: np.ndarray, keys: np.ndarray):
     def run(batches):
         model = word_bpe.load(path)
         end = np.array([] if end_id is None else [end_id], np.uint32)
@@ -124,8 +124,8 @@ def _encoded(path: str, end_id: int | None, bounds: np.ndarray):
                 kind = [np.uint16 if not len(x) or x.max() < 65536 else np.uint32 for x in found]
                 packed = [np.concatenate([x, end]).astype(k).tobytes() for x, k in zip(found, kind, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range_shard(ids, marks, bounds), pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([k().itemsize for k in kind], pa.int32()), pa.array(packed, pa.binary())],
-                    names=["shard", "id", "mark", "width", "tokens"],
+                    [pa.array(keys[range_shard(ids, marks, bounds)], pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([k().itemsize for k in kind], pa.int32()), pa.array(packed, pa.binary())],
+                    names=["slot", "id", "mark", "width", "tokens"],
                 )
 
     return run
@@ -134,8 +134,9 @@ def _encoded(path: str, end_id: int | None, bounds: np.ndarray):
 _SEGMENTS = pa.schema([("shard", pa.int64()), ("segment", pa.int64()), ("base", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
-def _segments(bits: int):
+def _segments(bits: int, keys: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
+        shard = int(np.flatnonzero(keys == table.column("slot")[0].as_py())[0])
         ids, marks = table.column("id").to_numpy(), table.column("mark").to_numpy()
         order = np.lexsort((marks, ids))
         widths, packed = table.column("width").to_pylist(), table.column("tokens")
@@ -146,7 +147,7 @@ def _segments(bits: int):
             if held:
                 tokens = np.concatenate([t for _, t in held])
                 starts = np.cumsum([0, *(len(t) for _, t in held)])
-                rows.append((table.column("shard")[0].as_py(), len(rows), base, len(held), len(tokens), TokenCodes.build(np.array([i for i, _ in held], np.int64), starts, tokens, bits)))
+                rows.append((shard, len(rows), base, len(held), len(tokens), TokenCodes.build(np.array([i for i, _ in held], np.int64), starts, tokens, bits)))
                 base += len(tokens)
                 held = []
 
@@ -171,9 +172,10 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
     an id stand side by side, ordered by a hash of their text. An empty table writes an empty table.
     """
     x = id_text(documents, id_col, text_col)
-    bounds = np.array(range_bounds(x, 4 * partitions(documents.sparkSession)), np.int64)
-    encoded = x.mapInArrow(lean(_encoded(tokenizer, end_id, bounds)), "shard long, id long, mark long, width int, tokens binary")
-    encoded.groupBy("shard").applyInArrow(lean(_segments(bits)), "shard long, segment long, base long, n_docs long, n_tokens long, payload binary").write.mode("overwrite").option("compression", "none").parquet(folder)
+    n = partitions(documents.sparkSession)
+    bounds, keys = np.array(range_bounds(x, 4 * n), np.int64), even_keys(n, 4)  # a task holds one shard at a time, four in all
+    encoded = x.mapInArrow(lean(_encoded(tokenizer, end_id, bounds, keys)), "slot long, id long, mark long, width int, tokens binary")
+    encoded.groupBy("slot").applyInArrow(lean(_segments(bits, keys)), "shard long, segment long, base long, n_docs long, n_tokens long, payload binary").write.mode("overwrite").option("compression", "none").parquet(folder)
 
 
 def _documents(before: dict[int, int]):
@@ -197,7 +199,7 @@ def _documents(before: dict[int, int]):
 def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
     """Every document of the files: id, start (ids before it), n_tokens, token_ids (uint32, little-endian), ids_crc32.
 
-    The driver gathers one sum for each shard, of which there are a few times the shuffle partitions.
+    The driver gathers one sum for each shard, of which there are four times as many as shuffle partitions.
     """
     files = spark.read.schema("shard long, segment long, base long, n_docs long, n_tokens long, payload binary").parquet(folder)
     before, total = {}, 0
