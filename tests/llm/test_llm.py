@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm.common import connected_components
 from tidemark.llm import byte_bpe, cover_tree, edit_prints, langid, mincut_html, mixing, queries, simhash, suffix_dedup, token_counts, token_files, word_bpe
 
 P = pytest.importorskip("public_tokenizers")
@@ -495,6 +496,19 @@ def test_golay_keys_find_every_link(spark):
     got = {(r.a, r.b) for r in simhash.links(df).collect()}
     want = {(int(a), int(b)) for a in x.view(np.int64) for b in x.view(np.int64) if a < b and (int(a) ^ int(b)) % 2**64 and ((int(a) ^ int(b)) % 2**64).bit_count() <= 3}
     assert got == want and len(want) > 50
+    # many different fingerprints around two places, as stars: the same parts, rows in proportion
+    around = np.array([0x0123456789ABCDEF, 0x7EDCBA9876543210], np.uint64)
+    many = np.unique(np.concatenate([[c ^ np.uint64(sum(1 << int(i) for i in rng.choice(8, rng.integers(0, 4), replace=False))) for _ in range(200)] + [c ^ np.uint64(1 << 20 | 1 << 21 | 1 << 22 | 1 << 23)] for c in around]))
+    df = spark.createDataFrame([(int(v),) for v in many.view(np.int64)], "fp long")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "MANY", 4)
+        stars = simhash._stars(many.view(np.int64), 3)
+    parts = lambda e: {frozenset(x) for x in np.split(np.array([r.node for r in e]), np.flatnonzero(np.diff([r.component for r in e])) + 1)}
+    pairs = [(int(a), int(b)) for a in many.view(np.int64) for b in many.view(np.int64) if a < b and ((int(a) ^ int(b)) % 2**64).bit_count() <= 3]
+    truth = parts(connected_components(spark.createDataFrame(pairs, "a long, b long")).orderBy("component").collect())
+    for links in (simhash.links(df), spark.createDataFrame(stars.tolist(), "a long, b long")):
+        assert parts(connected_components(links).orderBy("component").collect()) == truth
+    assert len(stars) < len(many) < len(pairs) / 4
     words_ = rng.integers(0, 2**23, 500).astype(np.uint32)
     code = simhash.decode(words_)
     for e in (1, 1 << 22, 1 | 1 << 5):
@@ -687,6 +701,7 @@ def test_a_very_long_text_takes_bounded_memory(name):
 import resource, sys, random
 sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
 import numpy as np, public_tokenizers as P
+from tidemark.llm.common import connected_components
 from tidemark.llm import byte_bpe, edit_prints, langid, simhash
 rng = random.Random(1)
 part = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(20000))

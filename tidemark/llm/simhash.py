@@ -9,7 +9,7 @@ With at most 3 differing bits over three segments, some two segments differ by a
 each (otherwise two segments would differ by two or more). For that pair, one fingerprint's near
 key of the first segment equals the other's own key, and the reverse holds for the second
 segment. So joining (near, own) keys of one side with (own, near) keys of the other finds every
-link; each candidate is verified by counting bits.
+link; each candidate is verified by counting bits. The join meets in packed buckets of keys.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, connected_components, id_text, join_spread, lean, outer_id, raw_bytes, slices
+from .common import NULL_ID, checkpointed, connected_components, even_keys, id_text, join_spread, lean, outer_id, partitions, raw_bytes, slices, spread
 
 SEED = 42
+MANY = 4096  # pairs of one key beyond which its fingerprints are linked as stars
 PIECE = 4 << 20  # bytes of a text at once
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -142,12 +143,91 @@ def _fingerprints(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id")[i:j], *([batch.column("mark")[i:j]] if "mark" in batch.schema.names else []), pa.array(found.view(np.int64))], names=["id", *(["mark"] if "mark" in batch.schema.names else []), "fp"])
 
 
-def _keys(batches):
-    for batch in batches:
-        prints = batch.column("fp").to_numpy()
-        for at in range(0, len(prints), 20_000):
-            row, side, key = fuzzy_keys(prints[at : at + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(prints[at : at + 20_000][row]), pa.array(side.astype(np.int32)), pa.array(key)], names=["fp", "side", "key"])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(32))
+
+
+def _keys(keys: np.ndarray):
+    """Packed (fingerprint, key and side) by buckets of keys, which `keys` deals evenly."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+
+        def flush():
+            prints = np.concatenate(held)
+            row, side, key = fuzzy_keys(prints)
+            bucket = (_mixed(key.astype(np.uint64)) % np.uint64(len(keys))).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
+            packs = [np.concatenate([prints[row[part]], key[part] << 1 | side[part]]).tobytes() for part in (order[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True))]
+            some = [k for k, x in enumerate(packs) if x]
+            return pa.RecordBatch.from_arrays([pa.array(keys[some], pa.int64()), pa.array([packs[k] for k in some], pa.binary())], names=["bucket", "pack"])
+
+        for batch in batches:
+            held.append(batch.column("fp").to_numpy())
+            if sum(map(len, held)) >= 20_000:
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _linked(most: int):
+    """The links among the fingerprints of a bucket's keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.column("pack").to_pylist()]
+        prints, key = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((prints, key))
+        prints, key = prints[order], key[order]  # keys ascend with the side last: a key's side 0, then its side 1
+        start = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1])
+        size = np.diff(np.r_[start, len(key)])
+        ones = np.add.reduceat(key & 1, start)
+        zeros = size - ones
+        found = [np.zeros((0, 2), np.int64)]
+        few = np.flatnonzero((zeros > 0) & (ones > 0) & (zeros * ones <= MANY))
+        # pairs of either side, some millions at once
+        at, ends = 0, np.cumsum((zeros * ones)[few])
+        while at < len(few):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+            own = few[at:to]
+            left = spread(start[own], zeros[own])
+            times = np.repeat(ones[own], zeros[own])
+            right = spread(np.repeat(start[own] + zeros[own], zeros[own]), times)
+            found.append(_near(prints[np.repeat(left, times)], prints[right], most))
+            at = to
+        for g in np.flatnonzero((zeros > 0) & (ones > 0) & (zeros * ones > MANY)):
+            found.append(_stars(np.unique(prints[start[g] : start[g] + size[g]]), most))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The pairs (smaller, greater) that differ in 1 to `most` bits."""
+    bits = np.bitwise_count((a ^ b).view(np.uint64))
+    keep = (bits > 0) & (bits <= most)
+    return np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], 1), axis=0)
+
+
+def _stars(prints: np.ndarray, most: int) -> np.ndarray:
+    """The connected parts of many different fingerprints: a link from each member to the smallest, in place of all pairs."""
+    out, rest = [np.zeros((0, 2), np.int64)], prints
+    while len(rest):
+        todo, members, rest = [rest[0]], [rest[:1]], rest[1:]
+        while todo and len(rest):
+            near = np.bitwise_count((rest ^ todo.pop()).view(np.uint64)) <= most
+            members.append(rest[near])
+            todo += members[-1].tolist()
+            rest = rest[~near]
+        part = np.concatenate(members)
+        if len(part) > 1:
+            out.append(np.stack([np.full(len(part) - 1, part.min()), np.delete(part, part.argmin())], 1))
+    return np.concatenate(out)
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,14 +237,16 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints in column fp that differ in 1 to `most` bits, `most` up to 3."""
+    """(a, b), a < b: links among the distinct fingerprints in column fp that differ in 1 to `most` bits, `most` up to 3.
+
+    All such pairs, but for keys that very many different fingerprints share: there each connected part is a star
+    around its smallest, so rows stay in proportion to fingerprints, and who is connected with whom is the same.
+    """
     if not 0 <= most <= 3:
         raise ValueError("the Golay keys cover up to 3 differing bits")
-    distinct = prints.select("fp").distinct()
-    keys = checkpointed(distinct.mapInArrow(lean(_keys), "fp long, side int, key long"))
-    left = keys.where("side = 0").select("key", F.col("fp").alias("a"))
-    right = keys.where("side = 1").select("key", F.col("fp").alias("b"))
-    return left.join(right, "key").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b").distinct()
+    keys = even_keys(partitions(prints.sparkSession), 4)
+    packed = prints.select("fp").distinct().mapInArrow(lean(_keys(keys)), "bucket long, pack binary")
+    return packed.groupBy("bucket").applyInArrow(lean(_linked(most)), "a long, b long").distinct()
 
 
 def _grouped(documents: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
