@@ -715,3 +715,24 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
 """
     grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) * 1024
     assert grown < 200_000_000
+
+
+def test_clashing_columns_repeats_and_nulls(spark):
+    rng = random.Random(51)
+    vectors = spark.createDataFrame([(k % 5 if k % 7 else None, [float(k % 3), 1.0, 0.5 * (k % 2)]) for k in range(40)], "vec_id long, embedding array<double>")
+    odd = vectors
+    for c in ("node", "first", "copies", "size", "cell", "gap", "unit", "tree", "one", "two", "component", "least", "links", "good", "id", "vector", "kept", "n_links"):
+        odd = odd.withColumn(c, F.lit("clash"))
+    assert sorted(map(str, cover_tree.near_duplicate_vectors(odd).collect())) == sorted(map(str, cover_tree.near_duplicate_vectors(vectors).collect()))
+    pages = spark.createDataFrame([(1, "u", "<p>one two three.</p>"), (1, None, None), (None, "u", "<p>one two three.</p>")], "page_id long, url string, html string")
+    odd = pages.withColumns({c: F.lit("clash") for c in ("text", "n_chars", "key", "x", "y")})
+    assert sorted(map(str, mincut_html.extract(odd, mincut_html.PLAIN).collect())) == sorted(map(str, mincut_html.extract(pages, mincut_html.PLAIN).collect()))
+    rows = [(k % 20 if k % 9 else None, words(rng, rng.randint(0, 30)) if k % 8 else None) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("_mix_k", "row", "tokens", "rate", "before", "domain", "s")})
+    labels = spark.createDataFrame([(k, "high" if k % 2 else "low") for k in range(20)], "doc_id long, domain string")
+    mixed = mixing.mix(docs, labels, {"high": 1.0, "low": 1.0})
+    assert mixed.columns == docs.columns
+    kept = {(r.doc_id, r.text) for r in mixed.collect()}
+    assert kept <= set(rows) and len(kept) > 10
+    single = simhash.keep_one(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "q w e r"), (3, "q w e r"), (None, "a b c d"), (None, None)], "doc_id long, text string").withColumn("_one_mark", F.lit("clash")))
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=str) == sorted([(2, "q w e r"), (None, "a b c d"), (None, None)], key=str)

@@ -117,6 +117,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def whole_row(df: DataFrame):
+    """All columns as one, `_row`, so that none clashes with an operator's own; select("_row.*") gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def outer_id(column: str = "id"):
     """The id as the caller knows it: null where it was null."""
     return F.when(F.col(column) != NULL_ID, F.col(column))

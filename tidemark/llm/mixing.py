@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, join_spread, outer_id
+from .common import NULL_ID, checkpointed, join_spread, outer_id, whole_row
 
 SYMBOLS = "%*#$&!|=<>{}[]\\^~@_"
 
@@ -233,6 +233,6 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], id
     """The documents, each repeated as its rate asks, with their columns. Rows that share an id share the mean of their rates."""
     rates = mixture_rates(documents, labelled, targets, id_col=id_col, text_col=text_col, **options)
     wanted = rates.groupBy(F.coalesce(F.col(id_col), F.lit(NULL_ID)).alias("_mix_id")).agg(F.avg("rate").alias("_mix_rate"))
-    keyed = documents.withColumn("_mix_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    keyed = documents.select(whole_row(documents), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_mix_id"))
     times = join_spread(keyed, wanted, "_mix_id").withColumn("_mix_n", copies(F.col("_mix_rate"), F.col("_mix_id"))).where("_mix_n > 0")
-    return times.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return times.select("_row", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select("_row.*")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, checkpointed, connected_components, even_keys, id_text, join_spread, lean, outer_id, partitions, raw_bytes, slices, spread
+from .common import NULL_ID, checkpointed, connected_components, even_keys, id_text, join_spread, lean, outer_id, partitions, raw_bytes, slices, spread, whole_row
 
 SEED = 42
 MANY = 4096  # pairs of one key beyond which its fingerprints are linked as stars
@@ -281,5 +281,5 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts, which are judged each in its own group. Rows with a null id are kept, as nothing tells them apart from others.
     """
     gone = _grouped(documents, id_col, text_col, 3).where(f"id <> least and id <> {NULL_ID}").select(F.col("id").alias("_one_id"), F.col("mark").alias("_one_mark")).distinct()
-    keyed = documents.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_one_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_one_mark"))
-    return keyed.join(gone, ["_one_id", "_one_mark"], "left_anti").drop("_one_id", "_one_mark")
+    keyed = documents.select(whole_row(documents), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_one_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_one_mark"))
+    return keyed.join(gone, ["_one_id", "_one_mark"], "left_anti").select("_row.*")
