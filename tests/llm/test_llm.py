@@ -736,3 +736,15 @@ def test_clashing_columns_repeats_and_nulls(spark):
     assert kept <= set(rows) and len(kept) > 10
     single = simhash.keep_one(spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "q w e r"), (3, "q w e r"), (None, "a b c d"), (None, None)], "doc_id long, text string").withColumn("_one_mark", F.lit("clash")))
     assert sorted(((r.doc_id, r.text) for r in single.collect()), key=str) == sorted([(2, "q w e r"), (None, "a b c d"), (None, None)], key=str)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    domains = spark.createDataFrame([], "doc_id long, domain string")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        mixed = mixing.mix(none, domains, {"a": 1.0, "b": 2.0})
+    for found in (suffix_dedup.without_repeats(none), simhash.keep_one(none), mixed, corpus_pipeline.language(spark, none, "")):
+        assert found.columns == none.columns and found.count() == 0
+    assert edit_prints.with_near_first(edit_prints.fingerprint_and_compare(none)).count() == 0
+    assert edit_prints.near_pairs(none).count() == 0 and edit_prints.near_pairs(none, exact=False).count() == 0
