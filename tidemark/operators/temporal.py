@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,29 +75,32 @@ def _fitted(daily: DataFrame, cases: DataFrame, entity: str, event: str, end: in
     joined = dated.join(daily, entity, "left").select(entity, F.datediff("date", "_event").cast("double").alias("tau"), F.col("mention_count").cast("double").alias("y"), F.col("total_posts").cast("double").alias("total"))
     kind = dated.schema[entity].dataType.simpleString()
 
-    def fit(key, rows):
-        sums = {}
+    more = ["mentions_immediate", "total_posts_immediate"] if window is not None else []
+    shape = [*more, "longevity", "alpha", "alpha_se", "C", "n_days", "fit_success"]
+    types = [*[pa.int64() for _ in more], pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
+
+    def fit(rows: pa.Table) -> pa.Table:
+        tau, y, total = (rows.column(c).to_numpy().astype(np.float64) for c in ("tau", "y", "total"))  # a null is not a number
+        sums = []
         if window is not None:
-            inside = rows[(rows.tau >= window[0]) & (rows.tau <= window[1])]
-            sums = {"mentions_immediate": [int(inside.y.sum())], "total_posts_immediate": [int(inside.total.sum())]}
-        rows = rows[rows.tau > 0]
-
-        def answer(n, c=None, alpha=None, se=None):
-            return pd.DataFrame({entity: [key[0]], **sums, "longevity": [1 / alpha if alpha else None], "alpha": [alpha], "alpha_se": [se], "C": [c], "n_days": [n], "fit_success": [alpha is not None]})
-
-        rows = rows.dropna(subset=["tau", "y"])
-        if len(rows) < least:
-            return answer(len(rows))
-        rows = rows[rows.y > 0]
-        if len(rows) < least:
-            return answer(len(rows))
-        rows = rows[rows.tau <= end].sort_values("tau")
-        if len(rows) < 3:
-            return answer(len(rows))
-        return answer(len(rows), *fit_power_law(rows.tau.to_numpy(), rows.y.to_numpy()))
-
-    more = "mentions_immediate long, total_posts_immediate long, " if window is not None else ""
-    return spread_by(joined, entity).applyInPandas(fit, f"{entity} {kind}, {more}{DECAY}")
+            inside = (tau >= window[0]) & (tau <= window[1])
+            sums = [int(np.nansum(y[inside])), int(np.nansum(total[inside]))]
+        keep = (tau > 0) & ~np.isnan(y)
+        if keep.sum() >= least and (keep & (y > 0)).sum() >= least:
+            keep &= (y > 0) & (tau <= end)
+            least_left = 3
+        else:
+            keep, least_left = (keep & (y > 0) if keep.sum() >= least else keep), np.inf
+        n, found = int(keep.sum()), (None, None, None)
+        if n >= least_left:
+            order = np.argsort(tau[keep], kind="stable")
+            found = fit_power_law(tau[keep][order], y[keep][order])
+        c, alpha, error = found
+        values = [*sums, 1 / alpha if alpha else None, alpha, error, c, n, alpha is not None]
+        return pa.table({entity: rows.column(entity).slice(0, 1), **{k: pa.array([v], t) for k, v, t in zip(shape, values, types, strict=True)}})
+
+    wanted = f"{entity} {kind}, " + "".join(f"{c} long, " for c in more) + DECAY
+    return spread_by(joined, entity).applyInArrow(fit, wanted)
 
 
 def temporal_metrics(mentions: DataFrame, posts: DataFrame, cases: DataFrame, entity: str = "entity_id", event: str = "event_date", start: int = 0, immediate: int = 7, end: int = 730, least: int = 5, **names) -> DataFrame:
