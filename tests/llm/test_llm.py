@@ -624,6 +624,64 @@ def test_near_first_finds_what_brute_force_finds(spark):
     assert all(edit_prints.likeness(prints[r.near_first], prints[i]) == pytest.approx(r.near_first_likeness) for i, r in got.items())
 
 
+@pytest.mark.parametrize("block", [edit_prints.BLOCK, 5])
+def test_near_first_and_class_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(edit_prints, "BLOCK", block)  # bands in many parts
+    rng = random.Random(24)
+    texts = [words(rng, rng.choice([1, 2, 3, 5, 8, 20, 60, 150])) for _ in range(60)]
+    for _ in range(240):
+        t = rng.choice(texts).split(" ")
+        for k in rng.sample(range(len(t)), max(1, len(t) * rng.randint(1, 8) // 100)):
+            t[k] = rng.choice(["qq", "z", "abcd"])
+        texts.append(" ".join(t))
+    base = words(rng, 150).split(" ")
+    for _ in range(200):  # near copies, many of which are near to later members of their bands only
+        t = list(base)
+        for k in rng.sample(range(150), 9):
+            t[k] = rng.choice(["qq", "z", "abcd"])
+        texts.append(" ".join(t))
+    texts += ["", None, "a", texts[3]]
+    ids = [*range(len(texts) - 10), None, None, None, *[5] * 7]  # ids of several texts
+    prints = edit_prints.fingerprints([t or "" for t in texts])
+    first = {}
+    for i, p in zip(ids, prints, strict=True):
+        first[p] = min(first.get(p, 2**63), as_key(i))
+    order = sorted(first, key=lambda p: (first[p], np.uint64(xxhash.xxh64_intdigest(p, 42)).view(np.int64)))
+    like = [[edit_prints.likeness(p, q) for q in order] for p in order]
+    part = list(range(len(order)))
+    for a in range(len(order)):
+        for b in range(a):
+            if like[a][b] >= 0.8 and part[a] != part[b]:
+                old, new = sorted((part[a], part[b]))[::-1]
+                part = [new if x == old else x for x in part]
+    outer = lambda i: None if i == -(2**63) else i
+    want = []
+    for i, p in zip(ids, prints, strict=True):
+        k = order.index(p)
+        before = next(((first[order[b]], like[k][b]) for b in range(k) if like[k][b] >= 0.8), (first[p], 1.0) if as_key(i) != first[p] else (-(2**63), None))
+        want.append((i, p, outer(before[0]), before[1], outer(first[order[part[k]]])))
+    compared = edit_prints.fingerprint_and_compare(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+    got = edit_prints.with_near_first(compared).select("doc_id", "fingerprint", "near_first", "near_first_likeness", "near_class").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and sum(w[3] is not None for w in want) > 200
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_near_prints_share_a_band(similarity):
+    rng = np.random.default_rng(25)
+    levels, takes = edit_prints._sieve(similarity)
+    for filled in [*range(1, 65)] * 20:
+        differ = filled - int((edit_prints._alike()[:, filled] >= similarity).argmax())
+        cells = rng.permutation(64)[:filled]
+        a = np.full(64, edit_prints.VOID)
+        a[cells] = rng.integers(0, 256, filled)
+        b = a.copy()
+        for c in cells[:differ]:  # as many as may differ: in their value, or empty on one side
+            x = (a, b)[rng.integers(2)]
+            x[c] = rng.choice([edit_prints.VOID, (x[c] + 1) % 256])
+        m, n = (int((x != edit_prints.VOID).sum()) for x in (a, b))
+        assert m and n and any(takes[m, k] and takes[n, k] and any((a[p] == b[p]).all() for p in bands) for k, bands in enumerate(levels))
+
+
 def test_pipeline(spark):
     import os
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import NULL_ID, checkpointed, even_keys, id_text, join_spread, lean, outer_id, partitions, range_bounds, range_shard, raw_bytes, shared_folder, slices
+from .common import NULL_ID, checkpointed, connected_components, even_keys, id_text, join_spread, lean, outer_id, partitions, range_bounds, range_shard, raw_bytes, shared_folder, slices
 
 CELLS, LONGEST, MEAN, OPENING, EVERY = 64, 256, 32, 6, 8
 PIECE = 1 << 20  # characters at once
@@ -386,58 +387,203 @@ def near_pairs(documents: DataFrame, similarity: float = 0.8, bands: int = 20, b
     return scored.where(F.col("edit_similarity") >= similarity - 1e-12).select(outer_id("a").alias("a"), outer_id("b").alias("b"), "edit_similarity")
 
 
-def _banded(bands: int, band_cells: int):
-    """(first, band) of fingerprints: the hash of each band's number and cells."""
-    rng = np.random.default_rng(9)
-    picks = np.array([rng.choice(CELLS, band_cells, replace=False) for _ in range(bands)])
+#: Two texts stand at the first of these levels that is not below the number of cells filled in either.
+LEVELS = (12, 18, 27, 36, 48, 64)
+BANDS = 36  # of a level, at most, where the similarity allows
+BLOCK = 4096  # fingerprints of a band that one task holds against others
+VOID = 256  # an empty cell as a number
+
+
+@lru_cache(1)
+def _alike() -> np.ndarray:
+    """Likeness by (equal cells, cells filled in either)."""
+    out = np.zeros((CELLS + 1, CELLS + 1))
+    for n in range(1, CELLS + 1):
+        for k in range(n + 1):
+            equal = k / n
+            out[k, n] = 2 * equal / (1 + equal)
+    return out
+
+
+@lru_cache(4)
+def _sieve(similarity: float) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """(cells of the bands of each level, whether a text with so many filled cells has a level's bands).
+
+    Two texts of a level differ in d cells at most. Of d + 1 + k groups of cells at least k + 1 are equal;
+    the groups are dealt to k classes, so two equal ones are of one class: a band is two groups of a class.
+    """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity: above 0, up to 1")
+    near = _alike() >= similarity
+    order = np.random.default_rng(9).permutation(CELLS)
+    levels, takes = [], np.zeros((CELLS + 1, len(LEVELS)), bool)
+    for level, (low, high) in enumerate(zip((0, *LEVELS), LEVELS, strict=False)):
+        d = max(n - int(near[:, n].argmax()) for n in range(low + 1, high + 1))
+        ways = []
+        for groups in range(d + 2, CELLS + 1):
+            cells = np.array_split(order, groups)
+            ways.append([np.r_[cells[a], cells[b]] for own in np.array_split(np.arange(groups), groups - d - 1) for a, b in combinations(own, 2)])
+        if not ways:
+            raise ValueError("at so low a similarity texts need not share two cells")
+        levels.append(next((w for w in ways if len(w) <= BANDS), min(ways, key=len)))  # the first has the largest groups
+        for n in range(1, high + 1):  # n filled cells in one of two near texts: up to as many in either as n equal ones allow
+            takes[n, level] = int(np.flatnonzero(near[n]).max()) > low
+    return levels, takes
+
+
+def _cells(prints: list[str]) -> np.ndarray:
+    """A row of numbers for each fingerprint, VOID where a cell is empty."""
+    x = np.frombuffer("".join(prints).encode(), np.uint8).reshape(-1, CELLS, 2)
+    digit = np.where(x > 96, x - 87, x - 48).astype(np.uint16)
+    return np.where(x[:, :, 0] == ord(EMPTY[0]), np.uint16(VOID), digit[:, :, 0] * np.uint16(16) + digit[:, :, 1])
+
+
+def _likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """likeness of rows of cells, by numpy's rules of shapes; a cell at a time, in bytes."""
+    a, b = (np.ascontiguousarray(np.moveaxis(x, -1, 0)) for x in (a, b))
+    equal = np.zeros(np.broadcast_shapes(a.shape[1:], b.shape[1:]), np.uint8)
+    void = np.zeros_like(equal)
+    for x, y in zip(a, b, strict=True):
+        equal += x == y
+        if (x == VOID).any() and (y == VOID).any():
+            void += (x == VOID) & (y == VOID)
+    return _alike()[equal - void, CELLS - void]
+
+
+def _banded(similarity: float):
+    """(c, band) of fingerprints: hashes of the cells of their bands, empty ones included. Texts without characters have none."""
+    levels, takes = _sieve(similarity)
 
     def run(batches):
         for batch in batches:
-            cells = np.array([np.frombuffer(bytes.fromhex(filled(p)), np.uint8) for p in batch.column("fingerprint").to_pylist() if EMPTY not in p or p.strip(".")], np.uint64).reshape(-1, CELLS)
-            first = batch.column("first").to_numpy()[[bool(p.strip(".")) for p in batch.column("fingerprint").to_pylist()]]
-            band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(cells), bands)).copy()
-            for k in range(band_cells):
-                band = _mix((band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ cells[:, picks[:, k]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(first, bands)), pa.array(band.reshape(-1).view(np.int64))], names=["first", "band"])
+            cells, c = _cells(batch.column("fingerprint").to_pylist()), batch.column("c").to_numpy()
+            count = (cells != VOID).sum(axis=1)
+            for level, bands in enumerate(levels):
+                rows = np.flatnonzero(takes[count, level])
+                own = np.ascontiguousarray(cells[rows].T.astype(np.uint64))
+                band = np.zeros((len(rows), len(bands)), np.uint64)
+                for k, picked in enumerate(bands):
+                    band[:, k] = level << 16 | k
+                    for cell in picked:
+                        band[:, k] = _mix((band[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ own[cell])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c[rows], len(bands))), pa.array(band.reshape(-1).view(np.int64))], names=["c", "band"])
 
     return run
 
 
 @F.pandas_udf(DoubleType())
 def _likeness(s: pd.Series, t: pd.Series) -> pd.Series:
-    return pd.Series([likeness(a, b) for a, b in zip(s, t, strict=True)], dtype="float64")
+    return pd.Series(_likenesses(_cells(s.tolist()), _cells(t.tolist())), dtype="float64")
+
+
+def _block(c: np.ndarray, cells: np.ndarray, far: np.ndarray, similarity: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(c, b, e) of a block's rows, in which those marked far meet all others: each one's least near b < c, and a forest (e null) of all links found."""
+    names, at = np.unique(c, return_inverse=True)
+    part, out = np.arange(len(names)), []
+    left, right = np.flatnonzero(far), np.flatnonzero(~far)
+    right = right[np.argsort(c[right])]
+    step = max(1, 100_000 // max(1, len(right)))
+    for i in range(0, len(left) if len(right) else 0, step):
+        rows = left[i : i + step]
+        like = _likenesses(cells[rows][:, None], cells[right][None])
+        near = (like >= similarity) & (at[rows][:, None] != at[right][None])
+        less = near & (at[right][None] < at[rows][:, None])
+        k = less.argmax(axis=1)  # right ascends
+        has = np.flatnonzero(less.any(axis=1))
+        out.append((c[rows[has]], c[right[k[has]]], like[has, k[has]]))
+        for r in np.flatnonzero(near.any(axis=1)):
+            met = np.unique(np.append(part[at[right[near[r]]]], part[at[rows[r]]]))
+            if len(met) > 1:
+                part[np.isin(part, met)] = met[0]
+    moved = np.flatnonzero(part != np.arange(len(names)))
+    return [*out, (names[moved], names[part[moved]], np.full(len(moved), np.nan))]
+
+
+def _blocks(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        band, i, j, c = (table.column(x).to_numpy() for x in ("band", "i", "j", "c"))
+        far, cells = table.column("far").to_numpy(), _cells(table.column("fingerprint").to_pylist())
+        order = np.lexsort((j, i, band))
+        key = np.stack([band, i, j])[:, order]
+        edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, len(order)]
+        found = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in _block(c[order[a:b]], cells[order[a:b]], far[order[a:b]], similarity)]
+        a, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"c": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "e": pa.array(e, pa.float64(), mask=np.isnan(e))})
+
+    return run
 
 
-def with_near_first(compared: DataFrame, similarity: float = 0.8, bands: int = 20, band_cells: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """compared (fingerprint_and_compare's rows) with near_first and near_first_likeness.
+def _links(classes: DataFrame, rows: int, similarity: float) -> DataFrame:
+    """(c, b, e), b < c: links among classes (c, fingerprint). Those with e hold each c's least near b; all together connect what near pairs connect.
 
-    Bit-sampled banding over the whole table: each fingerprint is held against the first document
-    (least id) of each of its bands, and verified by the Hamming distance of the whole fingerprints, as likeness
-    states it. near_first is the least id of those that reach `similarity`, or of the document's own
-    fingerprint; null if none does. Fingerprints of likeness 0.8 agree in two cells of three, so they share one of 20
-    bands of 4 with odds of 0.988. A group of near copies costs rows in proportion to its documents, not
-    to its pairs. Texts without characters have no bands.
+    Members of a band are held against its least, b. Two that are both near to it need not meet: it connects them
+    and is less than either. One that is not meets all members of the band, in blocks that are dealt to tasks.
+    """
+    n = partitions(classes.sparkSession)
+    banded = classes.select("c", "fingerprint").mapInArrow(lean(_banded(similarity)), "c long, band long")
+    least = banded.groupBy("band").agg(F.min("c").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a band that holds more than 1/10,000 of all would fill one task: there are some 10,000 of those at most
+    hot = max(10_000, rows * BANDS // 10_000)
+    met = checkpointed(banded.join(least.where(F.col("n") <= hot), "band").unionByName(banded.join(F.broadcast(least.where(F.col("n") > hot)), "band")))
+    pairs = checkpointed(met.where("b < c").select("c", "b").distinct())
+    both = join_spread(pairs, classes.select(F.col("c").alias("b"), F.col("fingerprint").alias("t")), "b").join(classes.select("c", F.col("fingerprint").alias("s")), "c")
+    held = checkpointed(both.select("c", "b", _likeness("s", "t").alias("e")))
+    apart = held.where(F.col("e") < similarity).select("c", "b", F.lit(True).alias("apart"))
+    members = checkpointed(met.where("n > 2").join(apart, ["c", "b"], "left").select("band", "c", "n", "apart"))
+    # u members that are apart, n members: so many parts of either
+    parts = lambda x: F.ceil(F.col(x) / BLOCK).cast("long")
+    unmet = members.groupBy("band").agg(F.count("apart").alias("u"), F.first("n").alias("of")).where("u > 0").select("band", "u", parts("u").alias("us"), parts("of").alias("ns"), "of")
+    unmet = checkpointed(unmet)
+    size = unmet.agg(F.sum(F.col("u") * F.col("ns") + F.col("of") * F.col("us"))).first()[0] or 0
+    slots = n * max(4, size // (n * 20_000) + 1)
+    place = F.xxhash64("c")
+    i, j = F.pmod(place, "us"), F.pmod(place, "ns")
+    range_to = lambda x: F.sequence(F.lit(0).cast("long"), F.col(x) - 1)
+    as_other = F.transform(range_to("us"), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("far")))
+    as_far = F.transform(range_to("ns"), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("far")))
+    dealt = join_spread(members, unmet.select("band", "us", "ns"), "band").join(classes.select("c", "fingerprint"), "c")
+    dealt = dealt.select("band", "c", "fingerprint", F.explode(F.when(F.col("apart"), F.concat(as_other, as_far)).otherwise(as_other)).alias("x")).select("band", "c", "fingerprint", "x.*")
+    more = dealt.withColumn("slot", F.pmod(F.xxhash64("band", "i", "j"), F.lit(slots))).groupBy("slot").applyInArrow(lean(_blocks(similarity)), "c long, b long, e double")
+    return held.where(F.col("e") >= similarity).unionByName(checkpointed(more))
+
+
+def with_near_first(compared: DataFrame, similarity: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """compared (fingerprint_and_compare's rows) with near_first, near_first_likeness and near_class.
+
+    Two documents are linked if their fingerprints' likeness is at least `similarity`. near_first is the least id
+    a document is linked with among those before it, copies included, null if there is none; near_class the least
+    id that links reach, its own if there is none. No link is lost: bit-sampled bands, so drawn that any two
+    fingerprints of that likeness share one, give the candidates, and the Hamming distance of the whole
+    fingerprints, as likeness states it, verifies them. Equal fingerprints are one node, and members of a band that are near
+    to its first aren't held against each other, so a group of near copies costs rows in proportion to
+    its documents. Texts without characters are near to each other only. Null ids come first and are given as null:
+    near_first_likeness tells a link with such a document from none.
+    Rows of one id with different fingerprints are nodes of their own, and stand in the order of their fingerprints' hashes.
     """
     spark = compared.sparkSession
-    folder = shared_folder(spark, "fingerprints")
+    folder, numbered = shared_folder(spark, "fingerprints"), shared_folder(spark, "classes")
     compared.write.option("compression", "zstd").parquet(folder)
     compared = spark.read.parquet(folder)
     rows = compared.count()
     key = F.coalesce(F.col(id_col), F.lit(NULL_ID))
     classes = compared.groupBy("fingerprint").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"))
-    banded = classes.select("first", "fingerprint").mapInArrow(lean(_banded(bands, band_cells)), "first long, band long")
-    firsts = banded.groupBy("band").agg(F.min("first").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a band that holds more than 1/10,000 of all would fill one task: there are 10,000 of those at most
-    hot = max(10_000, rows * bands // 10_000)
-    ruled = F.broadcast(firsts.where(F.col("n") > hot).select("band", "b"))
-    close = banded.join(firsts.where(F.col("n") <= hot).select("band", "b"), "band").unionByName(banded.join(ruled, "band")).where("b < first").select("first", "b").distinct()
-    close = checkpointed(close)
-    prints = classes.select("first", "fingerprint")
-    both = join_spread(close, prints.select(F.col("first").alias("b"), F.col("fingerprint").alias("t")), "b").join(prints.withColumnRenamed("fingerprint", "s"), "first")
-    near = both.select("first", "b", _likeness("s", "t").alias("e")).where(F.col("e") >= similarity)
-    best = near.groupBy("first").agg(F.min(F.struct("b", "e")).alias("f"))
-    named = classes.join(best, "first", "left").where("copies > 1 or f is not null").select("fingerprint", "first", F.col("f.b").alias("_b"), F.col("f.e").alias("_e"))
+    # numbers that ascend with the first document, one a fingerprint also where several hold one id; hashes keep the samples of the sort small
+    ordered = classes.withColumn("mark", F.xxhash64("fingerprint")).repartitionByRange("first", "mark").sortWithinPartitions("first", "mark", "fingerprint").drop("mark")
+    ordered.withColumn("c", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(numbered)
+    classes = spark.read.parquet(numbered)
+    links = _links(classes, rows, similarity)
+    best = links.where("e is not null").groupBy("c").agg(F.min(F.struct("b", "e")).alias("f")).select("c", "f.b", "f.e")
+    firsts = classes.select(F.col("c").alias("b"), F.col("first").alias("_b"))
+    best = join_spread(checkpointed(best), firsts, "b").select("c", "_b", F.col("e").alias("_e"))
+    reached = connected_components(links.select(F.col("c").alias("a"), "b")).where("node <> component")
+    reached = join_spread(checkpointed(reached), firsts.toDF("component", "_class"), "component").select(F.col("node").alias("c"), "_class")
+    named = classes.join(best, "c", "left").join(reached, "c", "left").where("copies > 1 or _class is not null").select("fingerprint", "first", "_b", "_e", "_class")
     out = join_spread(compared, named, "fingerprint", "left", rows)
-    other = key != F.col("first")
-    lone = F.when(other & (F.col("_b").isNull() | (F.col("first") < F.col("_b"))), F.col("first")).otherwise(F.col("_b"))
-    return out.select(*compared.columns, F.when(lone != NULL_ID, lone).alias("near_first"), F.when(other & (lone == F.col("first")), 1.0).otherwise(F.col("_e")).alias("near_first_likeness"))
+    copy = key != F.col("first")
+    near = F.coalesce("_b", F.when(copy, F.col("first")))
+    return out.select(
+        *compared.columns,
+        F.when(near != NULL_ID, near).alias("near_first"),
+        F.coalesce("_e", F.when(copy, F.lit(1.0))).alias("near_first_likeness"),
+        F.nullif(F.coalesce("_class", "first", key), F.lit(NULL_ID)).alias("near_class"),
+    )
