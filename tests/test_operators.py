@@ -358,3 +358,22 @@ def test_scores_beside_each_other(spark):
     assert [(r.entity_id, r.rank) for r in top] == [("b", 1), ("a", 2), ("c", 3)]
     draws = spark.createDataFrame([(1, v) for v in [3.0, 1.0, 2.0, 9.0, None]] + [(2, 5.0)], "k int, v double")
     assert {tuple(r) for r in scoring.hdi_per_key(draws, "k", "v", 0.5).collect()} == {(1, 1.0, 3.0), (2, 5.0, 5.0)}
+
+
+def test_factor_draws_stay_off_the_driver(spark, tmp_path):
+    import tracemalloc
+
+    n, options = 1100, {"samples": 500, "tune": 20, "chains": 2}
+    x = np.random.default_rng(3).normal(size=(n, 5))
+    x += x[:, :1]
+    features = spark.createDataFrame([(k, *row) for k, row in enumerate(x.tolist())], "entity_id long, " + ", ".join(f"z_{c} double" for c in scoring.INDICATORS))
+    tracemalloc.start()
+    rows = sorted(scoring.bayes_score(features, draws_path=str(tmp_path / "draws"), **options).collect())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    draws = scoring.factor_score(x, **options)
+    assert peak < draws.nbytes / 2  # all draws are 8.8 MB
+    assert np.allclose([r.score_bayes for r in rows], draws.mean(axis=0)) and np.allclose([(r.hdi_low, r.hdi_high) for r in rows], [scoring.hdi(d) for d in draws.T])
+    assert np.allclose([(r.r_hat, r.ess_bulk) for r in rows], np.transpose(scoring.diagnostics(draws.reshape(2, 500, n))))
+    stored = spark.read.parquet(str(tmp_path / "draws"))
+    assert stored.count() == draws.size and [r.value for r in stored.where("entity_id = 700").orderBy("chain", "draw").collect()] == pytest.approx(draws[:, 700].tolist())

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import min_max, z_score
+from ..session import scratch_folder
+from .relational import spread_by
 
 INDICATORS = ("intensity", "longevity", "similarity_median", "positive_ratio", "log_volume")
 
@@ -102,39 +104,75 @@ def _half_normal_slice(rng, now: float, log_likelihood, scale: float) -> float:
             high = s
 
 
+def _factor_chain(x: np.ndarray, chain: int, samples: int, tune: int, seed: int, positive_loadings: bool, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a chain's draws can be made from again: (samples, columns + 2) of weights, deviation and sign, and (samples, blocks, 2) of the generator's state before each block of entities.
+
+    Holds a few numbers an entity, not its draws.
+    """
+    n, m = x.shape
+    rng = np.random.default_rng((seed, chain))
+    factor, loading, sigma = rng.normal(size=n), np.full(m, 0.5), np.ones(m)
+    made, states = np.empty((samples, m + 2)), np.empty((samples, -(-n // block), 2), np.uint64)
+    for t in range(tune + samples):
+        precision = 1 + (loading**2 / sigma**2).sum()
+        weight, deviation, sign = loading / sigma**2, np.sqrt(precision), 1.0
+        mean = (x @ weight) / precision
+        for k, a in enumerate(range(0, n, block)):
+            if t >= tune:
+                now = rng.bit_generator.state["state"]["state"]
+                states[t - tune, k] = now >> 64, now & (1 << 64) - 1
+            part = mean[a : a + block]
+            factor[a : a + block] = part + rng.normal(size=len(part)) / deviation
+        p = (factor @ factor) / sigma**2 + 1
+        loading = ((factor @ x) / sigma**2 + 0.5) / p + rng.normal(size=m) / np.sqrt(p)
+        if positive_loadings and loading.sum() < 0:
+            factor, loading, sign = -factor, -loading, -1.0
+        if t >= tune:
+            made[t - tune] = *(weight / precision), 1 / deviation, sign
+        rest = sum(((x[a : a + 65_536] - factor[a : a + 65_536, None] * loading) ** 2).sum(axis=0) for a in range(0, n, 65_536))
+        sigma = np.array([_half_normal_slice(rng, s, lambda v, r=r: -n * np.log(v) - r / (2 * v * v), 1.0) for s, r in zip(sigma, rest, strict=True)])
+    return made, states
+
+
+def _block_draws(x: np.ndarray, chain: int, seed: int, made: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Draws (sample, entity) of one block of entities in a chain, from _factor_chain's numbers and the block's states."""
+    rng = np.random.default_rng((seed, chain))
+    start, out = rng.bit_generator.state, np.empty((len(made), len(x)))
+    for t, (high, low) in enumerate(states.tolist()):
+        start["state"]["state"] = high << 64 | low
+        rng.bit_generator.state = start
+        out[t] = made[t, -1] * (x @ made[t, :-2] + rng.normal(size=len(x)) * made[t, -2])
+    return out
+
+
 def factor_score(x: np.ndarray, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42, positive_loadings: bool = False) -> np.ndarray:
     """Draws (chain * sample, entity) of one factor behind the columns of x.
 
     x[i, j] ~ N(loading_j * factor_i, sigma_j), factor ~ N(0, 1), loading ~ N(0.5, 1), sigma ~ half-normal(1).
-    Gibbs steps for factors and loadings, slice steps for the scales. Runs on the driver, over a row an entity.
+    Gibbs steps for factors and loadings, slice steps for the scales. All draws at once, for few entities; bayes_score makes the same in blocks.
     """
-    n, m = x.shape
     out = []
     for chain in range(chains):
-        rng = np.random.default_rng((seed, chain))
-        factor, loading, sigma = rng.normal(size=n), np.full(m, 0.5), np.ones(m)
-        for t in range(tune + samples):
-            precision = 1 + (loading**2 / sigma**2).sum()
-            factor = (x @ (loading / sigma**2)) / precision + rng.normal(size=n) / np.sqrt(precision)
-            p = (factor @ factor) / sigma**2 + 1
-            loading = ((factor @ x) / sigma**2 + 0.5) / p + rng.normal(size=m) / np.sqrt(p)
-            if positive_loadings and loading.sum() < 0:
-                factor, loading = -factor, -loading
-            rest = ((x - factor[:, None] * loading) ** 2).sum(axis=0)
-            sigma = np.array([_half_normal_slice(rng, s, lambda v, r=r: -n * np.log(v) - r / (2 * v * v), 1.0) for s, r in zip(sigma, rest, strict=True)])
-            if t >= tune:
-                out.append(factor)
-    return np.array(out)
+        made, states = _factor_chain(x, chain, samples, tune, seed, positive_loadings, len(x))
+        out.append(_block_draws(x, chain, seed, made, states[:, 0]))
+    return np.concatenate(out)
 
 
 MOST_ENTITIES = 100_000  # rows that a sampler takes to the driver
+MOST_GATHERED = 10_000_000  # entities whose indicators, 48 bytes each, the driver and each chain hold
+BLOCK = 512  # entities whose draws a task holds at once
+
+
+def _few_enough(n: int, most: int) -> None:
+    """Too many are an error, not a sample."""
+    if n > most:
+        raise ValueError(f"a sampler runs on the driver over up to {most} entities")
 
 
 def _gathered(df: DataFrame):
     """The rows of a table of entities on the driver; too many are an error, not a sample."""
     rows = df.limit(MOST_ENTITIES + 1).toPandas()
-    if len(rows) > MOST_ENTITIES:
-        raise ValueError(f"a sampler runs on the driver over up to {MOST_ENTITIES} entities")
+    _few_enough(len(rows), MOST_ENTITIES)
     return rows
 
 
@@ -144,10 +182,10 @@ def diagnostics(draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     half = samples // 2
     x = np.concatenate([draws[:, :half], draws[:, half : 2 * half]])
     n, c = half, 2 * chains
-    normal = np.empty_like(x)
+    normal, quantile = np.empty_like(x), _normal_quantile((np.arange(1.0, c * n + 1) - 0.375) / (c * n + 0.25))
     for k in range(m):
-        rank = np.argsort(np.argsort(x[:, :, k].ravel(), kind="stable"), kind="stable") + 1.0
-        normal[:, :, k] = _normal_quantile((rank - 0.375) / (c * n + 0.25)).reshape(c, n)
+        rank = np.argsort(np.argsort(x[:, :, k].ravel(), kind="stable"), kind="stable")
+        normal[:, :, k] = quantile[rank].reshape(c, n)
     within, mean = normal.var(axis=1, ddof=1).mean(axis=0), normal.mean(axis=1)
     total = within * (n - 1) / n + mean.var(axis=0, ddof=1)
     r_hat = np.sqrt(total / within)
@@ -180,20 +218,58 @@ def _draw_rows(spark, draws: np.ndarray, chains: int, names: list, kind: str, na
     return spark.createDataFrame(table, f"chain long, draw long, {name} {kind}, value double")
 
 
-def bayes_score(features: DataFrame, entity: str = "entity_id", prob: float = 0.89, draws_path: str | None = None, samples: int = 2000, tune: int = 1000, chains: int = 4, **options) -> DataFrame:
-    """(entity, score_bayes, hdi_low, hdi_high, r_hat, ess_bulk) from factor_features: a row an entity, gathered on the driver. draws_path: where all draws are written as Parquet."""
+def bayes_score(features: DataFrame, entity: str = "entity_id", prob: float = 0.89, draws_path: str | None = None, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42, positive_loadings: bool = False) -> DataFrame:
+    """(entity, score_bayes, hdi_low, hdi_high, r_hat, ess_bulk) from factor_features. draws_path: where all draws are written as Parquet.
+
+    The indicators, a row an entity, are gathered on the driver and go to a task for each chain, which keeps the
+    generator's states in place of draws. Tasks then make the draws of BLOCK entities at a time again and sum them up.
+    """
+    import pandas as pd
+
     spark, kind = features.sparkSession, features.schema[entity].dataType.simpleString()
-    rows = _gathered(features.orderBy(entity))
+    rows = features.select(entity, *[f"z_{c}" for c in INDICATORS]).orderBy(entity).limit(MOST_GATHERED + 1).toPandas()
+    _few_enough(len(rows), MOST_GATHERED)
     schema = f"{entity} {kind}, score_bayes double, hdi_low double, hdi_high double, r_hat double, ess_bulk double"
     if not len(rows):
         return spark.createDataFrame([], schema)
-    draws = factor_score(rows[[f"z_{c}" for c in INDICATORS]].to_numpy(float), samples, tune, chains, **options)
-    names = rows[entity].tolist()
+    block = BLOCK
+    shared = spark.sparkContext.broadcast((rows[entity].array, np.ascontiguousarray(rows[[f"z_{c}" for c in INDICATORS]].to_numpy(float))))
+
+    def run(batches):
+        for chain in (c for b in batches for c in b["id"].tolist()):
+            made, states = _factor_chain(shared.value[1], chain, samples, tune, seed, positive_loadings, block)
+            yield pd.DataFrame({"chain": [chain], "block": [-1], "held": [made.tobytes()]})
+            for k in range(states.shape[1]):
+                yield pd.DataFrame({"chain": [chain], "block": [k], "held": [states[:, k].tobytes()]})
+
+    path = scratch_folder(spark, "chains")
+    spark.range(chains, numPartitions=chains).mapInPandas(run, "chain long, block long, held binary").write.parquet(path)
+    held = spark.read.parquet(path)
+    made = {r["chain"]: np.frombuffer(r["held"]).reshape(samples, -1) for r in held.where("block < 0").collect()}  # a row a chain
+
+    def draws_of(table) -> tuple[list, np.ndarray]:
+        """The names of a block's entities and their draws (chain, sample, entity)."""
+        names, x = shared.value
+        at = int(table["block"].iloc[0]) * block
+        states = {c: np.frombuffer(h, np.uint64).reshape(samples, 2) for c, h in zip(table["chain"], table["held"], strict=True)}
+        return names[at : at + block], np.stack([_block_draws(x[at : at + block], c, seed, made[c], states[c]) for c in range(chains)])
+
+    def summary(table):
+        names, draws = draws_of(table)
+        flat, step = draws.reshape(chains * samples, -1), 64
+        ends = [hdi(flat[:, i], prob) for i in range(len(names))]
+        r_hat, ess = map(np.concatenate, zip(*[diagnostics(draws[:, :, a : a + step]) for a in range(0, len(names), step)], strict=True))
+        return pd.DataFrame({entity: names, "score_bayes": flat.mean(axis=0), "hdi_low": [a for a, _ in ends], "hdi_high": [b for _, b in ends], "r_hat": r_hat, "ess_bulk": ess})
+
+    def listed(table):
+        names, draws = draws_of(table)
+        c, t, i = (k.ravel() for k in np.indices(draws.shape))
+        return pd.DataFrame({"chain": c, "draw": t, entity: names[i], "value": draws.ravel()})
+
+    blocks = spread_by(held.where("block >= 0"), "block")
     if draws_path:
-        _draw_rows(spark, draws, chains, names, kind, entity).write.mode("overwrite").parquet(draws_path)
-    ends = [hdi(draws[:, i], prob) for i in range(draws.shape[1])]
-    r_hat, ess = diagnostics(draws.reshape(chains, samples, -1))
-    return spark.createDataFrame([(k, float(m), a, b, float(r), float(e)) for k, m, (a, b), r, e in zip(names, draws.mean(axis=0), ends, r_hat, ess, strict=True)], schema)
+        blocks.applyInPandas(listed, f"chain long, draw long, {entity} {kind}, value double").write.mode("overwrite").parquet(draws_path)
+    return blocks.applyInPandas(summary, schema)
 
 
 def regression_design(scores: DataFrame, cases: DataFrame, count_col: str, flags: list[str], group: str, age: str, key: str = "entity_id") -> DataFrame:
