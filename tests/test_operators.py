@@ -377,3 +377,13 @@ def test_factor_draws_stay_off_the_driver(spark, tmp_path):
     assert np.allclose([(r.r_hat, r.ess_bulk) for r in rows], np.transpose(scoring.diagnostics(draws.reshape(2, 500, n))))
     stored = spark.read.parquet(str(tmp_path / "draws"))
     assert stored.count() == draws.size and [r.value for r in stored.where("entity_id = 700").orderBy("chain", "draw").collect()] == pytest.approx(draws[:, 700].tolist())
+
+
+def test_regression_takes_more_rows_than_a_driver_gathers(spark):
+    k = F.col("id")
+    design = spark.range(100_100).select(k.alias("entity_id"), (k % 7).cast("double").alias("x"), (k % 3 * 2).cast("int").alias("group_index"), (k % 7 * 0.5 + F.sin(k * 1.3) + k % 3).alias("score"))
+    options = {"samples": 100, "tune": 50, "chains": 2}
+    found = scoring.regression(design, "score", ["x"], **options).toPandas()
+    rows = design.orderBy("group_index", "score").toPandas()
+    draws = scoring.regression_draws(rows[["x"]].to_numpy(float), rows["score"].to_numpy(), rows["group_index"].to_numpy(), **options)
+    assert np.allclose(found["mean"], draws.mean(axis=0)) and np.allclose(found["hdi_low"], [scoring.hdi(d)[0] for d in draws.T])

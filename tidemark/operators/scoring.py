@@ -158,7 +158,7 @@ def factor_score(x: np.ndarray, samples: int = 2000, tune: int = 1000, chains: i
     return np.concatenate(out)
 
 
-MOST_ENTITIES = 100_000  # rows that a sampler takes to the driver
+MOST_ENTITIES = 1_000_000_000  # rows of a regression, of which the driver holds sums by group
 MOST_GATHERED = 10_000_000  # entities whose indicators, 48 bytes each, the driver and each chain hold
 BLOCK = 512  # entities whose draws a task holds at once
 
@@ -166,14 +166,7 @@ BLOCK = 512  # entities whose draws a task holds at once
 def _few_enough(n: int, most: int) -> None:
     """Too many are an error, not a sample."""
     if n > most:
-        raise ValueError(f"a sampler runs on the driver over up to {most} entities")
-
-
-def _gathered(df: DataFrame):
-    """The rows of a table of entities on the driver; too many are an error, not a sample."""
-    rows = df.limit(MOST_ENTITIES + 1).toPandas()
-    _few_enough(len(rows), MOST_ENTITIES)
-    return rows
+        raise ValueError(f"a sampler takes up to {most} entities")
 
 
 def diagnostics(draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,26 +275,33 @@ def regression_design(scores: DataFrame, cases: DataFrame, count_col: str, flags
     return x.select(key, *[c for c in scores.columns if c != key], F.log(F.coalesce(F.col(count_col).cast("double"), F.lit(0.0)) + 1).alias("log_count"), *[F.coalesce((F.col(f) == "Y").cast("int"), F.lit(0)).alias(f) for f in flags], ((F.col("_age") - F.col("_m")) / (F.col("_s") + 1e-8)).alias("age_z"), "group", (F.array_position(index, F.col("group")) - 1).cast("int").alias("group_index"))
 
 
-def regression_draws(x: np.ndarray, y: np.ndarray, group: np.ndarray, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42) -> np.ndarray:
-    """Draws (chain * sample, intercept and slopes) of y on x with a normal intercept for each group.
+def _best_fit(sums: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Intercept with slopes, and group effects, of the least squares: the point from which _regression_draws counts squares."""
+    share = sums["x"] / np.maximum(sums["n"], 1)[:, None]
+    beta = np.linalg.pinv(sums["xx"] - sums["x"].T @ share, hermitian=True) @ (sums["xy"] - share.T @ sums["y"])
+    return beta, (sums["y"] - sums["x"] @ beta) / np.maximum(sums["n"], 1)
 
-    Intercept and slopes ~ N(0, 1), group effects ~ N(0, s), s ~ half-normal(0.5), noise ~ half-normal(1).
+
+def _regression_draws(sums: dict, best: tuple[np.ndarray, np.ndarray], left: dict, samples: int, tune: int, chains: int, seed: int) -> np.ndarray:
+    """regression_draws from sums over the rows, so that memory goes with the groups.
+
+    sums: by group n, x (with the intercept's 1) and y, of all rows xx and xy. left: of what `best` leaves of y, its
+    square and its product with x, and by group its sum; without it, squares would lose digits where the fit is close.
     """
-    x1 = np.column_stack([np.ones(len(y)), x])
-    groups = int(group.max()) + 1 if len(group) else 0
+    groups, n, m = len(sums["n"]), sums["n"].sum(), len(sums["xy"])
     draws = []
     for chain in range(chains):
         rng = np.random.default_rng((seed, chain))
-        beta, effect, s, noise = np.zeros(x1.shape[1]), np.zeros(groups), 0.5, 1.0
+        beta, effect, s, noise = np.zeros(m), np.zeros(groups), 0.5, 1.0
         for t in range(tune + samples):
-            precision = x1.T @ x1 / noise**2 + np.eye(x1.shape[1])
+            precision = sums["xx"] / noise**2 + np.eye(m)
             root = np.linalg.cholesky(precision)
-            mean = np.linalg.solve(precision, x1.T @ (y - effect[group]) / noise**2)
+            mean = np.linalg.solve(precision, (sums["xy"] - sums["x"].T @ effect) / noise**2)
             beta = mean + np.linalg.solve(root.T, rng.normal(size=len(mean)))
-            rest = y - x1 @ beta
-            p = np.bincount(group, minlength=groups) / noise**2 + 1 / s**2
-            effect = np.bincount(group, rest, minlength=groups) / noise**2 / p + rng.normal(size=groups) / np.sqrt(p)
-            square, n = ((rest - effect[group]) ** 2).sum(), len(y)
+            p = sums["n"] / noise**2 + 1 / s**2
+            effect = (sums["y"] - sums["x"] @ beta) / noise**2 / p + rng.normal(size=groups) / np.sqrt(p)
+            b, e = beta - best[0], effect - best[1]
+            square = left["square"] - 2 * (b @ left["x"] + e @ left["group"]) + b @ sums["xx"] @ b + 2 * (sums["x"] @ b) @ e + sums["n"] @ e**2
             noise = _half_normal_slice(rng, noise, lambda v, q=square, n=n: -n * np.log(v) - q / (2 * v * v), 1.0)
             spread = (effect**2).sum()
             s = _half_normal_slice(rng, s, lambda v, q=spread: -groups * np.log(v) - q / (2 * v * v), 0.5)
@@ -310,6 +310,23 @@ def regression_draws(x: np.ndarray, y: np.ndarray, group: np.ndarray, samples: i
     return np.array(draws)
 
 
+def regression_draws(x: np.ndarray, y: np.ndarray, group: np.ndarray, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42) -> np.ndarray:
+    """Draws (chain * sample, intercept and slopes) of y on x with a normal intercept for each group.
+
+    Intercept and slopes ~ N(0, 1), group effects ~ N(0, s), s ~ half-normal(0.5), noise ~ half-normal(1).
+    """
+    x1 = np.column_stack([np.ones(len(y)), x])
+    groups = int(group.max()) + 1 if len(group) else 0
+
+    def by_group(v):
+        return np.bincount(group, v, minlength=groups)
+
+    sums = {"n": by_group(np.ones(len(y))), "x": np.column_stack([by_group(c) for c in x1.T]), "y": by_group(y), "xx": x1.T @ x1, "xy": x1.T @ y}
+    best = _best_fit(sums)
+    rest = y - x1 @ best[0] - best[1][group]
+    return _regression_draws(sums, best, {"square": rest @ rest, "x": x1.T @ rest, "group": by_group(rest)}, samples, tune, chains, seed)
+
+
 def fit_regression(x: np.ndarray, y: np.ndarray, group: np.ndarray, names: list[str], samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42, prob: float = 0.89) -> list[dict]:
     """Mean and narrowest interval of the intercept and each coefficient, from arrays."""
     draws = regression_draws(x, y, group, samples, tune, chains, seed)
@@ -320,15 +337,35 @@ def fit_regression(x: np.ndarray, y: np.ndarray, group: np.ndarray, names: list[
 def regression(design: DataFrame, score: str, terms: list[str], group: str = "group_index", prob: float = 0.89, draws_path: str | None = None, samples: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42) -> DataFrame:
     """(term, mean, sd, hdi_low, hdi_high, r_hat, ess_bulk) of the intercept and each term, from regression_design's rows without a score left out.
 
-    Null terms count as 0. A row an entity is gathered on the driver. draws_path: where all draws are written as Parquet.
+    Null terms count as 0. Tasks sum up the rows; the driver holds a row a group. draws_path: where all draws are written as Parquet.
     """
-    spark = design.sparkSession
-    rows = _gathered(design.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_y"), F.col(group).alias("_g"), *[F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias(f"t{k}") for k, t in enumerate(terms)]).orderBy("_g", "_y", *[f"t{k}" for k in range(len(terms))]))
-    names = ["intercept", *terms]
+    spark, names = design.sparkSession, ["intercept", *terms]
+    x = ["_x0", *[f"_x{k + 1}" for k in range(len(terms))]]
+    rows = design.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_y"), F.col(group).alias("_g"), F.lit(1.0).alias("_x0"), *[F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias(c) for c, t in zip(x[1:], terms, strict=True)])
+    pairs = [(i, j) for i in range(len(x)) for j in range(i + 1)]
+    # a row a group
+    found = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(F.col("_y") * F.col(c)).alias(f"y{i}") for i, c in enumerate(x)], *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}_{j}") for i, j in pairs]).orderBy("_g").toPandas()
     schema = "term string, mean double, sd double, hdi_low double, hdi_high double, r_hat double, ess_bulk double"
-    if not len(rows):
+    if not len(found):
         return spark.createDataFrame([], schema)
-    draws = regression_draws(rows[[f"t{k}" for k in range(len(terms))]].to_numpy(float), rows["_y"].to_numpy(float), rows["_g"].to_numpy(int), samples, tune, chains, seed)
+    _few_enough(int(found["n"].sum()), MOST_ENTITIES)
+    at = found["_g"].to_numpy(int)
+
+    def by_group(table, columns):
+        out = np.zeros((at.max() + 1, len(columns)))
+        out[at] = table[columns].to_numpy(float)
+        return out
+
+    xx = np.empty((len(x), len(x)))
+    for i, j in pairs:
+        xx[i, j] = xx[j, i] = found[f"p{i}_{j}"].sum()
+    sums = {"n": by_group(found, ["n"])[:, 0], "x": by_group(found, [f"s{i}" for i in range(len(x))]), "y": by_group(found, ["y"])[:, 0], "xx": xx, "xy": found[[f"y{i}" for i in range(len(x))]].to_numpy(float).sum(axis=0)}
+    best = _best_fit(sums)
+    effects = spark.createDataFrame(list(zip(at.tolist(), best[1][at].tolist(), strict=True)), "_g long, _e double")
+    rest = rows.join(effects, "_g").withColumn("_r", F.col("_y") - F.col("_e") - sum((F.col(c) * F.lit(float(v)) for c, v in zip(x, best[0], strict=True)), F.lit(0.0)))
+    after = rest.groupBy("_g").agg(F.sum("_r").alias("r"), F.sum(F.col("_r") * F.col("_r")).alias("q"), *[F.sum(F.col("_r") * F.col(c)).alias(f"r{i}") for i, c in enumerate(x)]).orderBy("_g").toPandas()
+    left = {"square": after["q"].sum(), "x": after[[f"r{i}" for i in range(len(x))]].to_numpy(float).sum(axis=0), "group": by_group(after, ["r"])[:, 0]}
+    draws = _regression_draws(sums, best, left, samples, tune, chains, seed)
     if draws_path:
         _draw_rows(spark, draws, chains, names, "string", "term").write.mode("overwrite").parquet(draws_path)
     r_hat, ess = diagnostics(draws.reshape(chains, samples, -1))
