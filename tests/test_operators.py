@@ -387,3 +387,21 @@ def test_regression_takes_more_rows_than_a_driver_gathers(spark):
     rows = design.orderBy("group_index", "score").toPandas()
     draws = scoring.regression_draws(rows[["x"]].to_numpy(float), rows["score"].to_numpy(), rows["group_index"].to_numpy(), **options)
     assert np.allclose(found["mean"], draws.mean(axis=0)) and np.allclose(found["hdi_low"], [scoring.hdi(d)[0] for d in draws.T])
+
+
+@pytest.mark.parametrize("name", ["adjudicate", "cache_antijoin", "accepted"])
+def test_adjudication_of_odd_documents_matches_sql(spark, tmp_path, name):
+    import duckdb
+
+    from tidemark.plans import catalogue
+
+    texts = [None, "", "a", "word " * 80, "x" * 600]
+    rows = [(10 * i + j, t, lang, f"s{i}") for i, lang in enumerate(["en", "fr", "de", None]) for j, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 10 == 3)) for k, *_ in rows if k % 2], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    theirs = db.execute(f"select {', '.join(found.columns)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, theirs)) == sorted(str(tuple(r)) for r in found.collect())
