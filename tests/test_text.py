@@ -71,3 +71,17 @@ def test_skeleton_property(spark):
 
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.skeleton(F.col("w")).alias("s")).collect()
     assert all(r.s == plain(r.w) for r in rows)
+
+
+def test_html_strip_leaves_unfinished_references(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import catalogue
+
+    pages = [(1, "<p>a &amp; b&amp"), (2, "&copy;x&quo"), (3, "&amp;copy; &quot"), (4, "&nosuch; &am"), (5, "&middot &amp;amp;")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    found = [tuple(r) for r in catalogue.QUERIES["html_strip"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert found == db.execute(f"select * from ({catalogue.ORACLE_SQL['html_strip']}) order by page_id").fetchall()
+    assert one(spark, "a&ampb", T.strip_html) == "a&b" and one(spark, "&#65;&#x42;&notit;", lambda c: T.strip_html(c, closed=True)) == "AB&notit;"

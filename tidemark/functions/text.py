@@ -33,9 +33,9 @@ def fold_space(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def strip_html(c: Column) -> Column:
-    """Character references first, then tags to spaces."""
-    return strip(F.regexp_replace(udfs.html_unescape(c), r"<[^>]+>", " "))
+def strip_html(c: Column, closed: bool = False) -> Column:
+    """Character references first, then tags to spaces. closed: a reference without a semicolon, as at a page's cut, stays."""
+    return strip(F.regexp_replace(udfs.html_unescape(c, closed), r"<[^>]+>", " "))
 
 
 def clean_body(c: Column, normalise: bool = True) -> Column:

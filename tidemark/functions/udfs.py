@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -24,9 +26,22 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-def html_unescape(c: Column) -> Column:
-    """Character references decoded. Texts without one don't leave the JVM."""
-    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+#: Character references that end in a semicolon.
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed_reference(m: re.Match) -> str:
+    return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
+
+
+@F.pandas_udf(StringType())
+def _unescape_closed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: _CLOSED.sub(_closed_reference, x), na_action="ignore")
+
+
+def html_unescape(c: Column, closed: bool = False) -> Column:
+    """Character references decoded, closed: only those that end in a semicolon. Texts without one don't leave the JVM."""
+    return F.coalesce((_unescape_closed if closed else _unescape)(F.when(c.contains("&"), c)), c)
 
 
 def nfkc(c: Column) -> Column:
