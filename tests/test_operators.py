@@ -405,3 +405,15 @@ def test_adjudication_of_odd_documents_matches_sql(spark, tmp_path, name):
     found = catalogue.QUERIES[name](spark, str(tmp_path))
     theirs = db.execute(f"select {', '.join(found.columns)} from ({catalogue.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, theirs)) == sorted(str(tuple(r)) for r in found.collect())
+
+
+def test_nested_clusters_take_memory_of_their_points():
+    import tracemalloc
+
+    at = np.arange(5000.0) ** 2  # each pair joins all before it: 5,000 clusters, one in the other
+    x = np.stack([np.concatenate([at, at + 0.5])], axis=1)
+    tracemalloc.start()
+    labels = vectors.density_clusters(x, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 10_000 and peak < 180e6  # the points of all clusters are 25 million

@@ -115,7 +115,7 @@ def density_clusters(x: np.ndarray, least: int = 15) -> np.ndarray:
     # distances are made when they are needed: memory grows with n, not with its square
     step = max(1, 4_000_000 // n)
     k = min(least, n) - 1
-    core = np.concatenate([np.partition(gaps(np.arange(a, min(a + step, n))), k, axis=1)[:, k] for a in range(0, n, step)])
+    core = np.concatenate([np.partition(gaps(np.arange(a, min(a + step, n))), k, axis=1)[:, k].copy() for a in range(0, n, step)])  # a view would keep all distances
     # minimum spanning tree
     inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, np.int64)
     edges, at = [], 0
@@ -155,7 +155,7 @@ def density_clusters(x: np.ndarray, least: int = 15) -> np.ndarray:
         return out
 
     # condense: a split counts only where both sides have `least` points
-    clusters = [{"birth": 0.0, "mass": 0.0, "children": [], "points": leaves(n + len(merges) - 1) if merges else [0]}]
+    clusters = [{"birth": 0.0, "mass": 0.0, "children": [], "node": n + len(merges) - 1 if merges else 0}]
     todo = [(n + len(merges) - 1, 0)] if merges else []
     while todo:
         k, c = todo.pop()
@@ -167,7 +167,7 @@ def density_clusters(x: np.ndarray, least: int = 15) -> np.ndarray:
             if len(big) == 2:
                 clusters[c]["mass"] += gain * size[k]
                 for j in big:
-                    clusters.append({"birth": min(density, 1e12), "mass": 0.0, "children": [], "points": leaves(j)})
+                    clusters.append({"birth": min(density, 1e12), "mass": 0.0, "children": [], "node": j})
                     clusters[c]["children"].append(len(clusters) - 1)
                     todo.append((j, len(clusters) - 1))
                 break
@@ -192,7 +192,7 @@ def density_clusters(x: np.ndarray, least: int = 15) -> np.ndarray:
             chosen.add(c)
     labels = np.full(n, -1)
     for k, c in enumerate(sorted(chosen)):
-        labels[clusters[c]["points"]] = k
+        labels[leaves(clusters[c]["node"])] = k  # chosen ones share no points
     return labels
 
 
