@@ -417,3 +417,29 @@ def test_nested_clusters_take_memory_of_their_points():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(labels) == 10_000 and peak < 180e6  # the points of all clusters are 25 million
+
+
+def test_markdown_in_splits_keeps_order_and_headers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LINES", 40)
+    text = "".join(f"### AB-2001-{k}\n- v: old\r\n- v: {k}  \nnoise\n" + ("### Other\n- v: lost\n" if k % 3 == 0 else "") + "x\n" * (60 if k % 50 == 0 else 0) for k in range(600))
+    for name in ("a.md", "b.md"):
+        (tmp_path / name).write_text(text, newline="")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = tables._lines(spark, str(tmp_path)).persist()
+        assert lines.rdd.getNumPartitions() > 1 and spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 4
+        rows = tables.markdown_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    expected = [line.rstrip("\r").rstrip(" ") for line in text.split("\n")[:-1]]
+    for f in {r.file for r in lines.select("file").distinct().collect()}:
+        assert [(r.line, r.text) for r in lines.where(F.col("file") == f).orderBy("line").collect()] == list(enumerate(expected))
+    places = [k for k, line in enumerate(expected) if line.startswith("### AB")]
+    assert sorted((r.file, r.ordinal, r.record, r.fields["v"]) for r in rows) == [(f, p, f"AB-2001-{k}", str(k)) for f in sorted({r.file for r in rows}) for k, p in enumerate(places)]
+    assert len(rows) == 1200
+    # no value holds a file
+    seen = []
+    monkeypatch.setattr(spark.read.__class__, "text", lambda self, paths, wholetext=False, f=spark.read.__class__.text, **k: seen.append(wholetext) or f(self, paths, wholetext=wholetext, **k))
+    tables.markdown_table(spark, str(tmp_path / "a.md")).count()
+    assert seen == [False]

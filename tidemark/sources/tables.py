@@ -12,12 +12,13 @@ import time
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 from ..functions.scalars import lenient_int, lenient_string
+from ..session import scratch_folder
 
 #: Places of the fields in a 28-column post file.
 POST_COLUMNS = {"post_id": 0, "thread_id": 2, "timestamp": 4, "image": 14, "title": 21, "comment": 22, "poster_id": 25, "country_code": 26}
@@ -125,15 +126,33 @@ def replace_table(df: DataFrame, path: str) -> str:
     return folder
 
 
+LINES = 50_000  # lines of a file that are sorted at once
+
+
 def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text")).withColumn("text", F.rtrim(F.regexp_replace("text", "\r$", "")))
+    """(file, line, text), lines from 0. Files are read in splits and numbered by the rows before each split.
 
+    The read lines are kept in the scratch folder: a second read might be split elsewhere.
+    """
+    path = scratch_folder(spark, "lines")
+    read = spark.read.option("lineSep", "\n").text(paths)
+    read.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value").write.parquet(path)
+    kept = spark.read.parquet(path)
+    # a row a split, whose places follow one another
+    splits = kept.groupBy("file", "split").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "split", (before - F.col("first")).alias("shift"))
+    return kept.join(F.broadcast(starts), ["file", "split"]).select("file", (F.col("place") + F.col("shift")).cast("int").alias("line"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("text"))
 
-def _filled(lines: DataFrame, header) -> DataFrame:
-    from pyspark.sql import Window
 
-    return lines.withColumn("header", F.last(header, ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+def _filled(lines: DataFrame, header) -> DataFrame:
+    """Each line with the last header up to it: within LINES lines, then from the parts of the file before."""
+    held = lines.select("*", header.alias("_own"), F.floor(F.col("line") / LINES).alias("_part"))
+    order = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = held.groupBy("file", "_part").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("line"))).alias("_last"))
+    lasts = lasts.select("file", "_part", F.last("_last", ignorenulls=True).over(order).alias("_before"))
+    here = F.last("_own", ignorenulls=True).over(Window.partitionBy("file", "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("_here", here).join(F.broadcast(lasts), ["file", "_part"]).withColumn("header", F.coalesce("_here", "_before")).drop("_own", "_part", "_here", "_before")
 
 
 def markdown_records(spark: SparkSession, paths: str | list[str], key: str = r"^(?:[A-Z]{2,4}-\d{4}-|NET-)") -> DataFrame:
