@@ -443,3 +443,15 @@ def test_markdown_in_splits_keeps_order_and_headers(spark, tmp_path, monkeypatch
     monkeypatch.setattr(spark.read.__class__, "text", lambda self, paths, wholetext=False, f=spark.read.__class__.text, **k: seen.append(wholetext) or f(self, paths, wholetext=wholetext, **k))
     tables.markdown_table(spark, str(tmp_path / "a.md")).count()
     assert seen == [False]
+
+
+def test_lexical_passes_send_short_batches(spark, posts):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    table = spark.createDataFrame([("E", "smithson")], "entity_id string, alias string")
+    try:
+        for run in (lambda: mentions.exact_mentions(posts, table), lambda: mentions.lexical_candidates(posts, table, sample_target=None)):
+            spark.conf.set(name, "10000")
+            assert {r.post_id for r in run().collect()} >= {1} and int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, old)

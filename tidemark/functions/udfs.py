@@ -11,7 +11,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
@@ -72,10 +73,10 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def contained(patterns: list[str]):
-    """A function of a text column: the patterns that it contains, by one automaton a worker."""
+    """A function of a text column: the patterns that it contains, by one automaton a worker, which holds one text of a batch at a time."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(StringType()))
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
@@ -83,11 +84,17 @@ def contained(patterns: list[str]):
             automaton.add_word(p, p)
         automaton.make_automaton()
         for s in batches:
-            yield s.map(lambda t: sorted({p for _, p in automaton.iter(t)}) if t else [])
+            yield pa.array([sorted({p for _, p in automaton.iter(t)}) if t else [] for t in (x.as_py() for x in s)], pa.list_(pa.string()))
 
     return find
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: no more than `rows` of them cross to a worker at once, however many a task has. A setting of the session, as plans read it when they run."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 class Embedder(Protocol):
     """embed(texts): a vector for each text. Built anew in each worker."""
 
